@@ -12,6 +12,7 @@ an empty table gives an empty result; columns other than the id and the text are
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -26,7 +27,7 @@ from .common import cut, env_threads_off
 SEQUENCE = 2048
 END_ID = 1
 BUCKETS = 64
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 1_000_000
 PIECES = "id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 # Characters for which word-by-word encoding is the same as encoding the text: up to U+017F, composed already,
@@ -67,6 +68,12 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, _WORD.findall(text.lower())))
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """The process keeps its encoder, and the words it has met, from task to task."""
+    return Encoder(path)
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -77,7 +84,7 @@ def token_pieces(documents: DataFrame, tokenizer_path: str | None = None, sequen
     """PIECES: each document's ids and the end id, cut at multiples of ``sequence``."""
 
     def encode(batches):
-        encoder, tail, step = Encoder(tokenizer_path or default_tokenizer()), struct.pack("<I", end_id), 4 * sequence
+        encoder, tail, step = encoder_of(tokenizer_path or default_tokenizer()), struct.pack("<I", end_id), 4 * sequence
         for batch in batches:
             own, starts, lengths, sums, totals = [], [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
