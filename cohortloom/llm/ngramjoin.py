@@ -11,7 +11,8 @@ parts are signatures as well, so that no link is lost.
 Signatures are sorted; groups of one vanish. Groups of up to SMALL sets propose their pairs. Larger groups propose each
 member with the group's least one; after the links found so far are contracted to components, only members of
 such groups that lie in different components remain, and of these only pairs whose distances to the group's
-least member differ by no more than a link can (Jaccard distance is a metric). All proposals are verified exactly.
+least member differ by no more than a link can (Jaccard distance is a metric) and whose 512-bit parity sketches differ
+in no more bits than a link's sets may in features. All proposals are verified exactly.
 
 Equal texts share a 64-bit key and are one class throughout. Defined cases: null and empty texts and texts without words
 have n_shingles 0 and link with nothing; null ids keep their row, with component_id null unless linked to ids; repeated
@@ -208,8 +209,22 @@ def _proposals(batches, num: int = NUM, den: int = DEN):
     yield from flush(True)
 
 
+SKETCH = 8  # 64-bit words
+
+
+def sketch(features: np.ndarray) -> np.ndarray:
+    """Parities of the features' counts in 512 hashed cells. Each feature that only one of two sets has turns one bit,
+    so their sketches differ in no more bits than the sets do in features."""
+    cell = (mix(features) >> np.uint64(55)).astype(np.int64)
+    odd = np.bincount(cell, minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_CHECKED = "a bigint, b bigint, shared bigint, size_a bigint, size_b bigint, " + ", ".join(f"q{k} bigint" for k in range(SKETCH))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(a, b, shared, size_a, size_b) of key pairs; texts: key, data, one row a key."""
+    """(a, b, shared, size_a, size_b, the sketch of a) of key pairs; texts: key, data, one row a key."""
     t = lambda c: texts.select(F.col("key").alias(c), F.col("data").alias(f"data_{c}"))
     rows = pairs.select("a", "b").join(t("a"), "a").join(t("b"), "b")
 
@@ -225,14 +240,17 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            shared, sizes = [], []
+            shared, sizes, sketches = [], [], []
             for x, y, dx, dy in zip(a, b, batch.column("data_a").to_pylist(), batch.column("data_b").to_pylist(), strict=True):
                 p, q = features(x, dx), features(y, dy)
                 shared.append(len(np.intersect1d(p, q, assume_unique=True)))
                 sizes.append((len(p), len(q)))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array([x[0] for x in sizes], pa.int64()), pa.array([x[1] for x in sizes], pa.int64())], ["a", "b", "shared", "size_a", "size_b"])
+                sketches.append(sketch(p))
+            own = np.array(sketches, np.int64).reshape(-1, SKETCH)
+            columns = [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array([x[0] for x in sizes], pa.int64()), pa.array([x[1] for x in sizes], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(own[:, k])) for k in range(SKETCH))], ["a", "b", "shared", "size_a", "size_b", *(f"q{k}" for k in range(SKETCH))])
 
-    return rows.mapInArrow(compare, "a bigint, b bigint, shared bigint, size_a bigint, size_b bigint")
+    return rows.mapInArrow(compare, _CHECKED)
 
 
 def join(documents: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,15 +301,19 @@ def join(documents: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DE
 
 def large_groups(found: DataFrame, checked: DataFrame, part: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Pairs that large groups still leave open: in different components, distances to the group's least member alike."""
-    d = checked.select("a", "b", (F.lit(1.0) - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("d"), F.col("size_a").alias("size"))
+    q = [f"q{k}" for k in range(SKETCH)]
+    d = checked.select("a", "b", (F.lit(1.0) - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("d"), F.col("size_a").alias("size"), *q)
     rows = found.filter("kind = 1").select("sig", "a", "b").join(d, ["a", "b"])
-    rows = rows.join(part.select(F.col("id").alias("a"), "component"), "a", "left").select("sig", F.col("a").alias("key"), "d", "size", F.coalesce("component", "a").alias("part"))
+    rows = rows.join(part.select(F.col("id").alias("a"), "component"), "a", "left").select("sig", F.col("a").alias("key"), "d", "size", F.coalesce("component", "a").alias("part"), *q)
     open_ = rows.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("sig")
     rows = rows.join(open_, "sig")
     reach = 1 - num / den
     step = reach * 1.0000001
     # Members linked to the least one are all in one component: at least one of an open pair is not linked to it.
-    far = rows.filter(F.col("d") > reach).select("sig", F.col("key").alias("x"), F.col("d").alias("dx"), F.col("size").alias("sx"), F.col("part").alias("px"), F.explode(F.array(*[F.floor(F.col("d") / step) + k for k in (-1, 0, 1)])).alias("cell"))
-    near = rows.select("sig", F.col("key").alias("y"), F.col("d").alias("dy"), F.col("size").alias("sy"), F.col("part").alias("py"), F.floor(F.col("d") / step).alias("cell"))
-    open_pairs = far.join(near, ["sig", "cell"]).filter((F.col("px") != F.col("py")) & (F.abs(F.col("dx") - F.col("dy")) <= step) & ((F.col("dy") <= reach) | (F.col("x") > F.col("y"))) & (F.least("sx", "sy") * den >= F.greatest("sx", "sy") * num))
+    far = rows.filter(F.col("d") > reach).select("sig", F.col("key").alias("x"), F.col("d").alias("dx"), F.col("size").alias("sx"), F.col("part").alias("px"), *[F.col(c).alias(f"x{c}") for c in q], F.explode(F.array(*[F.floor(F.col("d") / step) + k for k in (-1, 0, 1)])).alias("cell"))
+    near = rows.select("sig", F.col("key").alias("y"), F.col("d").alias("dy"), F.col("size").alias("sy"), F.col("part").alias("py"), *[F.col(c).alias(f"y{c}") for c in q], F.floor(F.col("d") / step).alias("cell"))
+    apart = [F.bit_count(F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}"))) for c in q]
+    alike = sum(apart[1:], apart[0]) * (den + num) <= (F.col("sx") + F.col("sy")) * (den - num)
+    same = (far["sig"] == near["sig"]) & (far["cell"] == near["cell"])
+    open_pairs = far.join(near, same & (F.col("px") != F.col("py")) & (F.abs(F.col("dx") - F.col("dy")) <= step) & ((F.col("dy") <= reach) | (F.col("x") > F.col("y"))) & (F.least("sx", "sy") * den >= F.greatest("sx", "sy") * num) & alike)
     return open_pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
