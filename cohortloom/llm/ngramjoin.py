@@ -307,13 +307,15 @@ def large_groups(found: DataFrame, checked: DataFrame, part: DataFrame, num: int
     rows = rows.join(part.select(F.col("id").alias("a"), "component"), "a", "left").select("sig", F.col("a").alias("key"), "d", "size", F.coalesce("component", "a").alias("part"), *q)
     open_ = rows.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("sig")
     rows = rows.join(open_, "sig")
+    # Every pair goes out once, from the least of the groups that it shares.
+    rows = rows.join(rows.groupBy("key").agg(F.collect_set("sig").alias("sigs")), "key")
     reach = 1 - num / den
     step = reach * 1.0000001
     # Members linked to the least one are all in one component: at least one of an open pair is not linked to it.
-    far = rows.filter(F.col("d") > reach).select("sig", F.col("key").alias("x"), F.col("d").alias("dx"), F.col("size").alias("sx"), F.col("part").alias("px"), *[F.col(c).alias(f"x{c}") for c in q], F.explode(F.array(*[F.floor(F.col("d") / step) + k for k in (-1, 0, 1)])).alias("cell"))
-    near = rows.select("sig", F.col("key").alias("y"), F.col("d").alias("dy"), F.col("size").alias("sy"), F.col("part").alias("py"), *[F.col(c).alias(f"y{c}") for c in q], F.floor(F.col("d") / step).alias("cell"))
+    far = rows.filter(F.col("d") > reach).select("sig", F.col("key").alias("x"), F.col("d").alias("dx"), F.col("size").alias("sx"), F.col("part").alias("px"), F.col("sigs").alias("xs"), *[F.col(c).alias(f"x{c}") for c in q], F.explode(F.array(*[F.floor(F.col("d") / step) + k for k in (-1, 0, 1)])).alias("cell"))
+    near = rows.select("sig", F.col("key").alias("y"), F.col("d").alias("dy"), F.col("size").alias("sy"), F.col("part").alias("py"), F.col("sigs").alias("ys"), *[F.col(c).alias(f"y{c}") for c in q], F.floor(F.col("d") / step).alias("cell"))
     apart = [F.bit_count(F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}"))) for c in q]
     alike = sum(apart[1:], apart[0]) * (den + num) <= (F.col("sx") + F.col("sy")) * (den - num)
     same = (far["sig"] == near["sig"]) & (far["cell"] == near["cell"])
-    open_pairs = far.join(near, same & (F.col("px") != F.col("py")) & (F.abs(F.col("dx") - F.col("dy")) <= step) & ((F.col("dy") <= reach) | (F.col("x") > F.col("y"))) & (F.least("sx", "sy") * den >= F.greatest("sx", "sy") * num) & alike)
+    open_pairs = far.join(near, same & (F.col("px") != F.col("py")) & (F.abs(F.col("dx") - F.col("dy")) <= step) & ((F.col("dy") <= reach) | (F.col("x") > F.col("y"))) & (F.least("sx", "sy") * den >= F.greatest("sx", "sy") * num) & alike & (F.array_min(F.array_intersect("xs", "ys")) == far["sig"]))
     return open_pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
