@@ -8,11 +8,12 @@ the three. Linked sets therefore share a signature (for k of 3 or less one first
 Signatures without features say nothing: two first-level partitions must both be empty there, and these pairs of empty
 parts are signatures as well, so that no link is lost.
 
-Signatures are sorted; groups of one vanish. Groups of up to SMALL sets propose their pairs. Larger groups propose each
+Signatures are sorted; groups of one vanish. A proposed pair first shows that its sizes and 512-bit parity sketches, which
+differ in no more bits than the sets do in features, let it link; only then do its texts move. Groups of up to SMALL sets propose their pairs. Larger groups propose each
 member with the group's least one; after the links found so far are contracted to components, only members of
 such groups that lie in different components remain, and of these only pairs whose distances to the group's
-least member differ by no more than a link can (Jaccard distance is a metric) and whose 512-bit parity sketches differ
-in no more bits than a link's sets may in features. All proposals are verified exactly.
+least member differ by no more than a link can (Jaccard distance is a metric) and whose sketches are alike. All
+proposals that remain are verified exactly.
 
 Equal texts share a 64-bit key and are one class throughout. Defined cases: null and empty texts and texts without words
 have n_shingles 0 and link with nothing; null ids keep their row, with component_id null unless linked to ids; repeated
@@ -29,7 +30,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, mix, signed, word_shingles
@@ -104,15 +105,39 @@ def signatures(features: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarr
     return np.unique(np.concatenate(out))
 
 
+SKETCH = 8  # 64-bit words
+
+
+def sketch(features: np.ndarray) -> np.ndarray:
+    """Parities of the features' counts in 512 hashed cells. Each feature that only one of two sets has turns one bit,
+    so their sketches differ in no more bits than the sets do in features."""
+    cell = (mix(features) >> np.uint64(55)).astype(np.int64)
+    odd = np.bincount(cell, minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_Q = [f"q{k}" for k in range(SKETCH)]
+
+
 def shingle_counts(docs: DataFrame, width: int) -> DataFrame:
-    """(id, key, n_shingles) of every document; docs: id, key, data."""
+    """(id, key, n_shingles, sketch columns) of every document; docs: id, key, data."""
 
     def count(batches):
         for batch in batches:
-            n = [len(word_shingles(d, width)) if d else 0 for d in batch.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(n, pa.int64())], ["id", "key", "n_shingles"])
+            sets = [word_shingles(d, width) if d else None for d in batch.column("data").to_pylist()]
+            n = [0 if x is None else len(x) for x in sets]
+            own = np.array([sketch(x) if x is not None and len(x) else np.zeros(SKETCH, np.int64) for x in sets], np.int64).reshape(-1, SKETCH)
+            columns = [batch.column("id"), batch.column("key"), pa.array(n, pa.int64()), *(pa.array(np.ascontiguousarray(own[:, k])) for k in range(SKETCH))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n_shingles", *_Q])
 
-    return docs.mapInArrow(count, f"id {dict(docs.dtypes)['id']}, key bigint, n_shingles bigint")
+    return docs.mapInArrow(count, f"id {dict(docs.dtypes)['id']}, key bigint, n_shingles bigint, " + ", ".join(f"{q} bigint" for q in _Q))
+
+
+def alike(x: str, y: str, num: int, den: int) -> Column:
+    """Whether sizes and sketches let two sets link; columns are named by these prefixes."""
+    bits = [F.bit_count(F.col(f"{x}{q}").bitwiseXOR(F.col(f"{y}{q}"))) for q in _Q]
+    a, b = F.col(f"{x}size"), F.col(f"{y}size")
+    return (F.least(a, b) * den >= F.greatest(a, b) * num) & (sum(bits[1:], bits[0]) * (den + num) <= (a + b) * (den - num))
 
 
 def signature_rows(docs: DataFrame, width: int, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -209,22 +234,8 @@ def _proposals(batches, num: int = NUM, den: int = DEN):
     yield from flush(True)
 
 
-SKETCH = 8  # 64-bit words
-
-
-def sketch(features: np.ndarray) -> np.ndarray:
-    """Parities of the features' counts in 512 hashed cells. Each feature that only one of two sets has turns one bit,
-    so their sketches differ in no more bits than the sets do in features."""
-    cell = (mix(features) >> np.uint64(55)).astype(np.int64)
-    odd = np.bincount(cell, minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-_CHECKED = "a bigint, b bigint, shared bigint, size_a bigint, size_b bigint, " + ", ".join(f"q{k} bigint" for k in range(SKETCH))
-
-
 def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(a, b, shared, size_a, size_b, the sketch of a) of key pairs; texts: key, data, one row a key."""
+    """(a, b, shared, size_a, size_b) of key pairs; texts: key, data, one row a key."""
     t = lambda c: texts.select(F.col("key").alias(c), F.col("data").alias(f"data_{c}"))
     rows = pairs.select("a", "b").join(t("a"), "a").join(t("b"), "b")
 
@@ -240,17 +251,14 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
         for batch in batches:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            shared, sizes, sketches = [], [], []
+            out = []
             for x, y, dx, dy in zip(a, b, batch.column("data_a").to_pylist(), batch.column("data_b").to_pylist(), strict=True):
                 p, q = features(x, dx), features(y, dy)
-                shared.append(len(np.intersect1d(p, q, assume_unique=True)))
-                sizes.append((len(p), len(q)))
-                sketches.append(sketch(p))
-            own = np.array(sketches, np.int64).reshape(-1, SKETCH)
-            columns = [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array([x[0] for x in sizes], pa.int64()), pa.array([x[1] for x in sizes], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(own[:, k])) for k in range(SKETCH))], ["a", "b", "shared", "size_a", "size_b", *(f"q{k}" for k in range(SKETCH))])
+                out.append((len(np.intersect1d(p, q, assume_unique=True)), len(p), len(q)))
+            columns = np.array(out, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(np.ascontiguousarray(columns[:, k])) for k in range(3))], ["a", "b", "shared", "size_a", "size_b"])
 
-    return rows.mapInArrow(compare, _CHECKED)
+    return rows.mapInArrow(compare, "a bigint, b bigint, shared bigint, size_a bigint, size_b bigint")
 
 
 def join(documents: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,18 +267,23 @@ def join(documents: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DE
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     docs = documents.select(F.col(id_col).alias("id"), text.alias("data")).withColumn("key", F.xxhash64("data"))
     found = cut(signature_rows(docs, width, num, den).repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(lambda batches: _proposals(batches, num, den), "kind byte, sig bigint, a bigint, b bigint"), "proposals")
-    pairs = found.select("a", "b").distinct()
+
+    counted = cut(shingle_counts(docs, width), "counted")
+    keys = counted.groupBy("key").agg(F.min("id").alias("carrier"), F.min("n_shingles").alias("size"), *[F.min(q).alias(q) for q in _Q])
+    side = lambda c: keys.select(F.col("key").alias(c), F.col("size").alias(f"{c}_size"), *[F.col(q).alias(f"{c}_{q}") for q in _Q])
+
+    # Sketches go before texts. Pairs of large groups are kept: their distances serve the last step.
+    stars = found.filter("kind = 1").select("a", "b").distinct()
+    pairs = found.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(alike("a_", "b_", num, den)).select("a", "b")
+    pairs = cut(pairs, "pairs")
 
     # The texts that take part, one a key, carried by its least id: ids spread evenly where keys may not.
-    members = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    carriers = docs.groupBy("key").agg(F.min("id").alias("carrier"))
-    wanted = members.join(carriers, "key").select(F.col("key").alias("w_key"), "carrier")
+    members = pairs.union(stars).select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = members.join(keys.select("key", "carrier"), "key").select(F.col("key").alias("w_key"), "carrier")
     texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("carrier")) & (F.col("key") == F.col("w_key"))).select("key", "data").dropDuplicates(["key"])
     texts = cut(texts, "texts")
 
-    # First each text with the least it is proposed with, then only what those links leave apart. Distances to large
-    # groups' least members are kept for the last step.
-    stars = found.filter("kind = 1").select("a", "b").distinct()
+    # First each text with the least it is proposed with, then only what those links leave apart.
     first = pairs.groupBy("a").agg(F.min("b").alias("b")).union(stars).distinct()
     checked = cut(verify(first, texts, width), "checked")
     links = checked.filter(linked).select("a", "b")
@@ -281,17 +294,16 @@ def join(documents: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DE
         tagged = rows.join(p("a"), "a", "left").join(p("b"), "b", "left")
         return tagged.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
 
-    left = apart(found.filter("kind = 0").select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), part).select("a", "b")
+    left = apart(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), part).select("a", "b")
     links = cut(links.union(verify(left, texts, width).filter(linked).select("a", "b")), "links")
     part = components(links)
 
-    rest = cut(large_groups(found, checked, part, num, den), "rest")
+    rest = cut(large_groups(found, checked, keys, part, num, den), "rest")
     if not rest.isEmpty():
         links = links.union(verify(rest, texts, width).filter(linked).select("a", "b"))
         part = components(links)
 
     # Components of texts become components of documents.
-    counted = shingle_counts(docs, width)
     small = part.select(F.col("id").alias("key"), "component")
     rows = counted.join(small, "key", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "key")))
     lowest = rows.filter("n_shingles > 0").groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -299,23 +311,24 @@ def join(documents: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DE
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
-def large_groups(found: DataFrame, checked: DataFrame, part: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
+def large_groups(found: DataFrame, checked: DataFrame, keys: DataFrame, part: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Pairs that large groups still leave open: in different components, distances to the group's least member alike."""
-    q = [f"q{k}" for k in range(SKETCH)]
-    d = checked.select("a", "b", (F.lit(1.0) - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("d"), F.col("size_a").alias("size"), *q)
+    d = checked.select("a", "b", (F.lit(1.0) - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("d"))
     rows = found.filter("kind = 1").select("sig", "a", "b").join(d, ["a", "b"])
-    rows = rows.join(part.select(F.col("id").alias("a"), "component"), "a", "left").select("sig", F.col("a").alias("key"), "d", "size", F.coalesce("component", "a").alias("part"), *q)
+    rows = rows.join(part.select(F.col("id").alias("a"), "component"), "a", "left").select("sig", F.col("a").alias("key"), "d", F.coalesce("component", "a").alias("part"))
     open_ = rows.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("sig")
     rows = rows.join(open_, "sig")
     # Every pair goes out once, from the least of the groups that it shares.
-    rows = rows.join(rows.groupBy("key").agg(F.collect_set("sig").alias("sigs")), "key")
+    own = rows.groupBy("key").agg(F.collect_set("sig").alias("sigs")).join(keys.select("key", "size", *_Q), "key")
+    rows = rows.join(own, "key")
     reach = 1 - num / den
     step = reach * 1.0000001
+    cell = F.floor(F.col("d") / step)
+    named = lambda c: [F.col(n).alias(f"{c}_{n}") for n in ("key", "d", "part", "sigs", "size", *_Q)]
     # Members linked to the least one are all in one component: at least one of an open pair is not linked to it.
-    far = rows.filter(F.col("d") > reach).select("sig", F.col("key").alias("x"), F.col("d").alias("dx"), F.col("size").alias("sx"), F.col("part").alias("px"), F.col("sigs").alias("xs"), *[F.col(c).alias(f"x{c}") for c in q], F.explode(F.array(*[F.floor(F.col("d") / step) + k for k in (-1, 0, 1)])).alias("cell"))
-    near = rows.select("sig", F.col("key").alias("y"), F.col("d").alias("dy"), F.col("size").alias("sy"), F.col("part").alias("py"), F.col("sigs").alias("ys"), *[F.col(c).alias(f"y{c}") for c in q], F.floor(F.col("d") / step).alias("cell"))
-    apart = [F.bit_count(F.col(f"x{c}").bitwiseXOR(F.col(f"y{c}"))) for c in q]
-    alike = sum(apart[1:], apart[0]) * (den + num) <= (F.col("sx") + F.col("sy")) * (den - num)
-    same = (far["sig"] == near["sig"]) & (far["cell"] == near["cell"])
-    open_pairs = far.join(near, same & (F.col("px") != F.col("py")) & (F.abs(F.col("dx") - F.col("dy")) <= step) & ((F.col("dy") <= reach) | (F.col("x") > F.col("y"))) & (F.least("sx", "sy") * den >= F.greatest("sx", "sy") * num) & alike & (F.array_min(F.array_intersect("xs", "ys")) == far["sig"]))
-    return open_pairs.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    far = rows.filter(F.col("d") > reach).select(F.col("sig").alias("x_sig"), *named("x"), F.explode(F.array(*[cell + k for k in (-1, 0, 1)])).alias("x_cell"))
+    near = rows.select(F.col("sig").alias("y_sig"), *named("y"), cell.alias("y_cell"))
+    same = (F.col("x_sig") == F.col("y_sig")) & (F.col("x_cell") == F.col("y_cell")) & (F.col("x_part") != F.col("y_part"))
+    once = ((F.col("y_d") <= reach) | (F.col("x_key") > F.col("y_key"))) & (F.array_min(F.array_intersect("x_sigs", "y_sigs")) == F.col("x_sig"))
+    open_pairs = far.join(near, same & (F.abs(F.col("x_d") - F.col("y_d")) <= step) & alike("x_", "y_", num, den) & once)
+    return open_pairs.select(F.greatest("x_key", "y_key").alias("a"), F.least("x_key", "y_key").alias("b")).distinct()
