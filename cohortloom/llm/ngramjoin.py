@@ -117,6 +117,16 @@ def sketch(features: np.ndarray) -> np.ndarray:
 
 
 _Q = [f"q{k}" for k in range(SKETCH)]
+_LONG = 500
+
+
+def long_sketch(features: np.ndarray) -> np.ndarray | None:
+    """The parities of a large set, for which 512 cells say little, in at least four times as many cells as features."""
+    if len(features) <= _LONG:
+        return None
+    cells = 4 << (len(features) - 1).bit_length()
+    odd = np.bincount((mix(features) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def shingle_counts(docs: DataFrame, width: int) -> DataFrame:
@@ -127,10 +137,22 @@ def shingle_counts(docs: DataFrame, width: int) -> DataFrame:
             sets = [word_shingles(d, width) if d else None for d in batch.column("data").to_pylist()]
             n = [0 if x is None else len(x) for x in sets]
             own = np.array([sketch(x) if x is not None and len(x) else np.zeros(SKETCH, np.int64) for x in sets], np.int64).reshape(-1, SKETCH)
-            columns = [batch.column("id"), batch.column("key"), pa.array(n, pa.int64()), *(pa.array(np.ascontiguousarray(own[:, k])) for k in range(SKETCH))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n_shingles", *_Q])
+            more = pa.array([long_sketch(x) if x is not None else None for x in sets], pa.list_(pa.int64()))
+            columns = [batch.column("id"), batch.column("key"), pa.array(n, pa.int64()), *(pa.array(np.ascontiguousarray(own[:, k])) for k in range(SKETCH)), more]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n_shingles", *_Q, "long"])
+
+    return docs.mapInArrow(count, f"id {dict(docs.dtypes)['id']}, key bigint, n_shingles bigint, " + ", ".join(f"{q} bigint" for q in _Q) + ", long array<bigint>")
+
 
-    return docs.mapInArrow(count, f"id {dict(docs.dtypes)['id']}, key bigint, n_shingles bigint, " + ", ".join(f"{q} bigint" for q in _Q))
+def long_alike(x: str, y: str, num: int, den: int) -> Column:
+    """As alike, by long sketches where both sets have one; the longer is folded to the shorter's length, for sizes
+    that can link are at most one doubling apart."""
+    a, b = F.col(f"{x}long"), F.col(f"{y}long")
+    n = F.least(F.size(a), F.size(b))
+    xor = lambda p, q: F.zip_with(p, q, lambda i, j: i.bitwiseXOR(j))
+    fold = lambda c: F.when(F.size(c) > n, xor(F.slice(c, 1, n), F.slice(c, n + 1, n))).otherwise(c)
+    bits = F.aggregate(xor(fold(a), fold(b)), F.lit(0), lambda t, v: t + F.bit_count(v))
+    return F.coalesce(bits * (den + num) <= (F.col(f"{x}size") + F.col(f"{y}size")) * (den - num), F.lit(True))
 
 
 def alike(x: str, y: str, num: int, den: int) -> Column:
@@ -269,12 +291,12 @@ def join(documents: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DE
     found = cut(signature_rows(docs, width, num, den).repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(lambda batches: _proposals(batches, num, den), "kind byte, sig bigint, a bigint, b bigint"), "proposals")
 
     counted = cut(shingle_counts(docs, width), "counted")
-    keys = counted.groupBy("key").agg(F.min("id").alias("carrier"), F.min("n_shingles").alias("size"), *[F.min(q).alias(q) for q in _Q])
-    side = lambda c: keys.select(F.col("key").alias(c), F.col("size").alias(f"{c}_size"), *[F.col(q).alias(f"{c}_{q}") for q in _Q])
+    keys = counted.groupBy("key").agg(F.min("id").alias("carrier"), F.min("n_shingles").alias("size"), *[F.min(q).alias(q) for q in _Q], F.first("long").alias("long"))
+    side = lambda c: keys.select(F.col("key").alias(c), F.col("size").alias(f"{c}_size"), *[F.col(q).alias(f"{c}_{q}") for q in (*_Q, "long")])
 
     # Sketches go before texts. Pairs of large groups are kept: their distances serve the last step.
     stars = found.filter("kind = 1").select("a", "b").distinct()
-    pairs = found.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(alike("a_", "b_", num, den)).select("a", "b")
+    pairs = found.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(alike("a_", "b_", num, den)).filter(long_alike("a_", "b_", num, den)).select("a", "b")
     pairs = cut(pairs, "pairs")
 
     # The texts that take part, one a key, carried by its least id: ids spread evenly where keys may not.

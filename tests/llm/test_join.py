@@ -116,3 +116,16 @@ def test_components(spark):
     for a, b in edges:
         root[max(find(a), find(b))] = min(find(a), find(b))
     assert {k: v["component"] for k, v in got.items()} == {k: find(k) for a, b in edges if a != b for k in (a, b)}
+
+
+def test_long_sketches_keep_links(spark):
+    """Large sets, on both sides of a doubling, keep their links and lose what is far apart."""
+    r = random.Random(6)
+    base = words(1100, 77, 100_000)
+    texts = [" ".join(base), " ".join(base[:1000]), " ".join(base[60:] + words(20, 5)), " ".join(base[:500] + words(600, 9, 100_000)), " ".join(words(1100, 78, 100_000))]
+    for _ in range(4):
+        own = list(base)
+        for _ in range(r.choice([20, 40, 60])):
+            own[r.randrange(len(own))] = "zz"
+        texts.append(" ".join(own))
+    check(spark, frame(spark, texts), texts, range(len(texts)))
