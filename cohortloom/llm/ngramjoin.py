@@ -134,10 +134,10 @@ def shingle_counts(docs: DataFrame, width: int) -> DataFrame:
 
     def count(batches):
         for batch in batches:
-            sets = [word_shingles(d, width) if d else None for d in batch.column("data").to_pylist()]
-            n = [0 if x is None else len(x) for x in sets]
-            own = np.array([sketch(x) if x is not None and len(x) else np.zeros(SKETCH, np.int64) for x in sets], np.int64).reshape(-1, SKETCH)
-            more = pa.array([long_sketch(x) if x is not None else None for x in sets], pa.list_(pa.int64()))
+            sets = (word_shingles(d.as_py(), width) if d.is_valid else None for d in batch.column("data"))
+            out = [(0 if x is None else len(x), sketch(x) if x is not None and len(x) else np.zeros(SKETCH, np.int64), None if x is None else long_sketch(x)) for x in sets]
+            n, own = [x[0] for x in out], np.array([x[1] for x in out], np.int64).reshape(-1, SKETCH)
+            more = pa.array([x[2] for x in out], pa.list_(pa.int64()))
             columns = [batch.column("id"), batch.column("key"), pa.array(n, pa.int64()), *(pa.array(np.ascontiguousarray(own[:, k])) for k in range(SKETCH)), more]
             yield pa.RecordBatch.from_arrays(columns, ["id", "key", "n_shingles", *_Q, "long"])
 
@@ -165,24 +165,32 @@ def alike(x: str, y: str, num: int, den: int) -> Column:
 def signature_rows(docs: DataFrame, width: int, num: int = NUM, den: int = DEN) -> DataFrame:
     """(sig, key, size); a task skips texts it has lately met."""
 
+    def rows(sigs, keys, sizes):
+        n = [len(x) for x in sigs]
+        columns = [signed(np.concatenate(sigs)), np.repeat(np.array(keys, np.int64), n), np.repeat(np.array(sizes, np.int32), n)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["sig", "key", "size"])
+
     def sign(batches):
         seen: OrderedDict = OrderedDict()
         for batch in batches:
-            sigs, keys, sizes = [], [], []
-            for key, data in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                if not data or key in seen:
+            sigs, keys, sizes, count = [], [], [], 0
+            for key, data in zip(batch.column("key").to_pylist(), batch.column("data"), strict=True):
+                if key in seen:
                     continue
                 seen[key] = None
                 if len(seen) > _SEEN:
                     seen.popitem(last=False)
-                features = word_shingles(data, width)
+                features = word_shingles(data.as_py() or b"", width)
                 if len(features):
                     sigs.append(signatures(features, num, den))
                     keys.append(key)
                     sizes.append(len(features))
+                    count += len(sigs[-1])
+                if count > 100_000:  # what a task holds does not grow with the batch
+                    yield rows(sigs, keys, sizes)
+                    sigs, keys, sizes, count = [], [], [], 0
             if sigs:
-                n = [len(x) for x in sigs]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(np.repeat(np.array(keys, np.int64), n)), pa.array(np.repeat(np.array(sizes, np.int32), n))], ["sig", "key", "size"])
+                yield rows(sigs, keys, sizes)
 
     return docs.mapInArrow(sign, "sig bigint, key bigint, size int")
 

@@ -27,7 +27,7 @@ from .common import cut, env_threads_off
 SEQUENCE = 2048
 END_ID = 1
 BUCKETS = 64
-_CACHE_WORDS = 1_000_000
+_CACHE_WORDS = 600_000
 PIECES = "id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
 # Characters for which word-by-word encoding is the same as encoding the text: up to U+017F, composed already,
@@ -37,17 +37,21 @@ _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ſ]+|[0-9²
 
 
 class _Words(dict):
-    """Encoded words, kept up to a bound."""
+    """Encoded words, kept up to a bound: when the young are many they become the old, and old words met again are young."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.old = tokenizer, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= _CACHE_WORDS:
+        if len(self) >= _CACHE_WORDS // 2:
+            self.old = dict(self)
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.old.get(word)
+        if out is None:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = out
         return out
 
 
