@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .quality import held_out
 
 UNKNOWN = "und"
@@ -108,6 +109,7 @@ def apply(documents: DataFrame, dictionaries: dict[str, bytes], id_col: str = "d
 
 def keep_identified(documents: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
     """The documents that are not rejected, as they are; one pass without a shuffle."""
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(dictionaries)
     kinds = ", ".join(f"`{n}` {t}" for n, t in documents.dtypes)
 
