@@ -8,9 +8,10 @@ the three. Linked sets therefore share a signature (for k of 3 or less one first
 Signatures without features say nothing: two first-level partitions must both be empty there, and these pairs of empty
 parts are signatures as well, so that no link is lost.
 
-Signatures are sorted; groups of one vanish. A proposed pair first shows that its sizes and 512-bit parity sketches, which
-differ in no more bits than the sets do in features, let it link; only then do its texts move. Groups of up to SMALL sets propose their pairs. Larger groups propose each
-member with the group's least one; after the links found so far are contracted to components, only members of
+Signatures are sorted; groups of one vanish. Members of groups of up to SMALL sets are joined with their sizes and 512-bit
+parity sketches, which differ in no more bits than the sets do in features; such a group proposes the pairs that these let
+link, and longer sketches of large sets are compared before texts move. Larger groups propose each member with the group's
+least one; after the links found so far are contracted to components, only members of
 such groups that lie in different components remain, and of these only pairs whose distances to the group's
 least member differ by no more than a link can (Jaccard distance is a metric) and whose sketches are alike. All
 proposals that remain are verified exactly.
@@ -163,17 +164,16 @@ def alike(x: str, y: str, num: int, den: int) -> Column:
 
 
 def signature_rows(docs: DataFrame, width: int, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(sig, key, size); a task skips texts it has lately met."""
+    """(sig, key); a task skips texts it has lately met."""
 
-    def rows(sigs, keys, sizes):
-        n = [len(x) for x in sigs]
-        columns = [signed(np.concatenate(sigs)), np.repeat(np.array(keys, np.int64), n), np.repeat(np.array(sizes, np.int32), n)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["sig", "key", "size"])
+    def rows(sigs, keys):
+        columns = [signed(np.concatenate(sigs)), np.repeat(np.array(keys, np.int64), [len(x) for x in sigs])]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["sig", "key"])
 
     def sign(batches):
         seen: OrderedDict = OrderedDict()
         for batch in batches:
-            sigs, keys, sizes, count = [], [], [], 0
+            sigs, keys, count = [], [], 0
             for key, data in zip(batch.column("key").to_pylist(), batch.column("data"), strict=True):
                 if key in seen:
                     continue
@@ -184,15 +184,14 @@ def signature_rows(docs: DataFrame, width: int, num: int = NUM, den: int = DEN)
                 if len(features):
                     sigs.append(signatures(features, num, den))
                     keys.append(key)
-                    sizes.append(len(features))
                     count += len(sigs[-1])
                 if count > 100_000:  # what a task holds does not grow with the batch
-                    yield rows(sigs, keys, sizes)
-                    sigs, keys, sizes, count = [], [], [], 0
+                    yield rows(sigs, keys)
+                    sigs, keys, count = [], [], 0
             if sigs:
-                yield rows(sigs, keys, sizes)
+                yield rows(sigs, keys)
 
-    return docs.mapInArrow(sign, "sig bigint, key bigint, size int")
+    return docs.mapInArrow(sign, "sig bigint, key bigint")
 
 
 def _fits(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -200,68 +199,95 @@ def _fits(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.minimum(a, b).astype(np.int64) * den >= np.maximum(a, b).astype(np.int64) * num
 
 
-def _proposals(batches, num: int = NUM, den: int = DEN):
-    """From rows sorted by (sig, key): pairs of small groups (kind 0), and (member, least member) of large ones (kind 1)."""
-    out: list[list[np.ndarray]] = []
+def _shared(batches):
+    """From rows sorted by (sig, key), those of groups of two or more: members of small groups (kind 0, b null) and
+    (member, least member) of large ones (kind 1)."""
 
-    def emit(kind, sig, a, b):
-        if len(a):
-            out.append([np.full(len(a), kind, np.int8), sig, a, b])
+    def emit(kind, sig, a, b=None):
+        other = pa.nulls(len(a), pa.int64()) if b is None else pa.array(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(sig), pa.array(a), other], ["kind", "sig", "a", "b"])
 
-    def groups(sig, key, size):
-        """Whole groups of at most SMALL rows, by offset within the group: no loop over groups."""
+    def groups(sig, key):
+        """Whole groups, without a loop over them."""
         start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         length = np.diff(np.concatenate((start, [len(sig)])))
-        own = np.repeat(length, length)
-        large = own > SMALL
-        if large.any():
-            first = np.repeat(key[start], length)
-            at = np.flatnonzero(large & (first != key))
-            emit(1, sig[at], key[at], first[at])
-        for step in range(1, min(SMALL, int(length.max())) if len(length) else 0):
-            at = np.flatnonzero((sig[:-step] == sig[step:]) & ~large[:-step])
-            at = at[_fits(size[at], size[at + step], num, den)]
-            a, b = key[at], key[at + step]
-            emit(0, np.zeros(len(at), np.int64), np.maximum(a, b), np.minimum(a, b))
-
-    def flush(final=False):
-        nonlocal out
-        if out and (final or sum(len(x[0]) for x in out) > 20_000):
-            kind, sig, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
-            rows = pa.table({"kind": kind, "sig": sig, "a": a, "b": b}).group_by(["kind", "sig", "a", "b"]).aggregate([])
-            out = []
-            yield from rows.combine_chunks().to_batches()
+        own, first = np.repeat(length, length), np.repeat(key[start], length)
+        at = np.flatnonzero((own > 1) & (own <= SMALL))
+        if len(at):
+            yield emit(0, sig[at], key[at])
+        at = np.flatnonzero((own > SMALL) & (first != key))
+        if len(at):
+            yield emit(1, sig[at], key[at], first[at])
 
     rest = None  # the last group, which the next batch may continue
-    hub = None  # (sig, least key) of a large group whose begin has gone out
+    hub = None  # (sig, least key, last key) of a large group whose begin has gone out
     for batch in batches:
-        sig, key, size = (batch.column(c).to_numpy() for c in ("sig", "key", "size"))
+        sig, key = (batch.column(c).to_numpy() for c in ("sig", "key"))
         if not len(sig):
             continue
         if rest is not None:
-            sig, key, size = (np.concatenate(x) for x in zip(rest, (sig, key, size), strict=True))
+            sig, key = (np.concatenate(x) for x in zip(rest, (sig, key), strict=True))
             rest = None
         new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])))
-        sig, key, size = sig[new], key[new], size[new]
         if hub is not None:
             own = int(np.searchsorted(sig, hub[0], "right"))
-            at = np.flatnonzero(key[:own] != hub[1])
-            emit(1, sig[at], key[at], np.full(len(at), hub[1]))
+            at = np.flatnonzero(new[:own] & (key[:own] != hub[2]))
+            if len(at):
+                yield emit(1, sig[at], key[at], np.full(len(at), hub[1]))
             if own == len(sig):
-                yield from flush()
+                hub = (hub[0], hub[1], key[-1])
                 continue
-            sig, key, size, hub = sig[own:], key[own:], size[own:], None
+            sig, key, new, hub = sig[own:], key[own:], new[own:], None
+        sig, key = sig[new], key[new]
         last = int(np.searchsorted(sig, sig[-1], "left"))
         if len(sig) - last > SMALL:
-            hub = (sig[-1], key[last])
-            groups(sig, key, size)
+            hub = (sig[-1], key[last], key[-1])
+            yield from groups(sig, key)
         else:
-            rest = (sig[last:], key[last:], size[last:])
-            groups(sig[:last], key[:last], size[:last])
-        yield from flush()
+            rest = (sig[last:], key[last:])
+            yield from groups(sig[:last], key[:last])
+    if rest is not None:
+        yield from groups(*rest)
+
+
+def _proposals(batches, num: int = NUM, den: int = DEN):
+    """From rows of small groups, sorted by (sig, key), with sizes and sketches: pairs that may link, the greater key first."""
+
+    def pairs(sig, key, size, own):
+        """By offset within the group: no loop over groups."""
+        for step in itertools.count(1):
+            at = np.flatnonzero(sig[:-step] == sig[step:]) if len(sig) > step else []
+            if not len(at):
+                return
+            at = at[_fits(size[at], size[at + step], num, den)]
+            for part in np.array_split(at, len(at) // 50_000 + 1):
+                bits = np.bitwise_count(own[part] ^ own[part + step]).sum(axis=1, dtype=np.int64)
+                part = part[bits * (den + num) <= (size[part] + size[part + step]) * (den - num)]
+                if len(part):
+                    yield np.maximum(key[part], key[part + step]), np.minimum(key[part], key[part + step])
+
+    def out(found):
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        yield from pa.table({"a": a, "b": b}).group_by(["a", "b"]).aggregate([]).combine_chunks().to_batches()
+
+    rest, found = None, []
+    for batch in batches:
+        sig, key, size = (batch.column(c).to_numpy() for c in ("sig", "key", "size"))
+        if not len(sig):
+            continue
+        own = np.stack([batch.column(q).to_numpy() for q in _Q], axis=1).view(np.uint64)
+        if rest is not None:
+            sig, key, size, own = (np.concatenate(x) for x in zip(rest, (sig, key, size, own), strict=True))
+        last = int(np.searchsorted(sig, sig[-1], "left"))
+        rest = (sig[last:], key[last:], size[last:], own[last:])
+        found += pairs(sig[:last], key[:last], size[:last], own[:last])
+        if sum(len(x[0]) for x in found) > 20_000:
+            yield from out(found)
+            found = []
     if rest is not None:
-        groups(*rest)
-    yield from flush(True)
+        found += pairs(*rest)
+    if found:
+        yield from out(found)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -296,15 +322,18 @@ def join(documents: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DE
     linked = f"shared * {den} >= (size_a + size_b - shared) * {num}"
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     docs = documents.select(F.col(id_col).alias("id"), text.alias("data")).withColumn("key", F.xxhash64("data"))
-    found = cut(signature_rows(docs, width, num, den).repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(lambda batches: _proposals(batches, num, den), "kind byte, sig bigint, a bigint, b bigint"), "proposals")
+    found = cut(signature_rows(docs, width, num, den).repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "kind byte, sig bigint, a bigint, b bigint"), "shared")
 
     counted = cut(shingle_counts(docs, width), "counted")
     keys = counted.groupBy("key").agg(F.min("id").alias("carrier"), F.min("n_shingles").alias("size"), *[F.min(q).alias(q) for q in _Q], F.first("long").alias("long"))
-    side = lambda c: keys.select(F.col("key").alias(c), F.col("size").alias(f"{c}_size"), *[F.col(q).alias(f"{c}_{q}") for q in (*_Q, "long")])
+    side = lambda c: keys.filter("long is not null").select(F.col("key").alias(c), F.col("size").alias(f"{c}_size"), F.col("long").alias(f"{c}_long"))
 
-    # Sketches go before texts. Pairs of large groups are kept: their distances serve the last step.
+    # Pairs of small groups pass sketches where they arise, before they or texts move. Pairs of large groups are kept:
+    # their distances serve the last step.
     stars = found.filter("kind = 1").select("a", "b").distinct()
-    pairs = found.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(alike("a_", "b_", num, den)).filter(long_alike("a_", "b_", num, den)).select("a", "b")
+    rows = found.filter("kind = 0").select("sig", F.col("a").alias("key")).join(keys.select("key", "size", *_Q), "key")
+    pairs = rows.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(lambda batches: _proposals(batches, num, den), "a bigint, b bigint").distinct()
+    pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(long_alike("a_", "b_", num, den)).select("a", "b")
     pairs = cut(pairs, "pairs")
 
     # The texts that take part, one a key, carried by its least id: ids spread evenly where keys may not.

@@ -66,20 +66,20 @@ def families(seed, n=25, copies=6):
 def test_families(spark, seed, small, monkeypatch):
     texts = families(seed)
     # SMALL is read on the workers: a value of its own goes with the function there.
-    monkeypatch.setattr(ngramjoin, "_proposals", _with_small(small))
+    monkeypatch.setattr(ngramjoin, "_shared", _with_small(small))
     check(spark, frame(spark, texts).repartition(3), texts, range(len(texts)))
 
 
 def _with_small(small):
     import cohortloom.llm.ngramjoin as m
 
-    plain = m._proposals
+    plain = m._shared
 
-    def run(batches, *threshold):
+    def run(batches):
         import cohortloom.llm.ngramjoin as own
 
         own.SMALL = small
-        yield from plain(batches, *threshold)
+        yield from plain(batches)
 
     return run
 
