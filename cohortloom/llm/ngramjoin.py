@@ -375,8 +375,9 @@ def large_groups(found: DataFrame, checked: DataFrame, keys: DataFrame, part: Da
     d = checked.select("a", "b", (F.lit(1.0) - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("d"))
     rows = found.filter("kind = 1").select("sig", "a", "b").join(d, ["a", "b"])
     rows = rows.join(part.select(F.col("id").alias("a"), "component"), "a", "left").select("sig", F.col("a").alias("key"), "d", F.coalesce("component", "a").alias("part"))
+    rows = cut(rows, "members")
     open_ = rows.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("sig")
-    rows = rows.join(open_, "sig")
+    rows = cut(rows.join(open_, "sig"), "open")
     # Every pair goes out once, from the least of the groups that it shares.
     own = rows.groupBy("key").agg(F.collect_set("sig").alias("sigs")).join(keys.select("key", "size", *_Q), "key")
     rows = rows.join(own, "key")
