@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import numeric_columns, quoted
 from ..model import KEYS
+from .discriminant import Discriminant
 from .stats import rank_auc
 
 # Ids of candidate models; xgb and lgbm are names in use for xgboost and lightgbm.
 ALIASES = {"xgb": "xgboost", "lgbm": "lightgbm"}
-CANDIDATES = ("lr", "rf", "et", "gbc", "dt", "nb", "svm", "ridge", "xgboost", "lightgbm", "catboost", "mlp", "fm")
+CANDIDATES = ("lr", "rf", "et", "gbc", "dt", "nb", "svm", "ridge", "lda", "qda", "xgboost", "lightgbm", "catboost", "mlp", "fm")
 REGRESSORS = ("lr", "ridge", "lasso", "en", "rf", "et", "gbr", "dt", "xgboost", "lightgbm", "catboost")
 
 
@@ -43,6 +44,8 @@ def classifier(name: str, n_classes: int, seed: int = 42, **params):
         "catboost": lambda: GBTClassifier(maxIter=40, maxDepth=4, seed=seed),
         "mlp": lambda: MultilayerPerceptronClassifier(maxIter=50, seed=seed),
         "fm": lambda: FMClassifier(maxIter=20, seed=seed),
+        "lda": lambda: Discriminant(),
+        "qda": lambda: Discriminant(quadratic=True),
     }
     if name not in made:
         raise ValueError(f"unknown model {name}")
