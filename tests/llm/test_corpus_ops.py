@@ -186,6 +186,30 @@ def test_near_search(spark):
     assert counts[0]["near_docs"] == sum(bin(prints[0] ^ b).count("1") <= 3 for b in prints) - 1 and counts[1]["near_docs"] is None
 
 
+def test_simhash_query_counts_near_documents(spark, tmp_path):
+    texts = [None, "", *[" ".join(words(300, 7)[: 290 + k]) for k in range(10)], *[" ".join(words(300, k)) for k in range(20, 30)]]
+    texts += texts[2:5]
+    frame(spark, texts, [100 * k if k % 2 else 100 * k + 1 for k in range(len(texts) - 1)] + [None]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_simhash(spark, str(tmp_path)).collect()
+    prints = [int(r.fingerprint, 16) for r in got]
+    assert len(got) == len(texts)
+    for r in got:
+        near = sum(bin(int(r.fingerprint, 16) ^ b).count("1") <= simhash.RADIUS for b in prints) - 1
+        assert r.near_docs == (near if r.doc_id is not None and r.doc_id % 100 == 0 else None)
+    assert max(r.near_docs or 0 for r in got) >= 8
+
+
+def test_near_search_flips_bits(spark):
+    """Four tables and flipped bits find what a loop over all pairs finds, up to the radius and no further."""
+    rnd = random.Random(2)
+    base = [rnd.getrandbits(128) for _ in range(30)]
+    prints = base + [b ^ sum(1 << k for k in rnd.sample(range(128), n)) for b in base for n in (3, 9, 10, 11, 12)]
+    df = spark.createDataFrame([(k, f"{p:032x}") for k, p in enumerate(prints)], "doc_id long, fingerprint string")
+    for radius in (3, 7, 11):
+        got = {(r["query"], r.near) for r in simhash.near_search(df, df.limit(30), radius, blocks=4, kept=1).collect()}
+        assert got == {(f"{a:032x}", f"{b:032x}") for a in prints[:30] for b in prints if bin(a ^ b).count("1") <= radius}
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op7_quality(spark, sf).join(table(spark, sf, "labels"), "doc_id").filter("held_out").collect()
