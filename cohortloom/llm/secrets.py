@@ -81,8 +81,10 @@ def redact(documents: DataFrame, mark: str = "[secret]", ledger: DataFrame | Non
     """The documents with every found span replaced by ``mark``; overlapping spans are replaced as one."""
     found, _ = scan_versions(documents, ledger)
     names = documents.columns
-    hit = found.filter(F.size("findings") > 0).select(F.col("doc_id").alias("_id"), "findings").dropDuplicates(["_id"])
-    joined = documents.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    # Rows may share an id, or have none: spans belong to the row's own text. Ids spread evenly where blobs may not.
+    hit = found.filter(F.size("findings") > 0).select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"), "findings").dropDuplicates(["_id", "_blob"])
+    own = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    joined = documents.withColumn("_own", own).join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_blob")), "left")
 
     def cover(batches):
         for batch in batches:

@@ -105,3 +105,11 @@ def test_redact(spark):
     out = rows(secrets.redact(docs))
     assert out[0]["text"] == "a [secret] b" and out[0]["n_chars"] == 12 and out[1]["text"] == "clean" and out[2]["text"] is None
     assert secrets.redact(docs).columns == docs.columns
+
+
+def test_redact_where_texts_share_an_id(spark):
+    texts = ["token=abcdef123 one", "two secret: zzzzzz9", "clean text of some length", None, "token=abcdef123 one"]
+    want = [("[secret] one", 12), ("two [secret]", 12), (texts[2], len(texts[2])), (None, None), ("[secret] one", 12)]
+    for i in (7, None):
+        got = secrets.redact(frame(spark, texts, [i] * len(texts))).collect()
+        assert sorted((r.text, r.n_chars) for r in got if r.text) == sorted(w for w in want if w[0]) and len(got) == len(want)
