@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special as S
-from ..functions.scalar import average_ranks, is_numeric, quoted, safe_divide
+from ..functions.scalar import average_ranks, is_numeric, quoted, range_bucket, safe_divide
 
 SHAPIRO_ROWS = 5000
 
@@ -380,11 +380,19 @@ def adjust_pvalues(p: list[float], method: str = "fdr_bh", alpha: float = 0.05)
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", key: str = "feature") -> DataFrame:
-    """``df`` with p_adj: the reverse running minimum of p m / i. A row a hypothesis."""
-    up = Window.orderBy(F.col(p), F.col(key))
-    down = Window.orderBy(F.col(p).desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = df.withColumn("_i", F.row_number().over(up)).withColumn("_m", F.count("*").over(Window.partitionBy()))
-    return ranked.withColumn("p_adj", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_i")).over(down))).drop("_i", "_m")
+    """``df`` with p_adj: the reverse running minimum of p m / i. A row a hypothesis; a null p is none and gets null.
+
+    Equal p share the result of the last of them, so distinct p are counted and ranked in range buckets; only a table with
+    a row a bucket is run over in order.
+    """
+    m = df.filter(quoted(p).isNotNull()).count()
+    values = average_ranks(df, p).select(quoted(p), (quoted(p) * m / (F.col("rank") + (F.col("ties") - 1) / 2)).alias("_q"))
+    values = values.withColumn("_b", range_bucket(values, p))
+    above = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    lows = values.groupBy("_b").agg(F.min("_q").alias("_l")).select("_b", F.min("_l").over(above).alias("_l"))
+    inside = Window.partitionBy("_b").orderBy(quoted(p).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    adjusted = values.join(lows, "_b").select(quoted(p), F.least(F.lit(1.0), F.min("_q").over(inside), F.col("_l")).alias("p_adj"))
+    return df.join(adjusted, p, "left").select(*[quoted(c) for c in df.columns], "p_adj")
 
 
 # Regress

@@ -203,3 +203,17 @@ def test_models(spark):
     assert c.calibrate_model("lr", "platt")(c.exp.test).filter("calibrated between 0 and 1").count() == c.exp.test.count()
     assert c.create_ensemble(["lr", "dt"], "super_learner")(c.exp.test).filter("prediction = label").count() / c.exp.test.count() > 0.85
     assert c.explain_model(best)[0][1] > 0 and 0 <= c.validate_drift()["auc"] <= 1
+
+
+def test_benjamini_hochberg_without_one_task(spark):
+    r = random.Random(3)
+    p = [round(r.random() ** 3, 3) for _ in range(3000)] + [None, None]
+    df = spark.createDataFrame(list(enumerate(p)), "feature long, p double").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = stats.benjamini_hochberg(df).selectExpr("*", "spark_partition_id() AS part").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = stats.adjust_pvalues(p[:3000], "fdr_bh")["p_adjusted"] + [None, None]
+    assert len(got) == len(p) and len({x.part for x in got}) > 1
+    assert all(x.p_adj == want[x.feature] or math.isclose(x.p_adj, want[x.feature], rel_tol=1e-12) for x in got)
