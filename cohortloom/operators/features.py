@@ -225,7 +225,7 @@ def encode(df: DataFrame, column: str, method: str = "safe_target", target: str
 
 
 def balance(df: DataFrame, target: str = TARGET, method: str = "random_over", seed: int = 42, columns: list[str] | None = None) -> DataFrame:
-    """random_over, random_under, smote (interpolation towards a neighbour in hash order of its class), adasyn, smoteenn, smotetomek."""
+    """random_over, random_under, smote (interpolation towards a neighbour in hash order of its class)."""
     if target not in df.columns:
         return df
     sizes = {r[0]: r[1] for r in df.filter(quoted(target).isNotNull()).groupBy(target).count().collect()}
@@ -246,7 +246,7 @@ def balance(df: DataFrame, target: str = TARGET, method: str = "random_over", se
     times = F.floor(F.lit(high) / n) + (F.col("_rank") <= F.lit(high) % n).cast("int")
     if method == "random_over":
         return ranked.withColumn("_k", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*df.columns)
-    if method in ("auto", "smote", "adasyn", "smoteenn", "smotetomek"):
+    if method in ("auto", "smote"):
         names = columns or numeric_columns(df, (*SKIP, target))
         order = Window.partitionBy(target, "_cell").orderBy(*[quoted(c) for c in names[:1]], "_h")
         mixed = ranked.withColumns({f"_n{j}": F.coalesce(F.lead(quoted(c)).over(order), F.lag(quoted(c)).over(order), quoted(c)) for j, c in enumerate(names)})
@@ -254,9 +254,6 @@ def balance(df: DataFrame, target: str = TARGET, method: str = "random_over", se
         gap = F.pmod(F.xxhash64("_h", "_k", F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
         made = {c: F.when(F.col("_k") == 1, quoted(c).cast("double")).otherwise(quoted(c) + gap * (F.col(f"_n{j}") - quoted(c))) for j, c in enumerate(names)}
         out = mixed.withColumns(made)
-        if method in ("smoteenn", "smotetomek"):  # drop made rows whose neighbour on the first feature is of another class
-            near = Window.partitionBy("_cell").orderBy(quoted(names[0]), "_h", "_k")
-            out = out.withColumn("_other", F.lag(quoted(target)).over(near)).filter((F.col("_k") == 1) | F.col("_other").isNull() | (F.col("_other") == quoted(target)))
         return out.select(*df.columns)
     raise ValueError(f"unknown balancing {method}")
 

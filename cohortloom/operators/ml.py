@@ -267,9 +267,9 @@ class Classifier:
         return model.transform(rows).withColumnRenamed(source, name).drop("rawPrediction", "probability", "prediction")
 
     def create_ensemble(self, names: list[str], method: str = "super_learner", rounds: int = 5):
-        """super_learner and blending stack out-of-fold scores; bma weighs by log-likelihood; bagging and boosting repeat the first."""
+        """super_learner stacks out-of-fold scores; bma weighs by log-likelihood; bagging and boosting repeat the first."""
         exp = self.exp
-        if method in ("super_learner", "blending"):
+        if method == "super_learner":
             meta = LogisticRegression(featuresCol="meta", labelCol="label").fit(self.out_of_fold(names).select("meta", "label"))
             base = [self.create_model(n) for n in names]
 
@@ -337,7 +337,7 @@ class Classifier:
             m = LogisticRegression(featuresCol="x", labelCol="label").fit(rows_)
             a, b = float(m.coefficients[0]), float(m.intercept)
             return lambda rows: base.transform(rows).withColumn("calibrated", 1 / (1 + F.exp(-(a * logit(vector_to_array("probability")[1]) + b))))
-        if method in ("isotonic", "venn_abers"):
+        if method == "isotonic":
             iso = IsotonicRegression(featuresCol="s", labelCol="label", predictionCol="calibrated").fit(positive)
             return lambda rows: iso.transform(base.transform(rows).withColumn("s", vector_to_array("probability")[1]))
         raise ValueError(f"unknown calibration {method}")

@@ -217,3 +217,9 @@ def test_benjamini_hochberg_without_one_task(spark):
     want = stats.adjust_pvalues(p[:3000], "fdr_bh")["p_adjusted"] + [None, None]
     assert len(got) == len(p) and len({x.part for x in got}) > 1
     assert all(x.p_adj == want[x.feature] or math.isclose(x.p_adj, want[x.feature], rel_tol=1e-12) for x in got)
+
+
+@pytest.mark.parametrize("method", ["adasyn", "smoteenn", "smotetomek"])
+def test_balancing_not_built_is_rejected(spark, method):
+    with pytest.raises(ValueError):
+        features.balance(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "y string, x double"), "y", method)
