@@ -165,8 +165,26 @@ def shapiro_wilk(values: list[float]) -> tuple[float, float]:
     mean = sum(values) / n
     var = sum((x - mean) ** 2 for x in values)
     w = min(1.0, sum(x * y for x, y in zip(a, values, strict=True)) ** 2 / var) if var else 1.0
+    return w, _shapiro_p(w, n)
+
+
+def shapiro_wilk_sums(n: int, mm: float, mx: float, ends: tuple[float, float, float, float], var: float) -> tuple[float, float]:
+    """The same for n over 5 from sums over all values: of squared normal scores, of scores times values and of squared
+    deviations; ``ends`` are the two least and the two greatest values in order."""
+    top, next_ = normal_ppf((n - 0.375) / (n + 0.25)), normal_ppf((n - 1.375) / (n + 0.25))
+    u = 1 / math.sqrt(n)
+    last = top / math.sqrt(mm) + 0.221157 * u - 0.147981 * u**2 - 2.071190 * u**3 + 4.434685 * u**4 - 2.706056 * u**5
+    second = next_ / math.sqrt(mm) + 0.042981 * u - 0.293762 * u**2 - 1.752461 * u**3 + 5.682633 * u**4 - 3.582633 * u**5
+    phi = (mm - 2 * top**2 - 2 * next_**2) / (1 - 2 * last**2 - 2 * second**2)
+    outer, inner = ends[3] - ends[0], ends[2] - ends[1]
+    ax = (mx - top * outer - next_ * inner) / math.sqrt(phi) + last * outer + second * inner
+    w = min(1.0, ax**2 / var) if var else 1.0
+    return w, _shapiro_p(w, n)
+
+
+def _shapiro_p(w: float, n: int) -> float:
     if n == 3:
-        return w, min(1.0, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
+        return min(1.0, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
     if n <= 11:
         g = -2.273 + 0.459 * n
         mu = 0.5440 - 0.39978 * n + 0.025054 * n**2 - 0.0006714 * n**3
@@ -177,4 +195,4 @@ def shapiro_wilk(values: list[float]) -> tuple[float, float]:
         mu = -1.5861 - 0.31082 * x - 0.083751 * x**2 + 0.0038915 * x**3
         sigma = math.exp(-0.4803 - 0.082676 * x + 0.0030302 * x**2)
         y = math.log(max(1e-300, 1 - w))
-    return w, normal_sf((y - mu) / sigma)
+    return normal_sf((y - mu) / sigma)

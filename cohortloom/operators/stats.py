@@ -10,6 +10,7 @@ import itertools
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,9 +50,11 @@ def normality_test(df: DataFrame, variable: str, method: str = "shapiro") -> dic
     n, m, s = v.agg(F.count("*"), F.avg(variable), F.stddev_samp(variable)).first()
     if n < 3:
         raise ValueError("at least 3 values are needed")
-    if method == "shapiro":  # of SHAPIRO_ROWS values by hash order at most: the approximation holds no further
-        values = sorted(r[0] for r in v.orderBy(F.xxhash64(variable)).limit(SHAPIRO_ROWS).collect())
-        w, p = S.shapiro_wilk(values)
+    if method == "shapiro":
+        if n <= SHAPIRO_ROWS:
+            w, p = S.shapiro_wilk(sorted(r[0] for r in v.collect()))
+        else:
+            w, p = _shapiro_sums(v, variable, n, m, s)
         return {"test": "shapiro", "statistic": w, "p_value": p, "n": n}
     if method == "ks":
         from pyspark.ml.stat import KolmogorovSmirnovTest
@@ -61,6 +64,28 @@ def normality_test(df: DataFrame, variable: str, method: str = "shapiro") -> dic
     raise ValueError(f"unknown test {method}")
 
 
+def _shapiro_sums(v: DataFrame, variable: str, n: int, m: float, s: float) -> tuple[float, float]:
+    """Shapiro-Wilk over all values: normal scores are summed by ranges of ranks, so that neither many rows nor many
+    equal values meet in one task."""
+    step = 100_000
+    top = F.col("rank") + (F.col("ties") - 1) / 2
+    ranks = average_ranks(v, variable).select((quoted(variable) - m).alias("x"), (top - F.col("ties") + 1).cast("bigint").alias("lo"), top.cast("bigint").alias("hi"))
+    parts = ranks.withColumn("lo", F.explode(F.sequence("lo", "hi", F.lit(step)))).withColumn("hi", F.least("hi", F.col("lo") + step - 1)).repartition("lo")
+
+    def scores(batches):
+        for b in batches:
+            mm = mx = 0.0
+            for x, lo, hi in zip(b["x"], b["lo"], b["hi"], strict=True):
+                own = [S.normal_ppf((k - 0.375) / (n + 0.25)) for k in range(lo, hi + 1)]
+                mm += math.fsum(y * y for y in own)
+                mx += x * math.fsum(own)
+            yield pd.DataFrame({"mm": [mm], "mx": [mx]})
+
+    mm, mx = parts.mapInPandas(scores, "mm double, mx double").agg(F.sum("mm"), F.sum("mx")).first()
+    low, high = ([r[0] for r in v.orderBy(o).limit(2).collect()] for o in (quoted(variable).asc(), quoted(variable).desc()))
+    return S.shapiro_wilk_sums(n, mm, mx, (low[0], low[1], high[1], high[0]), s * s * (n - 1))
+
+
 def missingness_report(df: DataFrame) -> dict:
     """Missing counts by column, and a chi-square of these counts against their mean."""
     r = df.agg(F.count("*").alias("_n"), *[F.count_if(quoted(c).isNull()).alias(c) for c in df.columns]).first().asDict()

@@ -223,3 +223,11 @@ def test_benjamini_hochberg_without_one_task(spark):
 def test_balancing_not_built_is_rejected(spark, method):
     with pytest.raises(ValueError):
         features.balance(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "y string, x double"), "y", method)
+
+
+def test_normality_takes_all_values(spark):
+    r = random.Random(8)
+    for values in ([float(r.choice((0, 1, 2, 3, 4))) for _ in range(6000)], [r.gauss(3, 2) for _ in range(6000)]):
+        got = stats.normality_test(spark.createDataFrame([(x,) for x in values], "v double"), "v")
+        w, p = special.shapiro_wilk(sorted(values))
+        assert math.isclose(got["statistic"], w, rel_tol=1e-9) and math.isclose(got["p_value"], p, rel_tol=1e-5, abs_tol=1e-12)
