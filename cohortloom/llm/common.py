@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import operator
 import os
 import tempfile
 import uuid
@@ -53,41 +51,32 @@ def free_shuffles(spark: SparkSession) -> None:
             spark.conf.set(key, "true")
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def local_path(uri: str) -> str:
-    """A folder as executors open it: the shared folder is mounted at the same place everywhere."""
-    return uri[7:] if uri.startswith("file://") else uri[5:] if uri.startswith("file:") else uri
-
-
 # Span hashes: a polynomial prefix hash modulo 2^64 gives the hash of any byte span from two array reads.
 
-_BASE = 0x9E3779B97F4A7C15
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _U = np.uint64
 
 
-def _splitmix(n: int) -> np.ndarray:
-    z = (np.arange(1, n + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)).astype(np.uint64)
+def _splitmix(n: int, seed: int = 0) -> np.ndarray:
+    z = (np.arange(1 + seed, n + 1 + seed, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)).astype(np.uint64)
     z = (z ^ (z >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> _U(27))) * _U(0x94D049BB133111EB)
     return z ^ (z >> _U(31))
 
 
-_BYTE = _splitmix(256) | _U(1)
-_POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BYTE = (_splitmix(256) | _U(1), _splitmix(256, 256) | _U(1))
+_POW = [[np.ones(1, np.uint64), np.ones(1, np.uint64)] for _ in _BASES]
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
+def _powers(n: int, base: int = 0) -> list[np.ndarray]:
+    """Powers of a base and of its inverse; two independent bases give ranks of 128 bits."""
+    if len(_POW[base][0]) < n:
         size = 1 << max(14, (n - 1).bit_length())
-        for k, step in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+        for k, step in enumerate((_BASES[base], pow(_BASES[base], -1, 1 << 64))):
             powers = np.full(size, step, np.uint64)
             powers[0] = 1
-            _POW[k] = np.cumprod(powers)
-    return _POW[0], _POW[1]
+            _POW[base][k] = np.cumprod(powers)
+    return _POW[base]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -99,17 +88,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def prefix_hash(data: bytes) -> np.ndarray:
-    n = len(data)
+def prefix_of(values: np.ndarray, base: int = 0) -> np.ndarray:
+    """The prefix hash of a sequence of 64-bit values."""
+    n = len(values)
     out = np.zeros(n + 1, np.uint64)
     if n:
-        np.cumsum(_BYTE[np.frombuffer(data, np.uint8)] * _powers(n + 1)[0][:n], out=out[1:])
+        np.cumsum(values * _powers(n + 1, base)[0][:n], out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the byte spans [start, end): equal bytes give equal hashes, wherever they stand."""
-    inverse = _powers(len(prefix))[1]
+def prefix_hash(data: bytes, base: int = 0) -> np.ndarray:
+    return prefix_of(_BYTE[base][np.frombuffer(data, np.uint8)], base)
+
+
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
+    """Hashes of the spans [start, end): equal contents give equal hashes, wherever they stand."""
+    inverse = _powers(len(prefix), base)[1]
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
@@ -162,10 +156,6 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         e = cut(small.select("x.u", "x.v").filter("u > v").distinct(), "edges")
 
 
-def either(conditions):
-    return functools.reduce(operator.or_, conditions)
-
-
 def env_threads_off() -> None:
     """Tokenizer threads would oversubscribe executor cores."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
