@@ -97,7 +97,7 @@ def owned(seq: Sequence, length: int, window: int) -> tuple[np.ndarray, ...]:
     low = _sliding(h, window, np.minimum)
     edge = np.zeros(window - 1, _U)
     anchors = np.flatnonzero(h == _sliding(np.concatenate((edge, low, edge)), window, np.maximum))
-    # The owner changes where the least hash does, and behind an anchor.
+    # The owner can change where the least hash does, and behind an anchor.
     new = np.zeros(len(low) + 1, bool)
     new[0] = True
     new[1:-1] = low[1:] != low[:-1]
@@ -107,6 +107,8 @@ def owned(seq: Sequence, length: int, window: int) -> tuple[np.ndarray, ...]:
     own = np.searchsorted(anchors, first)
     while len(late := np.flatnonzero(h[anchors[own]] != low[first])):
         own[late] += 1
+    other = np.concatenate(([True], own[1:] != own[:-1]))
+    first, own = first[other], own[other]
     last = np.concatenate((first[1:] - 1, [len(low) - 1]))
     return anchors[own], h[anchors[own]], first, last
 
