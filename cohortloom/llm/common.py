@@ -135,6 +135,28 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+HOT_SHARE = 1000
+SALTS = 64
+
+
+def hot_keys(groups: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """Keys that hold more than a thousandth of all rows: at most ``HOT_SHARE`` of them. groups: a row a key, with ``n`` rows."""
+    total = groups.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    return groups.filter(F.col(n) * HOT_SHARE > total).select(*on)
+
+
+def salted_join(rows: DataFrame, payload: DataFrame, on: list[str], hot: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``payload``, a row a key, by ``on``. Rows of hot keys are dealt to ``SALTS`` tasks by ``spread``, and
+    what those keys bring is repeated as often, so no task gets all rows of one key. Join columns that ``spread`` cannot tell
+    apart stay together."""
+    marked = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))  # HOT_SHARE rows at most
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    left = rows.join(marked, on, "left").withColumn("_salt", salt).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = payload.join(marked, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of an edge list: rows (id, component), component the least id reached.
 

@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, prefix_hash, prefix_of, signed, span_hash
+from .common import cut, gram_hash, hot_keys, mix, prefix_hash, prefix_of, salted_join, signed, span_hash
 
 LENGTH = 400
-WINDOW = 129
+WINDOW = 201
 WORDS = 50
-WORD_WINDOW = 25
-STEP = 12
+WORD_WINDOW = 40
+STEP = 15
 _CHUNK = 400_000
 _PART = 1 << 20
 _ROW = "kind byte, h bigint, e bigint, f bigint, key bigint, pos int, reach int, multi boolean"
@@ -92,8 +92,7 @@ def word_units(data: bytes) -> Sequence:
 def owned(seq: Sequence, length: int, window: int) -> tuple[np.ndarray, ...]:
     """(anchors, their grams' ranks, first and last of the starts that each owns)"""
     gram = length - window + 1
-    at = np.arange(seq.n - gram + 1)
-    h = seq.rank(at, at + gram)
+    h = gram_hash(seq.first, gram)
     low = _sliding(h, window, np.minimum)
     edge = np.zeros(window - 1, _U)
     anchors = np.flatnonzero(h == _sliding(np.concatenate((edge, low, edge)), window, np.maximum))
@@ -151,7 +150,8 @@ def _combine(h, e, f, key, pos, reach, multi):
     yield _batch(_ROW_NAMES, _ROW_KINDS, (np.zeros(len(out[0]), np.int8), *out))
     at = np.flatnonzero(every & ~multi)
     if len(at):
-        yield _batch(_ROW_NAMES, _ROW_KINDS, (np.ones(len(at), np.int8), h[at], e[at], f[at], key[at], pos[at], reach[at], np.ones(len(at), bool)))
+        none = np.zeros(len(at), np.int64)  # ranks say nothing more
+        yield _batch(_ROW_NAMES, _ROW_KINDS, (np.ones(len(at), np.int8), h[at] & 1, none, none, key[at], pos[at], reach[at], np.ones(len(at), bool)))
 
 
 class _Chunks:
@@ -346,10 +346,11 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, window: int = WIN
         spans = own if spans is None else spans.union(own)
     spans = spans.groupBy("key").agg(F.collect_set("span").alias("spans"))
     # Copies are marked by id; other texts have one row, that of their carrier.
-    texts = docs.select("id", "key", F.sha2("data", 256).alias("sha"))
-    same = texts.groupBy("key", "sha").agg(F.min("id").alias("carrier"), F.count("*").alias("n"))
+    texts = cut(docs.select("id", "key", F.unhex(F.sha2("data", 256)).alias("sha")), "texts")
+    same = cut(texts.groupBy("key", "sha").agg(F.min("id").alias("carrier"), F.count("*").alias("n")), "same")
     copies = same.filter("n > 1").select("key", "sha", F.lit(True).alias("copy"))
-    marks = texts.join(copies, ["key", "sha"]).select("id", "key", "copy").distinct().withColumn("spans", F.lit(None).cast("array<bigint>"))
+    marks = salted_join(texts, copies, ["key", "sha"], hot_keys(same, ["key", "sha"]), ["id"]).select("id", "key", "copy").distinct()
+    marks = marks.withColumn("spans", F.lit(None).cast("array<bigint>"))
     marks = marks.union(spans.join(same.filter("n = 1").select("key", "carrier"), "key").select("carrier", "key", F.lit(False), "spans"))
     m = marks.select(F.col("id").alias("m_id"), F.col("key").alias("m_key"), "copy", "spans")
     rows = docs.join(m, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")), "left").select("id", "data", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
