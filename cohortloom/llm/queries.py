@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, langid, ngramjoin, packing, pii, quality, repeats, secrets, simhash, warc
-from .common import table
+from .common import fresh_path, table
 
 
 def _digest(findings: str, kinds: tuple[str, ...]):
@@ -20,7 +20,7 @@ def _digest(findings: str, kinds: tuple[str, ...]):
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan_versions(table(spark, sf_dir, "documents"))
+    found = secrets.scan_with_ledger(table(spark, sf_dir, "documents"), fresh_path(spark, "ledger"))
     return found.select("doc_id", *_digest("findings", secrets.BASE_KINDS))
 
 

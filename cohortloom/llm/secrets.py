@@ -1,7 +1,8 @@
 """Secret scans over an incremental blob ledger.
 
 Every version of every file is content-addressed by SHA-256. Only pairs of blob and rule version that the ledger
-has not seen are scanned, once each, and findings are joined back to every path that ever held the blob.
+has not seen are scanned, once each, and findings are joined back to every path that ever held the blob. The ledger is a
+Parquet folder to which each run appends what it has scanned (``scan_with_ledger``).
 
 Defined cases: null content counts as empty and has no findings; rows that repeat share one blob; an empty table
 gives an empty result; columns other than the id and the content are ignored. A null id keeps its row.
@@ -12,9 +13,11 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, hot_keys, salted_join
+
 RULE_VERSION = "2026-1"
 KINDS = ("assign", "access", "hex", "private_key", "host_token", "jwt")
 BASE_KINDS = KINDS[:3]
@@ -56,39 +59,59 @@ def _scan(batches):
         yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(rows, kind)], ["blob", "findings"])
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger kept at ``path``; None where nothing was written yet."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return spark.read.schema(LEDGER).parquet(path)
+
+
 def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(findings per version, ledger with what was new). Columns: id, blob, findings; and LEDGER's."""
+    """(findings per version, what is new for the ledger). Columns: id, blob, findings; and LEDGER's, a row a new blob."""
     spark = versions.sparkSession
     ledger = spark.createDataFrame([], LEDGER) if ledger is None else ledger
     seen = ledger.filter(F.col("rule_version") == rule_version).select("blob", "findings")
     rows = versions.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("blob", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     # One row carries each unseen blob's text; ids spread evenly where blobs may not.
-    carriers = rows.groupBy("blob").agg(F.min("id").alias("carrier"))
-    if ledger is not None:
-        carriers = carriers.join(seen.select("blob"), "blob", "left_anti")
-    c = carriers.select(F.col("blob").alias("c_blob"), "carrier")
+    blobs = cut(rows.groupBy("blob").agg(F.min("id").alias("carrier"), F.count("*").alias("n")), "blobs")
+    c = blobs.join(seen.select("blob"), "blob", "left_anti").select(F.col("blob").alias("c_blob"), "carrier")
     unseen = rows.join(c, F.col("id").eqNullSafe(F.col("carrier")) & (F.col("blob") == F.col("c_blob"))).select("blob", "text")
-    new = unseen.mapInArrow(_scan, f"blob binary, findings {FINDINGS}")
+    # Scanned once, for the findings and for the ledger.
+    new = cut(unseen.mapInArrow(_scan, f"blob binary, findings {FINDINGS}"), "scanned").dropDuplicates(["blob"])
     hits = new.filter(F.size("findings") > 0).unionByName(seen.filter(F.size("findings") > 0)).dropDuplicates(["blob"])
-    paths = rows.select("id", "blob").join(hits, "blob", "left")
-    out = paths.select(F.col("id").alias(id_col), "blob", F.coalesce("findings", F.expr(f"cast(array() as {FINDINGS})")).alias("findings"))
-    entries = new.dropDuplicates(["blob"]).select("blob", F.lit(rule_version).alias("rule_version"), "findings")
-    return out, ledger.unionByName(entries)
+    out = salted_join(rows.select("id", "blob"), hits, ["blob"], hot_keys(blobs, ["blob"]), ["id"], "left")
+    out = out.select(F.col("id").alias(id_col), "blob", F.coalesce("findings", F.expr(f"cast(array() as {FINDINGS})")).alias("findings"))
+    return out, new.select("blob", F.lit(rule_version).alias("rule_version"), "findings")
+
+
+def scan_with_ledger(versions: DataFrame, path: str, **options) -> DataFrame:
+    """Findings per version; blobs that the ledger at ``path`` holds are not scanned, and those scanned now are added to it."""
+    found, new = scan_versions(versions, read_ledger(versions.sparkSession, path), **options)
+    new.write.mode("append").parquet(path)
+    return found
 
 
 def redact(documents: DataFrame, mark: str = "[secret]", ledger: DataFrame | None = None) -> DataFrame:
-    """The documents with every found span replaced by ``mark``; overlapping spans are replaced as one."""
+    """The documents with every found span replaced by ``mark``; overlapping spans are replaced as one.
+
+    Defined cases: rows may share an id or have none, each is redacted by the findings of its own text; null texts stay null;
+    n_chars is set anew where something was replaced; other columns, whatever their names, stay as they are.
+    """
     found, _ = scan_versions(documents, ledger)
     names = documents.columns
-    # Rows may share an id, or have none: spans belong to the row's own text. Ids spread evenly where blobs may not.
-    hit = found.filter(F.size("findings") > 0).select(F.col("doc_id").alias("_id"), F.col("blob").alias("_blob"), "findings").dropDuplicates(["_id", "_blob"])
+    # Ids spread evenly where blobs may not. The row itself travels as one column, so that no name can clash.
+    hit = found.filter(F.size("findings") > 0).select(F.col("doc_id").alias("hit_id"), F.col("blob").alias("hit_blob"), "findings").dropDuplicates(["hit_id", "hit_blob"])
     own = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    joined = documents.withColumn("_own", own).join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_blob")), "left")
+    fields = [F.col(f"`{n}`").cast("bigint").alias(n) if n == "n_chars" else F.col(f"`{n}`") for n in names]
+    rows = documents.select(F.struct(*fields).alias("row"), F.col("doc_id").alias("own_id"), own.alias("own_blob"))
+    joined = rows.join(hit, F.col("own_id").eqNullSafe(F.col("hit_id")) & (F.col("own_blob") == F.col("hit_blob")), "left").select("row", "findings")
 
     def cover(batches):
         for batch in batches:
-            texts, spans = batch.column("text").to_pylist(), batch.column("findings").to_pylist()
+            cols = dict(zip(names, batch.column("row").flatten(), strict=True))
+            texts, spans = cols["text"].to_pylist(), batch.column("findings").to_pylist()
             for k, (text, own) in enumerate(zip(texts, spans, strict=True)):
                 if text and own:
                     parts, at = [], 0
@@ -97,11 +120,10 @@ def redact(documents: DataFrame, mark: str = "[secret]", ledger: DataFrame | Non
                             parts += [text[at:s], mark]
                         at = max(at, e)
                     texts[k] = "".join([*parts, text[at:]])
-            cols = {n: batch.column(n) for n in names}
             cols["text"] = pa.array(texts, pa.string())
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([n if not own or t is None else len(t) for n, t, own in zip(cols["n_chars"].to_pylist(), texts, spans, strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
 
     kinds = ", ".join(f"`{n}` {'bigint' if n == 'n_chars' else t}" for n, t in documents.dtypes)
-    return joined.select(*[F.col(n).cast("bigint") if n == "n_chars" else F.col(n) for n in names], "findings").mapInArrow(cover, kinds)
+    return joined.mapInArrow(cover, kinds)

@@ -85,12 +85,28 @@ def test_queries_match_plain(spark, tmp_path, kind):
 
 def test_ledger_scans_only_unseen(spark):
     docs = frame(spark, ["token=abcdef123", "clean", None, "token=abcdef123"])
-    found, ledger = secrets.scan_versions(docs)
+    _, ledger = secrets.scan_versions(docs)
     assert ledger.count() == 3
-    found2, ledger2 = secrets.scan_versions(frame(spark, ["token=abcdef123", "secret: zzzzzz9"]), ledger)
-    assert ledger2.count() == 4 and sorted(len(r.findings) for r in found2.collect()) == [1, 1]
+    found, new = secrets.scan_versions(frame(spark, ["token=abcdef123", "secret: zzzzzz9"]), ledger)
+    assert new.count() == 1 and sorted(len(r.findings) for r in found.collect()) == [1, 1]
     _, again = secrets.scan_versions(docs, ledger, rule_version="next")
-    assert again.count() == 6
+    assert again.count() == 3
+
+
+def test_ledger_is_kept_from_run_to_run(spark, tmp_path):
+    path, texts = f"{tmp_path}/ledger", corpus()
+    first, second = frame(spark, texts[:40]), frame(spark, texts)
+    assert secrets.read_ledger(spark, path) is None
+    secrets.scan_with_ledger(first, path)
+    known = {t or "" for t in texts[:40]}
+    ledger = secrets.read_ledger(spark, path)
+    assert ledger.count() == len(known)
+    _, new = secrets.scan_versions(second, ledger)
+    assert new.count() == len({t or "" for t in texts} - known)
+    got = {r.doc_id: [(x["kind"], x["start"], x["end"]) for x in r.findings] for r in secrets.scan_with_ledger(second, path).collect()}
+    assert got == {k: secrets.find_secrets(t or "") for k, t in enumerate(texts)}
+    assert secrets.read_ledger(spark, path).count() == len({t or "" for t in texts})
+    assert secrets.scan_versions(second, secrets.read_ledger(spark, path))[1].isEmpty()
 
 
 def test_null_ids_and_empty_tables(spark):
@@ -113,3 +129,12 @@ def test_redact_where_texts_share_an_id(spark):
     for i in (7, None):
         got = secrets.redact(frame(spark, texts, [i] * len(texts))).collect()
         assert sorted((r.text, r.n_chars) for r in got if r.text) == sorted(w for w in want if w[0]) and len(got) == len(want)
+
+
+def test_redact_with_clashing_names(spark):
+    docs = frame(spark, ["a token=abcdef123 b", "clean"])
+    for n in ("_id", "findings", "row", "own_id", "own_blob", "hit_id", "blob", "_blob", "a.b"):
+        docs = docs.withColumn(n, docs.doc_id)
+    out = rows(secrets.redact(docs))
+    assert out[0]["text"] == "a [secret] b" and out[1]["text"] == "clean" and secrets.redact(docs).columns == docs.columns
+    assert all(out[k][n] == k for k in out for n in ("_id", "findings", "row", "blob", "a.b"))
