@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path
+from .common import cut, fresh_path, hot_keys, salted_join
 
 ARCHIVE_BYTES = 64 << 20
 MANIFEST = "archive string, records bigint, bytes bigint"
@@ -58,8 +58,9 @@ def _head(data: bytes) -> tuple[dict[str, str], int]:
 def decide(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(id, sha, refers_to) of the pages that revisit another; groups are pre-aggregated before the shuffle."""
     rows = pages.filter(F.octet_length("payload") >= min_bytes).select("id", "sha")
-    keep = rows.groupBy("sha").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1 and refers_to is not null").drop("n")
-    return rows.join(keep, "sha").filter(~F.col("id").eqNullSafe(F.col("refers_to"))).select("id", "sha", "refers_to").distinct()
+    groups = cut(rows.groupBy("sha").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")), "digests")
+    keep = groups.filter("n > 1 and refers_to is not null").drop("n")
+    return salted_join(rows, keep, ["sha"], hot_keys(groups, ["sha"]), ["id"]).filter(~F.col("id").eqNullSafe(F.col("refers_to"))).select("id", "sha", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
