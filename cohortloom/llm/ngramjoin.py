@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix, signed, word_shingles
+from .common import components, cut, hot_keys, mix, salted_join, signed, word_shingles
 
 WIDTH = 4
 NUM, DEN = 85, 100  # similarity threshold
@@ -317,8 +317,9 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(compare, "a bigint, b bigint, shared bigint, size_a bigint, size_b bigint")
 
 
-def join(documents: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id); documents link at a similarity of num / den or more."""
+def classes(documents: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, n_shingles, component) of every document; component is a text key, null where there are no words.
+    Documents link at a similarity of num / den or more."""
     linked = f"shared * {den} >= (size_a + size_b - shared) * {num}"
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     docs = documents.select(F.col(id_col).alias("id"), text.alias("data")).withColumn("key", F.xxhash64("data"))
@@ -363,13 +364,43 @@ def join(documents: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DE
         part = components(links)
 
     # Components of texts become components of documents.
+    hot = hot_keys(counted.groupBy("key").agg(F.count("*").alias("n")), ["key"])
     small = part.select(F.col("id").alias("key"), "component")
-    rows = counted.join(small, "key", "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "key")))
-    lowest = rows.filter("n_shingles > 0").groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    out = rows.join(lowest, "component", "left")
+    rows = salted_join(counted.select("id", "key", "n_shingles"), small, ["key"], hot, ["id"], "left")
+    return cut(rows.withColumn("component", F.when(F.col("n_shingles") > 0, F.coalesce("component", "key"))), "classes")
+
+
+def join(documents: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id); documents link at a similarity of num / den or more."""
+    rows = classes(documents, width, num, den, id_col, text_col)
+    groups = cut(rows.filter("component is not null").groupBy("component").agg(F.min("id").alias("component_id"), F.count("*").alias("n")), "components")
+    lowest = groups.filter("n > 1").drop("n")
+    out = salted_join(rows, lowest, ["component"], hot_keys(groups, ["component"]), ["id"], "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
+def keep_one(documents: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, as they are, without those that a kept one stands for: of each group of linked documents the row with
+    the least id stays, rows without an id last, of several the one with the least text key, of equal rows one.
+
+    Defined cases: texts without words are linked with nothing and all stay; rows that share an id or have none are told
+    apart by their texts; an empty table stays empty; other columns, whatever their names, play no part.
+    """
+    rows = classes(documents, width, num, den, id_col, text_col).filter("component is not null")
+    own = rows.groupBy("component", "id", "key").agg(F.count("*").alias("n"))
+    least = own.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key", "n")).alias("x"))
+    kept = least.select(F.col("x.id").alias("kept_id"), F.col("x.key").alias("kept_key"), F.col("x.n").alias("n"))
+    # The row itself travels as one column, so that no name can clash.
+    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    packed = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(id_col).alias("own_id"), F.xxhash64(text).alias("own_key"))
+    silent = packed.filter(~F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")).select("row")
+    found = packed.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("kept_key")))
+    once = found.filter("n = 1").select("row")
+    # Equal rows are rare: only they need to meet.
+    again = found.filter("n > 1").groupBy("own_id", "own_key").agg(F.first("row").alias("row")).select("row")
+    return silent.union(once).union(again).select("row.*")
+
+
 def large_groups(found: DataFrame, checked: DataFrame, keys: DataFrame, part: DataFrame, num: int = NUM, den: int = DEN) -> DataFrame:
     """Pairs that large groups still leave open: in different components, distances to the group's least member alike."""
     d = checked.select("a", "b", (F.lit(1.0) - F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared"))).alias("d"))
