@@ -7,7 +7,6 @@ All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortloom.llm import decontam, langid, ngramjoin, packing, secrets
 from cohortloom.llm.common import fresh_path, table
@@ -19,14 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least id stays; ids are spread evenly in the join.
-
-    Ids tell rows apart: rows that repeat a kept id all stay, and all rows with a null id where one of them is unlinked or
-    least of its group, near copies of one another and of documents with ids too.
-    """
-    found = ngramjoin.join(docs, width=5, num=80, den=100)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    """Of each group of linked documents one stays, that with the least id; ``ngramjoin.keep_one`` states the other cases."""
+    return ngramjoin.keep_one(docs, width=5, num=80, den=100)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
