@@ -2,11 +2,12 @@
 
 Words and the byte n-grams of the whole text are hashed into buckets with learned vectors; a document is the mean of
 its features' vectors, a softmax layer gives the class. numpy stochastic gradient descent trains it on the driver, on
-at most ``max_train`` labelled rows (a documented bound; those with the least hash of their id). A linear output over
+at most ``max_train`` labelled rows (a documented bound; those with the least hash of their id, texts of more than
+``max_bytes`` bytes left out). A linear output over
 a mean is the mean of each bucket's output, so documents are scored with one table of a float a bucket.
 
 Defined cases: null and empty texts score the bias alone; labels other than 0 and 1 and null ids are not learned from;
-a doubly labelled id counts once, by its least label; without labels of both kinds every score is the share of 1
+a doubly labelled id counts once, by its least label, and an id with several texts by the least; without labels of both kinds every score is the share of 1
 (0.5 without labels); an empty table gives an empty result; other columns are ignored.
 """
 
@@ -23,6 +24,7 @@ BUCKET_BITS = 18
 GRAMS = (3, 4)
 DIM = 8
 MAX_TRAIN = 3000
+MAX_BYTES = 1 << 20
 EPOCHS = 6
 RATE = 0.5
 
@@ -82,18 +84,14 @@ def held_out(column: str, folds: int, fold: int):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, fold: int = 0, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, float]:
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, fold: int = 0, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> tuple[np.ndarray, float]:
     own = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("id", folds, fold))
     own = own.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train)
     texts = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(own), "id").orderBy("id", "text").toLocalIterator()  # own: max_train rows at most
-    seen, data, ys = set(), [], []
-    for r in rows:
-        if r.id not in seen:
-            seen.add(r.id)
-            data.append(bytes(r.text))
-            ys.append(int(r.y))
-    return train(data, ys)
+    rows = texts.filter(F.octet_length("text") <= max_bytes).join(F.broadcast(own), "id")  # own: max_train rows at most
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y")).orderBy("id").toLocalIterator()
+    data = [(bytes(r.text), int(r.y)) for r in rows]
+    return train([t for t, _ in data], [y for _, y in data])
 
 
 def apply(documents: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, folds: int = 5, fold: int = 0) -> DataFrame:
