@@ -3,8 +3,8 @@
 Documents are tokenised once and cut at multiples of the sequence length. Only the histogram of piece lengths, one
 count for each length, comes to the driver; lengths are placed longest first, each into the packs with most room,
 by updating counts of packing patterns. A pattern's slots own ranges of ranks of their length, and pieces find their
-slot by their rank among pieces of equal length. Ranks are counted in hashed buckets, so that a length that very
-many documents share is not ranked by one task.
+slot by their rank among pieces of equal length. Ranks are counted in hashed buckets of about ``bucket_rows`` pieces, so that
+a length that very many documents share is not ranked by one task.
 
 Defined cases: null text is empty and gives the end id alone; repeated rows are packed as documents of their own;
 an empty table gives an empty result; columns other than the id and the text are ignored.
@@ -26,7 +26,7 @@ from .common import cut, env_threads_off
 
 SEQUENCE = 2048
 END_ID = 1
-BUCKETS = 64
+BUCKET_ROWS = 50_000
 _CACHE_WORDS = 400_000
 PIECES = "id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 
@@ -148,25 +148,29 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(documents: DataFrame, tokenizer_path: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(documents: DataFrame, tokenizer_path: str | None = None, sequence: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Pieces with sequence_id, offset and the padded length of their sequence."""
     pieces = cut(token_pieces(documents, tokenizer_path, sequence, end_id, id_col, text_col), "pieces")
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
-    counts = keyed.groupBy("length", "bucket").count()
-    # At most sequence x BUCKETS rows, whatever the input.
-    table = {(r.length, r.bucket): r["count"] for r in counts.toLocalIterator()}
-    histogram, base = {}, np.zeros((sequence + 1, BUCKETS), np.int64)
-    for length, bucket in sorted(table):
-        base[length, bucket] = histogram.get(length, 0)
-        histogram[length] = histogram.get(length, 0) + table[length, bucket]
-    held = documents.sparkSession.sparkContext.broadcast((base, slots(pack_histogram(histogram, sequence))))
+    # One number a length, and a row for every BUCKET_ROWS pieces: all that is collected.
+    histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().toLocalIterator()}
+    n_buckets = [-(-histogram.get(k, 0) // bucket_rows) for k in range(sequence + 1)]
+    parts = F.element_at(F.array(*[F.lit(max(1, n)) for n in n_buckets]), (F.col("length") + 1).cast("int"))
+    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), parts).cast("int"))
+    first = np.concatenate(([0], np.cumsum(n_buckets)))
+    own = np.zeros(first[-1] + 1, np.int64)
+    for r in keyed.groupBy("length", "bucket").count().toLocalIterator():
+        own[first[r.length] + r.bucket] = r["count"]
+    # Ranks of a length begin at 0 in its first bucket.
+    before = np.concatenate(([0], np.cumsum(own)[:-1]))
+    base = before - np.repeat(before[first[:-1].clip(max=len(own) - 1)], np.diff(np.append(first[:-1], len(own))))
+    held = documents.sparkSession.sparkContext.broadcast((first, base, slots(pack_histogram(histogram, sequence))))
     ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("id", "start", "ids_crc32", "doc_tokens")))
 
     def place(batches):
-        base, by_length = held.value
+        first, base, by_length = held.value
         for batch in batches:
             length, bucket, rank = (batch.column(c).to_numpy() for c in ("length", "bucket", "rank"))
-            rank = rank - 1 + base[length, bucket]
+            rank = rank - 1 + base[first[length] + bucket]
             ids, offsets, used = (np.empty(len(rank), np.int64) for _ in range(3))
             for value in np.unique(length):
                 at = np.flatnonzero(length == value)
