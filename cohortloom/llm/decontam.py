@@ -5,8 +5,9 @@ by document frequency the prefix that any match must share is the rarest one. Do
 prefix word propose the window at the one position it could stand; length and position bounds go first, then the
 words are compared exactly.
 
-Items are indexed in blocks of at most ``block_windows`` windows, so what a task holds is bounded however large the
-benchmark is: documents stream past one block after another without a shuffle. Rarity is counted over all documents.
+Items are indexed in blocks of about ``block_windows`` windows, so what a task holds is bounded however large the
+benchmark is: documents stream past one block without a shuffle, and are written between blocks. Rarity is counted over
+all documents.
 
 Defined cases: null text has no words; an item without words has no window; repeated items and documents are rows of
 their own; empty tables give no hits or no rows; columns other than ids and texts are ignored.
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Separators become spaces and A-Z lower case; every byte of a non-ASCII character belongs to a word.
 _WORDS = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
 BLOCK_WINDOWS = 200_000
@@ -99,21 +102,21 @@ def covered(spans) -> int:
 
 
 def _indexes(documents: DataFrame, items: DataFrame, width: int, text_col: str, item_col: str, item_text_col: str, block_windows: int):
-    """Broadcast indexes, one a block of at most about ``block_windows`` windows."""
-    windows = item_windows(items, width, item_col, item_text_col)
+    """Broadcast indexes, one a block of at most about ``block_windows`` windows, and whether another follows."""
+    windows = cut(item_windows(items, width, item_col, item_text_col), "windows")
     n_blocks = max(1, math.ceil(windows.count() / block_windows))
     windows = windows.withColumn("block", F.pmod(F.xxhash64("item", "window"), F.lit(n_blocks)))
     for k in range(n_blocks):
         block = [(r.item, bytes(r.window)) for r in windows.filter(F.col("block") == k).toLocalIterator()]
         frequency = document_frequency(documents, {w for _, x in block for w in x.split(b" ")}, text_col) if block else {}
-        yield documents.sparkSession.sparkContext.broadcast(index_block(block, frequency))
+        yield documents.sparkSession.sparkContext.broadcast(index_block(block, frequency)), k + 1 < n_blocks
 
 
 def contamination(documents: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """(id, n_words, n_hit, items): items are the ids, as strings in order, whose windows occur."""
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("data"), F.lit(0).cast("bigint").alias("n_words"), F.expr("cast(array() as array<int>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     kinds = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
-    for held in _indexes(documents, items, width, text_col, item_col, item_text_col, block_windows):
+    for held, more in _indexes(documents, items, width, text_col, item_col, item_text_col, block_windows):
 
         def look(batches, held=held):
             for batch in batches:
@@ -129,6 +132,9 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = 10, id_co
                 yield pa.RecordBatch.from_arrays(cols, ["id", "data", "n_words", "spans", "items"])
 
         rows = rows.mapInArrow(look, kinds)
+        if more:  # one block's index at a time
+            rows = cut(rows, "block")
+            held.unpersist()
 
     def close(batches):
         for batch in batches:
@@ -139,9 +145,10 @@ def contamination(documents: DataFrame, items: DataFrame, width: int = 10, id_co
 
 
 def keep_clean(documents: DataFrame, items: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The documents, as they are, in which no window of an item occurs."""
+    """The documents, as they are, in which no window of an item occurs; a null text holds none, rows that repeat all stay or
+    all go, other columns play no part."""
     kinds, rows = ", ".join(f"`{n}` {t}" for n, t in documents.dtypes), documents
-    for held in _indexes(documents, items, width, text_col, item_col, item_text_col, block_windows):
+    for held, more in _indexes(documents, items, width, text_col, item_col, item_text_col, block_windows):
 
         def look(batches, held=held):
             for batch in batches:
@@ -149,4 +156,7 @@ def keep_clean(documents: DataFrame, items: DataFrame, width: int = 10, text_col
                 yield batch.filter(pa.array([not match(words((t or "").encode("utf-8", "replace")), held.value)[0] for t in texts], pa.bool_()))
 
         rows = rows.mapInArrow(look, kinds)
+        if more:
+            rows = cut(rows, "block")
+            held.unpersist()
     return rows
