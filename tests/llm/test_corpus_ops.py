@@ -56,11 +56,11 @@ def test_contamination(spark, block):
     assert {r.n_hit for r in decontam.contamination(frame(spark, texts), empty).collect()} == {0}
 
 
-def check_packing(spark, docs, texts):
+def check_packing(spark, docs, texts, **kw):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    got = packing.pack(docs).collect()
+    got = packing.pack(docs, **kw).collect()
     own, sequences = {}, {}
     for r in got:
         own.setdefault(r.doc_id, []).append(r)
@@ -93,6 +93,9 @@ def test_packing_cases(spark):
     texts = [None, "", "a", "a", "x " * 5000, "İstanbul ΣΑΣ ǅ", "<|endoftext|> <b> it's 'Tis WE'LL", "½²³ ª º µ § a b\u0085c", "é é ­", "日本語 한국어", "a" * 3000]
     check_packing(spark, frame(spark, texts), texts)
     assert packing.pack(frame(spark, ["a"]).limit(0)).count() == 0
+    # Lengths that many share are ranked in several buckets.
+    texts = [w for w in ("a", "b c", None) for _ in range(50)] + texts
+    check_packing(spark, frame(spark, texts), texts, bucket_rows=3)
 
 
 @settings(max_examples=300, deadline=None)
@@ -223,10 +226,88 @@ def test_quality_held_out(spark):
 def test_language_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op8_language(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
-    assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95
+    assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.98
     docs = table(spark, sf, "documents")
     model = langid.fit(docs)
     own = rows(langid.apply(frame(spark, [None, "", "12 !", "é"]), model))
     assert [own[k]["lang_pred"] for k in range(3)] == ["und"] * 3 and own[3]["lang_pred"] in model
     assert langid.apply(docs.limit(0), langid.fit(docs.limit(0))).count() == 0
     assert langid.keep_identified(docs, model).count() > 0.97 * docs.count()
+
+
+def test_language_codes_are_plain_compression(spark):
+    """The prediction is the language whose dictionary makes the shortest code, by a compressor set up anew for every block."""
+    import zstandard
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    model = langid.fit(docs)
+    got = rows(langid.apply(docs, model))
+    for r in docs.collect():
+        if not r.text or not any(c.isalpha() for c in r.text):
+            assert got[r.doc_id]["lang_pred"] == "und"
+            continue
+        data, sizes = r.text.lower().encode(), {}
+        for lang, held in model.items():
+            d = zstandard.ZstdCompressionDict(held, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=langid.LEVEL)
+            blocks = [data[k : k + langid.BLOCK] for k in range(0, len(data), langid.BLOCK)]
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress(b)) for b in blocks)
+        order = list(model)
+        assert got[r.doc_id]["lang_pred"] == min(order, key=lambda k: (sizes[k], order.index(k)))
+
+
+def test_language_sample_is_bounded(spark):
+    """Copies count once, so a language of copies is learned, and no more than ``per_language`` texts are drawn."""
+    texts = ["der hund und die katze"] * 50 + [" ".join(words(30, k)) for k in range(60)]
+    docs = spark.createDataFrame([(k, t, "de" if k < 50 else "xx") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, per_language=5)
+    assert set(model) == {"de", "xx"} and model["de"] == b"der hund und die katze "
+    assert 1 <= len(model["xx"].split()) <= 5 * 30
+
+
+def test_quality_loop(spark):
+    """The table of one float a bucket gives the score of the softmax over the mean vector."""
+    texts, labels = [b"good fine text", b"bad junk junk", b"good and fine", b"junk bad"], [1, 0, 1, 0]
+    table_, bias = quality.train(texts, labels, epochs=40)
+    scores = [quality.score(t, table_, bias) for t in texts]
+    assert [int(s > 0.5) for s in scores] == labels
+    # The same steps, one feature at a time, softmax written out.
+    rng = np.random.default_rng(7)
+    vectors = (rng.random((1 << quality.BUCKET_BITS, quality.DIM), np.float32) - 0.5) / quality.DIM
+    out, bias2, step = np.zeros((2, quality.DIM), np.float32), np.zeros(2, np.float32), 0
+    for _ in range(40):
+        for k in rng.permutation(4):
+            own, rate = quality.features(texts[k]), quality.RATE * (1 - step / 160)
+            step += 1
+            mean = np.mean([vectors[b] for b in own], axis=0)
+            z = out @ mean + bias2
+            p = np.exp(z) / np.exp(z).sum() - np.eye(2)[labels[k]]
+            kinds = sorted(set(own.tolist()))
+            grads = {b: rate * np.sqrt(len(kinds)) * (own == b).mean() * (p @ out) for b in kinds}
+            for b, g in grads.items():
+                vectors[b] -= g
+            out, bias2 = out - rate * np.outer(p, mean), bias2 - rate * p
+    for t, s in zip(texts, scores, strict=True):
+        z = out @ np.mean([vectors[b] for b in quality.features(t)], axis=0) + bias2
+        assert s == pytest.approx(np.exp(z[1]) / np.exp(z).sum(), abs=1e-3)
+
+
+def test_fingerprint_bits_by_hand(spark, tmp_path):
+    """All 128 bits through the query, from words and votes counted in plain Python over Spark's own hash."""
+    texts = [" ".join(words(n, n)) for n in (3, 5, 9, 200)]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(queries.op6_simhash(spark, str(tmp_path)))
+
+    def hashed(values, seed=None):
+        args = ", ".join(f"{v}L" if isinstance(v, int) else f"'{v}'" for v in values)
+        more = "" if seed is None else f", {seed}"
+        return spark.sql(f"select xxhash64({args}{more}) h").first().h
+
+    for k, text in enumerate(texts[:3]):
+        own = [hashed([w]) for w in re.findall(r"[^\W_]+", text.lower())]
+        terms = [hashed(own[j : j + 5]) for j in range(len(own) - 4)] if len(own) > 5 else [spark.sql(f"select xxhash64(array({', '.join(f'{v}L' for v in own)})) h").first().h]
+        want = 0
+        for values in (terms, [hashed([t], 0x5851F42D) for t in terms]):
+            for b in range(63, -1, -1):
+                want = want * 2 + (2 * sum(v >> b & 1 for v in values) > len(values))
+        assert got[k]["fingerprint"] == f"{want:032x}"

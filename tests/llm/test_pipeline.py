@@ -63,3 +63,34 @@ def test_stages_take_empty_tables(spark, tmp_path):
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).count() == 0
     assert np.isfinite(langid.MARGIN)
+
+
+def test_join_stage_with_repeated_and_null_ids(spark, tmp_path):
+    """One row of each group stays, whatever its id; rows without words all stay; names may clash."""
+    small_corpus(spark, tmp_path)
+    one, other, far = (" ".join(words(60, k)) for k in (1, 2, 3))
+    texts = [one, one, one + " tail", one, other, other + " x", other, far, far, None, None, "", " \n"]
+    ids = [5, 5, 5, None, None, None, 9, None, None, 1, 1, None, None]
+    docs = frame(spark, texts, ids)
+    for n in ("_id", "row", "own_id", "own_key", "kept_id", "component", "n", "a.b"):
+        docs = docs.withColumn(n, docs.lang)
+    out = pipeline.join_near_duplicates(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(map(str, (x for x in got if (x[1] or "").strip()))) == sorted(map(str, [(5, min((one, one + " tail"), key=lambda t: key_of(spark, t))), (9, other), (None, far)]))
+    assert len([x for x in got if not (x[1] or "").strip()]) == 4
+
+
+def key_of(spark, text):
+    return spark.createDataFrame([(text,)], "t string").selectExpr("xxhash64(cast(t as binary)) k").first().k
+
+
+def test_stages_take_clashing_names(spark, tmp_path):
+    small_corpus(spark, tmp_path)
+    docs = table(spark, str(tmp_path), "documents")
+    for n in ("_id", "data", "held_out", "findings", "words", "spans", "items", "length", "rank", "bucket", "_own"):
+        docs = docs.withColumn(n, docs.lang)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "packing" or out.columns == docs.columns
+        assert out.count() > 0
