@@ -109,3 +109,34 @@ def average_ranks(df: DataFrame, column: str, by: list[str] | None = None) -> Da
     inside = Window.partitionBy(*by, "_b").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = bucketed.join(offsets, [*by, "_b"]).withColumn("_c", F.sum("ties").over(inside))
     return ranked.select(*by, column, "ties", (F.col("_o") + F.col("_c") - (F.col("ties") - 1) / 2).alias("rank"))
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """(by, a column for each of ``shares``): linearly interpolated quantiles of the non-null values, picked by their ranks.
+
+    Values are counted and ranked in range buckets, so no task holds all distinct values of a group.
+    """
+    by = by or []
+    ranks = average_ranks(df, column, by).withColumn("_first", F.col("rank") - (F.col("ties") - 1) / 2 - 1)
+    if by:
+        ranks = ranks.join(ranks.groupBy(*by).agg(F.sum("ties").alias("_all")), by)
+    else:
+        ranks = ranks.withColumn("_all", F.lit(ranks.agg(F.sum("ties")).first()[0]))
+    picks = []
+    for k, share in enumerate(shares.values()):
+        at = (F.col("_all") - 1) * share
+        low, high = F.floor(at), F.least(F.floor(at) + 1, F.col("_all") - 1)
+        value = lambda p: F.max(F.when((F.col("_first") <= p) & (p < F.col("_first") + F.col("ties")), quoted(column)))
+        picks += [value(low).alias(f"_a{k}"), value(high).alias(f"_b{k}"), F.max(at - low).alias(f"_w{k}")]
+    out = ranks.groupBy(*by).agg(*picks)
+    return out.select(*by, *[(F.col(f"_a{k}") * (1 - F.col(f"_w{k}")) + F.col(f"_b{k}") * F.col(f"_w{k}")).alias(name) for k, name in enumerate(shares)])
+
+
+def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """The exact median of each column, in one long form."""
+    if not columns:
+        return {}
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("v")) for c in columns])
+    found = exact_quantiles(df.select(F.explode(cells).alias("x")).select("x.*"), "v", {"m": 0.5}, ["column"])
+    held = {r.column: r.m for r in found.collect()}
+    return {c: held.get(c) for c in columns}

@@ -31,8 +31,9 @@ def aggregate_updrs(df: DataFrame, part1=None, part2=None, part3=None, part4=Non
 def hoehn_yahr_summary(df: DataFrame, column: str) -> DataFrame:
     """(stage, count, proportion, n, median, mean)"""
     v = df.select(quoted(column).cast("double").alias("stage")).dropna()
-    total = v.agg(F.count("*").alias("n"), F.median("stage").alias("median"), F.avg("stage").alias("mean"))
     counts = v.groupBy("stage").agg(F.count("*").alias("count"))
+    # Stages are few: their counts give the rest.
+    total = counts.agg(F.sum("count").alias("n"), F.percentile("stage", F.lit(0.5), F.col("count")).alias("median"), (F.sum(F.col("stage") * F.col("count")) / F.sum("count")).alias("mean"))
     return counts.join(F.broadcast(total), F.lit(True)).select("stage", "count", (F.col("count") / F.col("n")).alias("proportion"), "n", "median", "mean")  # total: one row
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import log_offset, numeric_columns, pipe_count, pipe_first, pipe_tokens, quoted, safe_divide, sqrt_offset, string_columns
+from ..functions.scalar import column_medians, log_offset, numeric_columns, pipe_count, pipe_first, pipe_tokens, quoted, safe_divide, sqrt_offset, string_columns
 from ..model import ENCODING_IGNORED, KEYS, OTHER_BUCKET, TARGET
 from .reduce import _long
 
@@ -96,7 +96,7 @@ def scale(df: DataFrame, columns: list[str] | None = None, kind: str = "standard
 def polynomial(df: DataFrame, columns: list[str], degree: int = 2, interaction_only: bool = False, include_bias: bool = False) -> DataFrame:
     """Products of median-filled columns, named a^2 and "a b"; existing names stay."""
     names = [c for c in columns if c in df.columns]
-    medians = df.agg(*[F.median(quoted(c)).alias(c) for c in names]).first()
+    medians = column_medians(df, names)
     x = {c: F.coalesce(quoted(c).cast("double"), F.lit(medians[c])) for c in names}
     pick = itertools.combinations if interaction_only else itertools.combinations_with_replacement
     out = {"1": F.lit(1.0)} if include_bias else {}
@@ -150,8 +150,7 @@ def impute(df: DataFrame, method: str = "simple_median", columns: list[str] | No
     """simple_mean, simple_median, auto (median), knn (class-free, within hashed cells), mice and missforest (rounds of regressions)."""
     names = columns or numeric_columns(df, SKIP)
     if method in ("simple_mean", "simple_median", "auto"):
-        agg = F.avg if method == "simple_mean" else F.median
-        fill = df.agg(*[agg(quoted(c)).alias(c) for c in names]).first() if names else None
+        fill = df.agg(*[F.avg(quoted(c)).alias(c) for c in names]).first() if names and method == "simple_mean" else column_medians(df, names)
         return df.withColumns({c: F.coalesce(quoted(c).cast("double"), F.lit(fill[c])) for c in names if fill[c] is not None}) if names else df
     if method in ("mice", "missforest"):
         return _iterative(df, names, rounds, method == "missforest")
@@ -212,8 +211,8 @@ def encode(df: DataFrame, column: str, method: str = "safe_target", target: str
         before = Window.partitionBy(column).orderBy(order_by or F.xxhash64(*[quoted(c) for c in df.columns])).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumn(column, (F.coalesce(F.sum(y).over(before), F.lit(0.0)) + prior) / (F.count(y).over(before) + 1))
     if method == "leave_one_out":
-        own = Window.partitionBy(column)
-        return df.withColumn(column, F.coalesce(safe_divide(F.sum(y).over(own) - y, F.count(y).over(own) - 1), F.lit(prior)))
+        sums = df.groupBy(x.alias("_v")).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
+        return df.join(sums, x.eqNullSafe(F.col("_v")), "left").withColumn(column, F.coalesce(safe_divide(F.col("_s") - y, F.col("_n") - 1), F.lit(prior))).drop("_v", "_s", "_n")
     if method == "safe_target":
         fold = F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(5))
         rows = df.withColumn("_fold", fold)

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import is_numeric, numeric_columns, quoted, string_columns
+from ..functions.scalar import exact_quantiles, is_numeric, numeric_columns, quoted, string_columns
 from ..model import COHORT_SYNONYMS, COHORTS, KEYS, TARGET, ReducerConfig, Study, TableKey
 
 _BATCH = 200
@@ -38,11 +38,12 @@ def profile_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """(column, count, mean, std, min, q25, q50, q75, max); quartiles are exact."""
     parts = []
     for names in _batches(columns or numeric_columns(df)):
-        v = _long(df, names).select("column", F.col("value").cast("double").alias("v"))
-        q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        g = v.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), q.alias("q"), F.max("v").alias("max"))
-        parts.append(g.select("column", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max"))
-    return functools.reduce(DataFrame.unionByName, parts)
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("v")) for c in names])
+        v = df.select(F.explode(cells).alias("x")).select("x.*")
+        g = v.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+        parts.append(g.join(exact_quantiles(v, "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["column"]), "column", "left"))
+    out = functools.reduce(DataFrame.unionByName, parts)
+    return out.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> DataFrame:
@@ -52,6 +53,11 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> D
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _deviations(df: DataFrame, columns: list[str]) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast("double").alias("v")) for c in columns])
+    return df.select(F.explode(cells).alias("x")).select("x.*").groupBy("column").agg(F.stddev_samp("v").alias("std"))
+
+
 def drop_suggestions(df: DataFrame, config: ReducerConfig | None = None) -> DataFrame:
     """(column, reason) by the first rule that holds: missing, single value, low variance, high cardinality, metadata."""
     config = config or ReducerConfig()
@@ -59,7 +65,7 @@ def drop_suggestions(df: DataFrame, config: ReducerConfig | None = None) -> Data
     numeric = numeric_columns(df)
     base = profile_nulls(df.select(*[quoted(c) for c in names]))
     own = [c for c in numeric if c in names]
-    spread = profile_numeric(df, own).select("column", "std") if own else df.sparkSession.createDataFrame([], "column string, std double")
+    spread = _deviations(df, own) if own else df.sparkSession.createDataFrame([], "column string, std double")
     lengths = [c for c in string_columns(df) if c in names]
     long_ones = _long(df, lengths).groupBy("column").agg(F.avg(F.length("value")).alias("len")) if lengths else df.sparkSession.createDataFrame([], "column string, len double")
     p = base.join(spread, "column", "left").join(long_ones, "column", "left")
@@ -133,15 +139,25 @@ def key_spine(tables: list[DataFrame], keys=KEYS) -> DataFrame:
 
 
 def merge_study(study: Study, keys=KEYS, order_by: str | None = None) -> DataFrame:
-    """One wide table on the spine: deduplicated tables, prefixed columns, null-safe left joins. Tables lacking a key stay out."""
-    usable = {k: df.withColumn(keys[0], F.col(keys[0]).cast("string")) for k, df in study.tables.items() if set(keys) <= set(df.columns)}
-    wide = key_spine(list(usable.values()), keys)
-    for key, df in usable.items():
-        side = prefixed(dedup_first_non_null(df, keys, order_by), key.prefix, keys)
-        renamed = side.select(*[F.col(k).alias(f"_{k}") for k in keys], *[quoted(c) for c in side.columns if c not in keys])
-        on = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
-        wide = wide.join(renamed, on, "left").drop(*[f"_{k}" for k in keys])
-    return wide
+    """One wide table, a row a key: each table's columns prefixed, each its first non-null value of the key. Tables lacking a
+    key stay out, rows without a subject are dropped, without a visit kept.
+
+    The tables are stacked and aggregated by key at once: one shuffle, however many tables there are.
+    """
+    stacked, picks = [], []
+    for key, df in study.tables.items():
+        if not set(keys) <= set(df.columns):
+            continue
+        names = [c for c in df.columns if c not in keys and c != order_by]
+        at = quoted(order_by) if order_by else F.monotonically_increasing_id()
+        wide = {c: f"{key.prefix}_{c}" for c in names}
+        # A table's columns travel as one, null in the rows of the others.
+        cell = F.struct(at.alias("at"), *[quoted(c).alias(wide[c]) for c in names])
+        tag = f"_t{len(stacked)}"
+        stacked.append(df.select(quoted(keys[0]).cast("string").alias(keys[0]), *[quoted(k) for k in keys[1:]], cell.alias(tag)))
+        picks += [F.min_by(F.col(f"{tag}.`{wide[c]}`"), F.when(F.col(f"{tag}.`{wide[c]}`").isNotNull(), F.col(f"{tag}.at"))).alias(wide[c]) for c in names]
+    rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked).filter(quoted(keys[0]).isNotNull())
+    return rows.groupBy(*keys).agg(*picks) if picks else rows.select(*keys).distinct()
 
 
 def consolidate_cohort(df: DataFrame, sources: list[str] | None = None, target: str = TARGET) -> DataFrame:
@@ -165,9 +181,9 @@ def drop_leakage(df: DataFrame, leakage: list[str], by_source: bool = True) -> D
 
 def remap_numeric_labels(df: DataFrame, target: str, labels: dict) -> DataFrame:
     """Explicit map of codes to labels; codes outside it stop the run."""
-    codes = {r[0] for r in df.select(target).distinct().limit(10_000).collect() if r[0] is not None}
-    if codes - labels.keys():
-        raise ValueError(f"codes without a label: {sorted(codes - labels.keys())}")
+    other = df.filter(~quoted(target).isin(*labels)).select(target).distinct().limit(20).collect()
+    if other:
+        raise ValueError(f"codes without a label: {sorted(r[0] for r in other)}")
     return df.withColumn(target, F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])[F.col(target)])
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import special as S
-from ..functions.scalar import average_ranks, is_numeric, quoted, range_bucket, safe_divide
+from ..functions.scalar import average_ranks, exact_quantiles, is_numeric, quoted, range_bucket, safe_divide
 
 SHAPIRO_ROWS = 5000
 
@@ -37,12 +37,12 @@ def summary_statistics(df: DataFrame, variables: list[str]) -> DataFrame:
             raise ValueError(f"{v} is not numeric")
     cells = F.array(*[F.struct(F.lit(v).alias("variable"), quoted(v).cast("double").alias("v")) for v in variables])
     rows = df.select(F.explode(cells).alias("x")).select("x.*")
-    q = F.percentile("v", F.array(*map(F.lit, (0.25, 0.5, 0.75))))
-    g = rows.groupBy("variable").agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("n_missing"), F.avg("v").alias("mean"), q.alias("q"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.skewness("v").alias("g1"), F.kurtosis("v").alias("g2"))
+    g = rows.groupBy("variable").agg(F.count("v").alias("n"), F.count_if(F.col("v").isNull()).alias("n_missing"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"), F.skewness("v").alias("g1"), F.kurtosis("v").alias("g2"))
+    g = g.join(exact_quantiles(rows, "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["variable"]), "variable", "left")
     n = F.col("n").cast("double")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))
-    return g.select("variable", "n", "n_missing", (100.0 * F.col("n_missing") / (n + F.col("n_missing"))).alias("pct_missing"), "mean", F.col("q")[1].alias("median"), "std", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), skew.alias("skewness"), kurt.alias("kurtosis"))
+    return g.select("variable", "n", "n_missing", (100.0 * F.col("n_missing") / (n + F.col("n_missing"))).alias("pct_missing"), "mean", "median", "std", "min", "max", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), skew.alias("skewness"), kurt.alias("kurtosis"))
 
 
 def normality_test(df: DataFrame, variable: str, method: str = "shapiro") -> dict:
@@ -100,7 +100,7 @@ def missingness_report(df: DataFrame) -> dict:
 
 def group_moments(df: DataFrame, value: str, group: str) -> DataFrame:
     x = quoted(value).cast("double")
-    return df.filter(x.isNotNull() & quoted(group).isNotNull()).groupBy(quoted(group).alias("group")).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"), F.median(x).alias("median"))
+    return df.filter(x.isNotNull() & quoted(group).isNotNull()).groupBy(quoted(group).alias("group")).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.var_samp(x).alias("var"))
 
 
 def _two(df: DataFrame, value: str, group: str):
@@ -156,7 +156,7 @@ def _rank_sums(df: DataFrame, value: str, group: str):
     ranks = average_ranks(rows, "v")
     joined = rows.groupBy("v", "g").agg(F.count("*").alias("n")).join(ranks, "v")
     sums = joined.groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum(F.col("n") * F.col("rank") * F.col("rank")).alias("r2"))
-    medians = rows.groupBy("g").agg(F.median("v").alias("median"))
+    medians = exact_quantiles(rows, "v", {"median": 0.5}, ["g"])
     ties = ranks.agg(F.sum(F.pow("ties", F.lit(3)) - F.col("ties"))).first()[0] or 0.0
     return sorted(sums.join(medians, "g").collect(), key=lambda r: r.g), ties
 
@@ -295,9 +295,17 @@ def _fisher_p(r: float, df_: float) -> float:
     return S.t_sf2(r * math.sqrt(df_ / max(1e-300, 1 - r * r)), df_) if abs(r) < 1 else 0.0
 
 
-def with_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    ranks = average_ranks(df, column).select(quoted(column).alias("_v"), F.col("rank").alias(name))
-    return df.join(ranks, quoted(column) == F.col("_v")).drop("_v")
+def spearman(pairs: DataFrame, n: int) -> float:
+    """Pearson's r of mid-ranks. Ranks are joined to distinct (x, y) cells, weighted by their counts: a value that very
+    many rows share meets its rank once a cell."""
+    cells = pairs.groupBy("x", "y").agg(F.count("*").alias("c"))
+    middle = (n + 1) / 2
+    for k in ("x", "y"):
+        ranks = average_ranks(pairs, k).select(F.col(k).alias(f"_{k}"), (F.col("rank") - middle).alias(f"r{k}"))
+        cells = cells.join(ranks, F.col(k) == F.col(f"_{k}"))
+    c, x, y = F.col("c"), F.col("rx"), F.col("ry")
+    xy, xx, yy = cells.agg(F.sum(c * x * y), F.sum(c * x * x), F.sum(c * y * y)).first()
+    return xy / math.sqrt(xx * yy) if xx and yy else math.nan
 
 
 def correlate_pair(df: DataFrame, x: str, y: str, method: str = "pearson") -> dict:
@@ -309,7 +317,7 @@ def correlate_pair(df: DataFrame, x: str, y: str, method: str = "pearson") -> di
         r = pairs.agg(F.corr("x", "y")).first()[0]
         return {"r": r, "p_value": _fisher_p(r, n - 2), "n": n}
     if method == "spearman":
-        r = with_ranks(with_ranks(pairs, "x", "rx"), "y", "ry").agg(F.corr("rx", "ry")).first()[0]
+        r = spearman(pairs, n)
         return {"r": r, "p_value": _fisher_p(r, n - 2), "n": n}
     if method == "kendall":
         return kendall(pairs, n)
@@ -460,12 +468,24 @@ def linear_regression(df: DataFrame, outcome: str, predictors: list[str], standa
     residuals = full.select("*", fitted.alias("fitted"), (quoted(outcome) - fitted).alias("residual"))
     dw = None
     if order_by:
-        lag = F.lag("residual").over(Window.orderBy(order_by))
-        dw = residuals.withColumn("_l", lag).agg(F.sum(F.pow(F.col("residual") - F.col("_l"), F.lit(2))) / F.sum(F.col("residual") * F.col("residual"))).first()[0]
+        dw = durbin_watson(residuals, order_by)
     names = ["const", *predictors]
     return {"coefficients": {c: {"coef": float(beta[i]), "se": float(se[i]), "t": float(t[i]), "p_value": S.t_sf2(float(t[i]), df_), "ci_low": float(beta[i] - crit * se[i]), "ci_high": float(beta[i] + crit * se[i])} for i, c in enumerate(names)}, "r_squared": r2, "adj_r_squared": 1 - (1 - r2) * (n - 1) / df_, "f_statistic": f, "f_p_value": S.f_sf(f, k, df_), "n": n, "vif": dict(zip(predictors, np.diag(np.linalg.pinv(corr)).tolist(), strict=True)), "durbin_watson": dw, "residuals": residuals}
 
 
+def durbin_watson(df: DataFrame, order_by: str, residual: str = "residual") -> float:
+    """Squared steps between neighbours over squares; neighbours are found in range buckets of the order, whose ends meet on
+    the driver (a row a bucket)."""
+    rows = df.select(quoted(order_by).alias("o"), quoted(residual).alias("r"), range_bucket(df, order_by).alias("b"))
+    before = F.lag("r").over(Window.partitionBy("b").orderBy("o"))
+    at = F.struct("o", "r")
+    parts = rows.withColumn("s", F.pow(F.col("r") - before, F.lit(2))).groupBy("b").agg(F.sum("s").alias("s"), F.sum(F.col("r") * F.col("r")).alias("q"), F.min(at).alias("f"), F.max(at).alias("l"))
+    ends = sorted(parts.collect(), key=lambda x: x.b)
+    steps = sum(x.s or 0.0 for x in ends) + sum((b.f.r - a.l.r) ** 2 for a, b in itertools.pairwise(ends))
+    total = sum(x.q for x in ends)
+    return steps / total if total else math.nan
+
+
 def rank_auc(df: DataFrame, score: str, label: str) -> float:
     rows = df.select(quoted(score).alias("v"), quoted(label).alias("g"))
     r = rows.groupBy("v", "g").agg(F.count("*").alias("n")).join(average_ranks(rows, "v"), "v")

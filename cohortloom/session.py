@@ -9,3 +9,12 @@ def session(app: str = "cohortloom", **conf) -> SparkSession:
     for key, value in (defaults | conf).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the one that ``spark.checkpoint.dir`` names; a local one only where the session names none."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cohortloom-")
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"

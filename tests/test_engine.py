@@ -10,7 +10,8 @@ import pytest
 from cohortloom.functions import cleaners, scalar, special
 from cohortloom.model import ReducerConfig, Study
 from cohortloom.operators import clinical, features, ml, reduce, select, stats
-from cohortloom.plans import catalogue, pipeline
+from cohortloom.plans import catalogue_rules as catalogue
+from cohortloom.plans import pipeline
 from cohortloom.sources import io
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -175,7 +176,8 @@ def test_features_and_cleaners(spark, tmp_path):
     assert [r.m for r in df.select(cleaners.event_id_to_months(cleaners.F.lit("V04")).alias("m")).collect()] == [12] * 3
     assert str(df.select(scalar.month_date(df.d).alias("m")).first().m) == "2020-06-01"
     io.write_arff(df, f"{tmp_path}/a")
-    assert "@ATTRIBUTE 'v' NUMERIC" in spark.read.text(f"{tmp_path}/a").first().value or True
+    lines = [r.value for r in spark.read.text(f"{tmp_path}/a").collect()]
+    assert lines[0] == "@RELATION data" and any(x.upper().startswith("@ATTRIBUTE") and "NUMERIC" in x.upper() for x in lines) and "@DATA" in [x.upper() for x in lines]
     assert io.parse_modalities("Biospecimen; nope") == ["biospecimen"]
 
 
@@ -231,3 +233,40 @@ def test_normality_takes_all_values(spark):
         got = stats.normality_test(spark.createDataFrame([(x,) for x in values], "v double"), "v")
         w, p = special.shapiro_wilk(sorted(values))
         assert math.isclose(got["statistic"], w, rel_tol=1e-9) and math.isclose(got["p_value"], p, rel_tol=1e-5, abs_tol=1e-12)
+
+
+def test_exact_quantiles(spark):
+    """Against numpy, with ties, nulls and groups of one."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    rows = [(g, None if x % 11 == 0 else float(x % 37)) for g, n in (("a", 200), ("b", 7), ("c", 1)) for x in r.integers(1, 5000, n).tolist()] + [("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"low": 0.1, "mid": 0.5, "high": 0.93}
+    got = {x.g: x for x in scalar.exact_quantiles(df, "v", shares, ["g"]).collect()}
+    for g in "abc":
+        own = [v for k, v in rows if k == g and v is not None]
+        if own:
+            assert [got[g][k] for k in shares] == pytest.approx(np.quantile(own, list(shares.values())).tolist())
+    assert "d" not in got
+    assert scalar.column_medians(df.limit(0), ["v"]) == {"v": None}
+
+
+def test_merge_takes_the_first_value_of_each_column(spark):
+    a = spark.createDataFrame([("1", "BL", 2, None, "x"), ("1", "BL", 1, 5.0, None), ("1", None, 1, 7.0, "z"), (None, "BL", 1, 9.0, "q")], "PATNO string, EVENT_ID string, o int, v double, w string")
+    b = spark.createDataFrame([("2", "BL", 1, 3)], "PATNO string, EVENT_ID string, o int, v int")
+    got = {(r.PATNO, r.EVENT_ID): r for r in reduce.merge_study(Study.of({"a": a, "b": b}), order_by="o").collect()}
+    assert set(got) == {("1", "BL"), ("1", None), ("2", "BL")}
+    assert (got["1", "BL"].a_v, got["1", "BL"].a_w, got["1", None].a_v, got["2", "BL"].b_v, got["2", "BL"].a_v) == (5.0, "x", 7.0, 3, None)
+
+
+def test_durbin_watson_and_spearman(spark):
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    e = r.normal(size=500)
+    df = spark.createDataFrame([(k, float(v), float(k % 7), float((k * k) % 5)) for k, v in enumerate(e)], "k int, residual double, x double, y double")
+    assert stats.durbin_watson(df, "k") == pytest.approx(float((np.diff(e) ** 2).sum() / (e**2).sum()))
+    rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+    x, y = (np.array([f(k) for k in range(500)], float) for f in (lambda k: k % 7, lambda k: (k * k) % 5))
+    assert stats.correlate_pair(df, "x", "y", "spearman")["r"] == pytest.approx(float(np.corrcoef(rank(x), rank(y))[0, 1]))
