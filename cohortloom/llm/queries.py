@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, ngramjoin, packing, pii, quality, repeats, secrets, simhash, warc
+from . import decontam, langid, ngramjoin, oracle, packing, pii, quality, repeats, secrets, simhash, warc
 from .common import fresh_path, table
 
 
@@ -72,4 +72,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
