@@ -23,13 +23,14 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _DIGIT = re.compile(r"[0-9]")
-#: Words that make a kind likelier when they stand within WINDOW characters before it.
+_WORD = re.compile(r"[^\W\d_]+")
+#: Words that make a kind likelier when they stand, whole, within WINDOW characters before or after it.
 CONTEXT = {
-    "email": ("mail", "contact", "write", "kontakt", "correo", "courriel"),
-    "ip": ("ip", "host", "server", "address", "adresse"),
-    "card": ("card", "visa", "credit", "payment", "karte", "tarjeta", "carte"),
-    "phone": ("phone", "tel", "call", "mobile", "telefon", "llame"),
-    "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
+    "email": {"mail", "email", "contact", "write", "kontakt", "correo", "courriel"},
+    "ip": {"ip", "host", "server", "address", "adresse"},
+    "card": {"card", "visa", "credit", "payment", "karte", "tarjeta", "carte"},
+    "phone": {"phone", "telephone", "tel", "call", "mobile", "telefon", "llame"},
+    "iban": {"iban", "account", "bank", "konto", "cuenta", "compte"},
 }
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9}
 WINDOW = 48
@@ -84,9 +85,18 @@ def find_pii(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def score(text: str, kind: str, start: int) -> float:
-    near = text[max(0, start - WINDOW) : start].lower()
-    return round(1 - (1 - PRIOR[kind]) * (0.5 if any(w in near for w in CONTEXT[kind]) else 1.0), 4)
+def near_words(text: str, start: int, end: int) -> set[str]:
+    """Words, in lower case, that lie whole within WINDOW characters of a span; one that the window's edge cuts is left out."""
+    low, high = max(0, start - WINDOW), min(len(text), end + WINDOW)
+    found = [(m.start() + low, m.end() + low, m[0].lower()) for m in _WORD.finditer(text[low:start])]
+    found += [(m.start() + end, m.end() + end, m[0].lower()) for m in _WORD.finditer(text[end:high])]
+    cut = lambda s, e: (s == low > 0 and text[low - 1].isalpha()) or (e == high < len(text) and text[high].isalpha())
+    return {w for s, e, w in found if not cut(s, e)}
+
+
+def score(text: str, kind: str, start: int, end: int) -> float:
+    told = not CONTEXT[kind].isdisjoint(near_words(text, start, end))
+    return round(1 - (1 - PRIOR[kind]) * (0.5 if told else 1.0), 4)
 
 
 def _scan(batches):
@@ -94,7 +104,7 @@ def _scan(batches):
     for batch in batches:
         rows = []
         for text in batch.column("text").to_pylist():
-            rows.append([{"kind": k, "start": s, "end": e, "score": score(text, k, s), "base": k in BASE_KINDS} for k, s, e in find_pii(text)] if text else [])
+            rows.append([{"kind": k, "start": s, "end": e, "score": score(text, k, s, e), "base": k in BASE_KINDS} for k, s, e in find_pii(text)] if text else [])
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, kind)], ["id", "findings"])
 
 

@@ -60,10 +60,21 @@ def test_long_runs_stay_linear():
 def test_method_spans():
     assert [x[0] for x in pii.find_pii("account GB82 WEST 1234 5698 7654 32 now")] == ["iban"]
     assert not pii.find_pii("account GB83 WEST 1234 5698 7654 32 now")
-    assert pii.score("my bank account GB82", "iban", 16) > pii.score("zzzzzz", "iban", 6)
     assert [x[0] for x in secrets.find_secrets("-----BEGIN RSA PRIVATE KEY-----")] == ["private_key"]
 
 
+def test_context_words():
+    """Whole words on both sides count; parts of words, also those that the window's edge leaves, do not."""
+    told = lambda text, kind, span: pii.score(text, kind, text.index(span), text.index(span) + len(span)) > pii.PRIOR[kind]
+    assert told("my bank account GB82", "iban", "GB82") and told("+49 30 1234567 (Telefon)", "phone", "+49 30 1234567")
+    assert not told("zzzzzz GB82", "iban", "GB82")
+    assert not told("the trip to 1.2.3.4", "ip", "1.2.3.4") and not told("hotel +49 30 1234567", "phone", "+49 30 1234567")
+    assert told("server " + "x" * 40 + " 1.2.3.4", "ip", "1.2.3.4") is False
+    edge = "tr" + "ip" + " " * (pii.WINDOW - 2) + "1.2.3.4"
+    assert not told(edge, "ip", "1.2.3.4") and told(edge[2:], "ip", "1.2.3.4")
+    assert not told("1.2.3.4" + " " * (pii.WINDOW - 2) + "ipx", "ip", "1.2.3.4")
+
+
 def corpus():
     r = random.Random(5)
     texts = ["".join(r.choice(SECRET_PARTS + PII_PARTS) for _ in range(r.randrange(40))) for _ in range(60)]
