@@ -2,7 +2,8 @@
 
 ``write_archives`` deals pages to archive files in the shared folder. ``normalise`` inflates each file once as a
 stream, rewrites every record as a member of its own and writes a sidecar index of offsets. ``read_archives``
-seeks the members by that index. File names carry the task attempt and only manifests of finished tasks are read,
+seeks the members by that index. Manifests name archives by path and by the URI
+they are opened by, so any shared store that the folder names will do. File names carry the task attempt and only manifests of finished tasks are read,
 so a repeated task leaves nothing half-written in use.
 
 Of pages with equal payloads of at least ``min_bytes``, the one with the largest id becomes the response and the
@@ -27,12 +28,13 @@ from pyspark.sql import functions as F
 from .common import cut, fresh_path, hot_keys, salted_join
 
 ARCHIVE_BYTES = 64 << 20
-MANIFEST = "archive string, records bigint, bytes bigint"
+MANIFEST = "archive string, records bigint, bytes bigint, uri string"
 RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, archive string, record_offset bigint"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _open(uri: str):
+    """The file system of a URI or an absolute local path, and the path within it."""
     return pafs.FileSystem.from_uri(uri)
 
 
@@ -73,11 +75,12 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     def write(batches):
         task = TaskContext.get()
         fs, root = _open(folder)
-        out, done, size, records, path = None, [], 0, 0, ""
+        out, done, size, records, path, uri = None, [], 0, 0, "", ""
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    path = f"{root}/raw-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz"
+                    name = f"raw-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done):04d}.warc.gz"
+                    path, uri = f"{root}/{name}", f"{folder}/{name}"
                     fs.create_dir(root, recursive=True)
                     out, gz, size, records = fs.open_output_stream(path, compression=None), zlib.compressobj(1, zlib.DEFLATED, 31), 0, 0
                 digest = base64.b32encode(bytes.fromhex(row["sha"])).decode()
@@ -87,14 +90,14 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
                 if size >= ARCHIVE_BYTES:
                     out.write(gz.flush())
                     out.close()
-                    done.append((path, records, size))
+                    done.append((path, records, size, uri))
                     out = None
         if out is not None:
             out.write(gz.flush())
             out.close()
-            done.append((path, records, size))
+            done.append((path, records, size, uri))
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["archive", "records", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["archive", "records", "bytes", "uri"])
 
     return cut(typed.mapInArrow(write, MANIFEST), "warc-manifest")
 
@@ -133,22 +136,22 @@ def normalise(manifest: DataFrame, folder: str) -> DataFrame:
         fs, root = _open(folder)
         for batch in batches:
             done = []
-            for path in batch.column("archive").to_pylist():
+            for uri in batch.column("uri").to_pylist():
                 fs.create_dir(root, recursive=True)
-                name = f"{root}/members-{task.taskAttemptId()}-{path.rpartition('/')[2].removeprefix('raw-')}"
+                name = f"members-{task.taskAttemptId()}-{uri.rpartition('/')[2].removeprefix('raw-')}"
                 offset, index = 0, []
-                with fs.open_output_stream(name, compression=None) as out:
-                    for record in _stream(fs, path):
+                with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+                    for record in _stream(*_open(uri)):
                         gz = zlib.compressobj(1, zlib.DEFLATED, 31)
                         member = gz.compress(record) + gz.flush()
                         out.write(member)
                         index.append(json.dumps({"offset": offset, "length": len(member), "id": _head(record)[0]["warc-record-id"]}))
                         offset += len(member)
-                with fs.open_output_stream(name + ".idx", compression=None) as out:
+                with fs.open_output_stream(f"{root}/{name}.idx", compression=None) as out:
                     out.write("\n".join(index).encode())
-                done.append((name, len(index), offset))
+                done.append((f"{root}/{name}", len(index), offset, f"{folder}/{name}"))
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["archive", "records", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], ["archive", "records", "bytes", "uri"])
 
     # One short row an archive: a row each to tasks of their own.
     n = max(1, min(10_000, manifest.count()))
@@ -165,8 +168,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for path in batch.column("archive").to_pylist():
-                fs = _open(path if "://" in path else "file://" + path)[0]
+            for uri in batch.column("uri").to_pylist():
+                fs, path = _open(uri)
                 with fs.open_input_stream(path + ".idx", compression=None) as f:
                     index = [json.loads(x) for x in f.read().decode().splitlines()]
                 rows = []
