@@ -21,6 +21,7 @@ result; columns other than the id and the text are ignored; a null id sorts belo
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ WIDTH = 5
 WORDS64 = 2  # fingerprints have 64 bits times this
 _MASK = 0x0001000100010001
 RADIUS = 11
+BUCKET_ROWS, MAX_BUCKETS = 100_000, 40_000  # rows a range bucket of ids is meant to hold; bounds are literals of the plan
 _SEEDS = (0, 0x5851F42D)
 
 
@@ -116,12 +118,21 @@ def near_search(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks:
     return found.filter(F.col("distance") <= radius).select("query", "near", "distance").distinct()
 
 
+def _bucket_of(x: Column, bounds: list) -> Column:
+    """How many of the rising bounds are at most ``x``: first every ``step``-th is asked, then those between two of them."""
+    step = math.isqrt(len(bounds)) + 1
+    below = lambda held: F.aggregate(held, F.lit(0), lambda n, b: n + F.when(x >= b, 1).otherwise(0))
+    runs = F.array(*[F.array(*[F.lit(b) for b in bounds[k + 1 : k + step]]) if bounds[k + 1 : k + step] else F.expr("cast(array() as array<bigint>)") for k in range(0, len(bounds), step)])
+    coarse = below(F.array(*[F.lit(b) for b in bounds[::step]]))
+    return F.when(x < F.lit(bounds[0]), F.lit(0)).otherwise((coarse - 1) * step + 1 + below(F.get(runs, coarse - 1)))
+
+
 def _dealt(documents: DataFrame, n_buckets: int) -> tuple[DataFrame, DataFrame]:
     """Rows in range buckets by descending id, numbered in each; and for each bucket the first row of the one that
     follows it, after the last the first's. Only bucket bounds, a number fixed by ``n_buckets``, are collected."""
-    marks = documents.select(F.percentile_approx("id", [k / n_buckets for k in range(1, n_buckets)], 10_000)).first()[0] or []
+    marks = documents.select(F.percentile_approx("id", [k / n_buckets for k in range(1, n_buckets)], max(10_000, 10 * n_buckets))).first()[0] or []
     bounds = sorted(set(marks))
-    inner = F.aggregate(F.array(*[F.lit(x) for x in bounds]), F.lit(0), lambda n, x: n + F.when(F.col("id") >= x, 1).otherwise(0)) if bounds else F.lit(0)
+    inner = _bucket_of(F.col("id"), bounds) if bounds else F.lit(0)
     rows = documents.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(inner))
     first = rows.groupBy("bucket").agg(F.max("id").alias("top"))
     heads = rows.join(F.broadcast(first.withColumnRenamed("bucket", "f")), (F.col("bucket") == F.col("f")) & F.col("id").eqNullSafe(F.col("top")))
@@ -140,7 +151,7 @@ def edited_fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col:
     but for ids divisible by 100, see ``with_near_counts``, at a radius of ``RADIUS`` bits.
     """
     spark = documents.sparkSession
-    n_buckets = min(2000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_buckets = min(MAX_BUCKETS, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), documents.count() // BUCKET_ROWS))
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows, heads = _dealt(docs, n_buckets)
     rows = rows.join(heads.select("bucket", "head"), "bucket", "left").withColumn("next_text", F.coalesce("next_text", "head", F.lit("")))
