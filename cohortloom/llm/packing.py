@@ -35,13 +35,17 @@ PIECES = "id {}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigin
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e¡-įı-ſ]")
 _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ſ]+|[0-9²³¹¼-¾]|[^\sa-z0-9ª²³µ¹º¼-¾À-ÖØ-öø-ſ]+")
 
+# What a tokenizer must do for word-by-word encoding to hold; texts go to any other whole.
+_NORMALIZER = r'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\s+"), content=" "), Lowercase()])'
+_SPLITTER = r"""Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])"""
+
 
 class _Words(dict):
     """Encoded words, kept up to a bound: when the young are many they become the old, and old words met again are young."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.old = tokenizer, {}
+        self.tokenizer, self.model, self.old = tokenizer, tokenizer.model, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= _CACHE_WORDS // 2:
@@ -49,7 +53,8 @@ class _Words(dict):
             self.clear()
         out = self.old.get(word)
         if out is None:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            # To the byte-level model a lower-case ASCII word is its own bytes: normaliser and splitter have nothing to do.
+            ids = [t.id for t in self.model.tokenize(word)] if word.isascii() else self.tokenizer.encode(word, add_special_tokens=False).ids
             out = struct.pack(f"<{len(ids)}I", *ids)
         self[word] = out
         return out
@@ -64,10 +69,11 @@ class Encoder:
         env_threads_off()
         self.tokenizer = Tokenizer.from_file(path)
         self.words = _Words(self.tokenizer)
+        self.by_word = (str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)) == (_NORMALIZER, _SPLITTER)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def __call__(self, text: str) -> bytes:
-        if _OTHER.search(text) or ("<" in text and any(s in text for s in self.special)):
+        if not self.by_word or _OTHER.search(text) or ("<" in text and any(s in text for s in self.special)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.words.__getitem__, _WORD.findall(text.lower())))
 
