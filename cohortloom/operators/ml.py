@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, FMClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +62,37 @@ def regressor(name: str, seed: int = 42):
     return made.get(ALIASES.get(name, name)) or GBTRegressor(seed=seed, maxIter=20)
 
 
+#: Cells of scores from 0 to 1 in which Venn-Abers calibration counts.
+SCORE_CELLS = 1000
+
+
+def pool_adjacent(n: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """The least-squares rising fit of hit / n, weighted by n, for cells that hold something."""
+    blocks: list[list] = []  # rows, hits, cells
+    for w, h in zip(n.tolist(), hit.tolist(), strict=True):
+        blocks.append([w, h, 1])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
+            w2, h2, c2 = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + w2, blocks[-1][1] + h2, blocks[-1][2] + c2]
+    return np.repeat([h / w for w, h, _ in blocks], [c for *_, c in blocks])
+
+
+def venn_abers_cells(n: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """By cell p1 / (1 - p0 + p1): the fits at the cell with one more row there, of class 0 and of class 1."""
+    out = np.empty(len(n))
+    for k in range(len(n)):
+        more = n.copy()
+        more[k] += 1
+        full = more > 0
+        at = int(full[:k].sum())
+        p0 = pool_adjacent(more[full], hit[full])[at]
+        own = hit.copy()
+        own[k] += 1
+        p1 = pool_adjacent(more[full], own[full])[at]
+        out[k] = p1 / (1 - p0 + p1)
+    return out
+
+
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     return df.groupBy(quoted(label).alias("label"), quoted(prediction).alias("prediction")).agg(F.count("*").alias("n"))
 
@@ -267,16 +298,28 @@ class Classifier:
         return model.transform(rows).withColumnRenamed(source, name).drop("rawPrediction", "probability", "prediction")
 
     def create_ensemble(self, names: list[str], method: str = "super_learner", rounds: int = 5):
-        """super_learner stacks out-of-fold scores; bma weighs by log-likelihood; bagging and boosting repeat the first."""
+        """super_learner stacks out-of-fold scores, blending those of a held-out fifth; bma weighs by log-likelihood on a
+        held-out fifth; bagging and boosting repeat the first."""
         exp = self.exp
-        if method == "super_learner":
-            meta = LogisticRegression(featuresCol="meta", labelCol="label").fit(self.out_of_fold(names).select("meta", "label"))
-            base = [self.create_model(n) for n in names]
+        held = F.pmod(F.xxhash64("features"), F.lit(5)) == 0  # equal rows are on one side
+        if method in ("super_learner", "blending"):
+            names_of = [f"_p{j}" for j in range(len(names))]
+            assemble = VectorAssembler(inputCols=names_of, outputCol="meta")
+
+            def stacked(models, rows):
+                for m, name in zip(models, names_of, strict=True):
+                    rows = self._scored(m, rows, name)
+                return assemble.transform(rows)
+
+            if method == "blending":
+                base = [self._estimator(n).fit(exp.train.filter(~held)) for n in names]
+                scores = stacked(base, exp.train.filter(held).select("features", "label"))
+            else:
+                base, scores = [self.create_model(n) for n in names], self.out_of_fold(names)
+            meta = LogisticRegression(featuresCol="meta", labelCol="label").fit(scores.select("meta", "label"))
 
             def predict(rows):
-                for j, m in enumerate(base):
-                    rows = self._scored(m, rows, f"_p{j}")
-                return meta.transform(VectorAssembler(inputCols=[f"_p{j}" for j in range(len(base))], outputCol="meta").transform(rows)).drop("meta", *[f"_p{j}" for j in range(len(base))])
+                return meta.transform(stacked(base, rows)).drop("meta", *names_of)
         else:
             if method == "bagging":
                 frac = [exp.train.withColumn("_w", F.floor(-F.ln(1 - F.rand(exp.seed + r)) + F.rand(exp.seed + 100 + r))) for r in range(rounds)]
@@ -294,9 +337,8 @@ class Classifier:
                     weight.append(max(alpha, 1e-3))
                     rows = scored.withColumn("w", F.col("w") * F.when(F.col("wrong"), F.exp(F.lit(min(alpha, 10.0)))).otherwise(1.0)).select("features", "label", "w")
             elif method == "bma":
-                base = [self.create_model(n) for n in names]
-                hold = self.exp.train.filter(F.pmod(F.xxhash64("features"), F.lit(5)) == 0)
-                ll = [m.transform(hold).agg(F.sum(F.ln(F.greatest(vector_to_array("probability")[F.col("label").cast("int")], F.lit(1e-12))))).first()[0] for m in base]
+                base, rest, hold = [self.create_model(n) for n in names], exp.train.filter(~held), exp.train.filter(held)
+                ll = [self._estimator(n).fit(rest).transform(hold).agg(F.sum(F.ln(F.greatest(vector_to_array("probability")[F.col("label").cast("int")], F.lit(1e-12))))).first()[0] or 0.0 for n in names]
                 weight = [math.exp(x - max(ll)) for x in ll]
             else:
                 raise ValueError(f"unknown ensemble {method}")
@@ -315,32 +357,62 @@ class Classifier:
     # Calibration
 
     def calibrate_model(self, name: str, method: str = "isotonic"):
-        """A function from rows to rows with ``calibrated`` (probability of class 1), or for conformal the set of labels."""
-        from pyspark.ml.regression import IsotonicRegression
+        """A function from rows to rows with ``calibrated``: the probability of class 1, with more than two classes an array of all
+        classes' probabilities, each calibrated against the rest and scaled to sum to one; for conformal, the set of labels.
 
+        venn_abers fits isotonically twice, once with the row's score added as class 0 and once as class 1, and merges both; scores
+        are counted in ``SCORE_CELLS`` cells, so only these counts are collected.
+        """
         oof = self.out_of_fold([name]).select("label", vector_to_array("meta").alias("p"))
+        if method not in ("conformal", "temperature_scaling", "platt", "isotonic", "venn_abers"):
+            raise ValueError(f"unknown calibration {method}")
         base = self.create_model(name)
         k = len(self.exp.labels)
         if method == "conformal":
             own = oof.select((1 - F.col("p")[F.col("label").cast("int")]).alias("s"))
             q = own.agg(F.percentile("s", 0.9)).first()[0]
             return lambda rows: base.transform(rows).withColumn("label_set", F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: 1 - F.get(vector_to_array("probability"), c) <= q))
-        positive = oof.select((F.col("label") == 1).cast("double").alias("label"), F.col("p")[1].alias("s"))
-        logit = lambda x: F.ln(F.greatest(x, F.lit(1e-9)) / F.greatest(1 - x, F.lit(1e-9)))
         if method == "temperature_scaling":
+            power = lambda p, t: F.transform(p, lambda x: F.pow(F.greatest(x, F.lit(1e-9)), F.lit(1 / t)))
+            share = lambda p, t, c: F.get(power(p, t), c) / F.aggregate(power(p, t), F.lit(0.0), lambda a, x: a + x)
             grid = [0.25 * 1.2**j for j in range(20)]
-            nll = [F.sum(-F.col("label") * F.ln(1 / (1 + F.exp(-logit(F.col("s")) / t))) - (1 - F.col("label")) * F.ln(1 / (1 + F.exp(logit(F.col("s")) / t)))) for t in grid]
-            t = grid[int(np.argmin(positive.agg(*nll).first()))]
-            return lambda rows: base.transform(rows).withColumn("calibrated", 1 / (1 + F.exp(-logit(vector_to_array("probability")[1]) / t)))
+            nll = oof.agg(*[F.sum(-F.ln(share(F.col("p"), t, F.col("label").cast("int")))) for t in grid]).first()
+            t, p = grid[int(np.argmin(nll))], vector_to_array("probability")
+            scaled = share(p, t, F.lit(1)) if k == 2 else F.array(*[share(p, t, F.lit(c)) for c in range(k)])
+            return lambda rows: base.transform(rows).withColumn("calibrated", scaled)
+        if k == 2:
+            step = self._calibrator(oof, 1, method, "calibrated")
+            return lambda rows: step(base.transform(rows))
+        steps = [self._calibrator(oof, c, method, f"_c{c}") for c in range(k)]
+
+        def calibrated(rows):
+            rows = base.transform(rows)
+            for step in steps:
+                rows = step(rows)
+            total = sum((F.col(f"_c{c}") for c in range(k)), F.lit(0.0))
+            return rows.withColumn("calibrated", F.array(*[F.when(total > 0, F.col(f"_c{c}") / total).otherwise(1 / k) for c in range(k)])).drop(*[f"_c{c}" for c in range(k)])
+
+        return calibrated
+
+    @staticmethod
+    def _calibrator(oof: DataFrame, c: int, method: str, out: str):
+        """A function that adds ``out``, the calibrated probability of class ``c`` against the rest."""
+        own = oof.select((F.col("label") == c).cast("double").alias("label"), F.col("p")[c].alias("s"))
+        score = vector_to_array("probability")[c]
         if method == "platt":
-            rows_ = VectorAssembler(inputCols=["z"], outputCol="x").transform(positive.withColumn("z", logit(F.col("s"))))
-            m = LogisticRegression(featuresCol="x", labelCol="label").fit(rows_)
+            logit = lambda x: F.ln(F.greatest(x, F.lit(1e-9)) / F.greatest(1 - x, F.lit(1e-9)))
+            m = LogisticRegression(featuresCol="x", labelCol="label").fit(VectorAssembler(inputCols=["z"], outputCol="x").transform(own.withColumn("z", logit(F.col("s")))))
             a, b = float(m.coefficients[0]), float(m.intercept)
-            return lambda rows: base.transform(rows).withColumn("calibrated", 1 / (1 + F.exp(-(a * logit(vector_to_array("probability")[1]) + b))))
+            return lambda rows: rows.withColumn(out, 1 / (1 + F.exp(-(a * logit(score) + b))))
         if method == "isotonic":
-            iso = IsotonicRegression(featuresCol="s", labelCol="label", predictionCol="calibrated").fit(positive)
-            return lambda rows: iso.transform(base.transform(rows).withColumn("s", vector_to_array("probability")[1]))
-        raise ValueError(f"unknown calibration {method}")
+            iso = IsotonicRegression(featuresCol="_s", labelCol="label", predictionCol=out).fit(own.withColumnRenamed("s", "_s"))
+            return lambda rows: iso.transform(rows.withColumn("_s", score)).drop("_s")
+        cell = lambda x: F.floor(x * SCORE_CELLS).cast("int")
+        n, hit = np.zeros(SCORE_CELLS + 1), np.zeros(SCORE_CELLS + 1)
+        for r in own.groupBy(cell(F.col("s")).alias("k")).agg(F.count("*").alias("n"), F.sum("label").alias("hit")).collect():
+            n[r.k], hit[r.k] = r.n, r.hit
+        merged = F.array(*[F.lit(float(x)) for x in venn_abers_cells(n, hit)])
+        return lambda rows: rows.withColumn(out, F.get(merged, cell(score)))
 
     # Explanation and validation
 

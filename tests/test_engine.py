@@ -270,3 +270,45 @@ def test_durbin_watson_and_spearman(spark):
     rank = lambda v: np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
     x, y = (np.array([f(k) for k in range(500)], float) for f in (lambda k: k % 7, lambda k: (k * k) % 5))
     assert stats.correlate_pair(df, "x", "y", "spearman")["r"] == pytest.approx(float(np.corrcoef(rank(x), rank(y))[0, 1]))
+
+
+def test_venn_abers_cells():
+    """Against the min-max formula of the rising fit, on small counts with empty cells and ties."""
+    r = random.Random(9)
+    for _ in range(20):
+        n = np.array([r.choice((0, 0, 1, 2, 5)) for _ in range(12)], float)
+        hit = np.array([r.randint(0, int(x)) for x in n], float)
+
+        def fit(w, h, k):
+            spans = lambda i: [h[i : j + 1].sum() / w[i : j + 1].sum() for j in range(k, len(w))]
+            return max(min(spans(i)) for i in range(k + 1) if w[i : k + 1].sum())
+
+        for k, got in enumerate(ml.venn_abers_cells(n, hit)):
+            more, own = n.copy(), hit.copy()
+            more[k] += 1
+            own[k] += 1
+            p0, p1 = fit(more, hit, k), fit(more, own, k)
+            assert got == pytest.approx(p1 / (1 - p0 + p1)) and p0 <= p1
+
+
+def test_blending_and_calibration(spark):
+    r = np.random.default_rng(8)
+    x, e = r.normal(0, 1, 400), r.normal(0, 0.3, 400)
+    two = [("p" if a + b > 0 else "n", float(a), float(b)) for a, b in zip(x, e, strict=True)]
+    three = [("low" if a + b < -0.5 else "mid" if a + b < 0.5 else "high", float(a), float(b)) for a, b in zip(x, e, strict=True)]
+    c = ml.Classifier()
+    c.setup_experiment(spark.createDataFrame(two, "COHORT string, a double, e double"), "COHORT", folds=2)
+    n = c.exp.test.count()
+    for method in ("blending", "bma"):
+        assert c.create_ensemble(["lr", "nb"], method)(c.exp.test).filter("prediction = label").count() / n > 0.85, method
+    scored = c.calibrate_model("nb", "venn_abers")(c.exp.test)
+    assert scored.filter("calibrated > 0 and calibrated < 1").count() == n
+    assert scored.filter("(calibrated > 0.5) = (label = 1)").count() / n > 0.85
+    c.setup_experiment(spark.createDataFrame(three, "COHORT string, a double, e double"), "COHORT", folds=2)
+    n = c.exp.test.count()
+    for method in ("platt", "isotonic", "temperature_scaling", "venn_abers"):
+        scored = c.calibrate_model("lr", method)(c.exp.test).selectExpr("label", "calibrated", "aggregate(calibrated, 0D, (a, x) -> a + x) as total")
+        assert scored.filter("abs(total - 1) < 1e-9 and array_min(calibrated) >= 0").count() == n, method
+        assert scored.filter("array_position(calibrated, array_max(calibrated)) - 1 = label").count() / n > 0.85, method
+    with pytest.raises(ValueError):
+        c.calibrate_model("lr", "no")
