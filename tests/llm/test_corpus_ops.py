@@ -311,3 +311,26 @@ def test_fingerprint_bits_by_hand(spark, tmp_path):
             for b in range(63, -1, -1):
                 want = want * 2 + (2 * sum(v >> b & 1 for v in values) > len(values))
         assert got[k]["fingerprint"] == f"{want:032x}"
+
+
+def test_words_by_the_merge_model_are_whole_encodings():
+    encoder = packing.Encoder(packing.default_tokenizer())
+    assert encoder.by_word
+    texts = ["it's x''s !'s 'sx I'll '' ' a_b '9 ²x ..' 're're don't!!", "\t\n a\r<b> l'été ªº x'd", "`~@#$%^&*()_+{}|:\"<>?[]\;,./-=", " ".join(words(300, 5)), "ABC Abc9d8", "a b K", ""]
+    for text in texts:
+        want = b"".join(k.to_bytes(4, "little") for k in encoder.tokenizer.encode(text, add_special_tokens=False).ids)
+        assert encoder(text) == want
+        encoder.by_word = False
+        assert encoder(text) == want
+        encoder.by_word = True
+
+
+def test_buckets_of_ids(spark):
+    import bisect
+
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 3, 16, 17, 300):
+        bounds = [3 * k for k in range(1, n + 1)]
+        got = spark.range(-3, 3 * n + 9).select("id", simhash._bucket_of(F.col("id"), bounds).alias("k")).collect()
+        assert all(r.k == bisect.bisect_right(bounds, r.id) for r in got)
