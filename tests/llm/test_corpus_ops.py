@@ -316,7 +316,7 @@ def test_fingerprint_bits_by_hand(spark, tmp_path):
 def test_words_by_the_merge_model_are_whole_encodings():
     encoder = packing.Encoder(packing.default_tokenizer())
     assert encoder.by_word
-    texts = ["it's x''s !'s 'sx I'll '' ' a_b '9 ²x ..' 're're don't!!", "\t\n a\r<b> l'été ªº x'd", "`~@#$%^&*()_+{}|:\"<>?[]\;,./-=", " ".join(words(300, 5)), "ABC Abc9d8", "a b K", ""]
+    texts = ["it's x''s !'s 'sx I'll '' ' a_b '9 ²x ..' 're're don't!!", "\t\n a\r<b> l'été ªº x'd", "`~@#$%^&*()_+{}|:\"<>?[];,./-=", " ".join(words(300, 5)), "ABC Abc9d8", "a b K", ""]
     for text in texts:
         want = b"".join(k.to_bytes(4, "little") for k in encoder.tokenizer.encode(text, add_special_tokens=False).ids)
         assert encoder(text) == want
