@@ -1,4 +1,4 @@
-"""DuckDB SQL for the registered queries that SQL can express: secrets, WARC, decontamination, the n-gram join, repeats.
+"""DuckDB SQL for the registered queries that SQL can express: secrets, WARC, decontamination, the n-gram join, repeats, lexical search.
 
 Each follows its contract in the plainest way, by other means than the operator: all windows, all pairs that share a
 shingle, all 400-byte strings. That is for tables of some thousand documents.
@@ -120,4 +120,17 @@ SELECT doc_id, octet_length(data)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BI
 FROM d LEFT JOIN gone USING (r) LEFT JOIN kept USING (r) LEFT JOIN words USING (r)
 """
 
-SQL = {"op1_secret_scan": SECRETS, "op2_warc_round_trip": WARC, "op4_decontaminate": DECONTAMINATE, "op9_ngram_join": NGRAM_JOIN, "op10_repeats": REPEATS}
+LEXICAL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS ws FROM documents),
+i AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS ws FROM benchmark),
+g AS (SELECT count(*) FILTER (len(ws) > 0) AS big_n, sum(len(ws))::BIGINT AS l FROM d),
+wanted AS (SELECT q, unnest(ws) AS w FROM i),
+post AS (SELECT r, w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM d) WHERE w IN (SELECT w FROM wanted) GROUP BY r, w),
+weights AS (SELECT w, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM (SELECT w, count(*) AS df FROM post GROUP BY w), g),
+impacts AS (SELECT r, w, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len(ws)::BIGINT * big_n) // l))) AS part FROM post JOIN weights USING (w) JOIN d USING (r), g),
+scores AS (SELECT q, r, sum(part)::BIGINT AS score FROM wanted JOIN impacts USING (w) GROUP BY q, r HAVING sum(part) > 0),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scores JOIN d USING (r) JOIN i USING (q))
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+SQL = {"op1_secret_scan": SECRETS, "op2_warc_round_trip": WARC, "op4_decontaminate": DECONTAMINATE, "op9_ngram_join": NGRAM_JOIN, "op10_repeats": REPEATS, "op11_lexical_search": LEXICAL}

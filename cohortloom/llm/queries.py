@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, ngramjoin, oracle, packing, pii, quality, repeats, secrets, simhash, warc
+from . import decontam, langid, lexical, ngramjoin, oracle, packing, pieces, pii, quality, repeats, secrets, simhash, warc
 from .common import fresh_path, table
 
 
@@ -67,8 +67,19 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeat_words")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), sha(ids).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_warc_round_trip, op3_pii, op4_decontaminate, op5_pack, op6_simhash, op7_quality, op8_language, op9_ngram_join, op10_repeats)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_warc_round_trip, op3_pii, op4_decontaminate, op5_pack, op6_simhash, op7_quality, op8_language, op9_ngram_join, op10_repeats, op11_lexical_search, op12_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
