@@ -18,6 +18,7 @@ Models with user-defined or unused pieces, or of another type, raise ValueError.
 
 from __future__ import annotations
 
+import array
 import functools
 import itertools
 import re
@@ -114,15 +115,12 @@ class PieceEncoder:
     def tokens(self, text: str) -> list[str]:
         """The tokens of a text of any length, by backtracking."""
         n, shorter, known, compatible = len(text), self.shorter.get, self.pairs.get, self.compatible
-        longest = list(text)
+        longest = {}
         if self.entries is not None and n > 1:
-            met = -1
-            for end, piece in self.entries.iter(text[::-1]):
-                if end != met:  # of the matches of one end the longest comes first
-                    longest[n - 1 - end] = piece
-                    met = end
+            # Of the matches of one end the longest comes first, so read backwards it is the one that stays.
+            longest = dict(reversed(list(self.entries.iter(text[::-1]))))
         failed, out, at, before = bytearray(n // 8 + 1), [], 0, ""
-        token = longest[0] if n else None
+        token = longest.get(n - 1) or text[:1] or None
         while at < n:
             while token is not None:
                 end = at + len(token)
@@ -134,7 +132,7 @@ class PieceEncoder:
             if token is not None:
                 out.append(token)
                 at, before = end, token
-                token = longest[at] if at < n else None
+                token = longest.get(n - 1 - at) or text[at : at + 1]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 token = shorter(last := out.pop())
@@ -142,33 +140,35 @@ class PieceEncoder:
                 before = out[-1] if out else ""
         return out
 
-    def encode_chunk(self, chunk: str) -> tuple[int, ...]:
+    def encode_chunk(self, chunk: str) -> bytes:
+        """The chunk's ids as 32-bit integers in native order."""
         out: list[int] = []
-        tokens = self.tokens(chunk)
-        try:
-            return tuple([self.ids[t] for t in tokens])
-        except KeyError:
-            for token in tokens:
-                known = self.ids.get(token)
-                if known is not None:
-                    out.append(known)
-                elif self.has_bytes:
-                    out.extend(self.byte_ids[b] for b in token.encode())
-                else:
-                    out.append(self.unknown)
-        return tuple(out)
+        for token in self.tokens(chunk):
+            known = self.ids.get(token)
+            if known is not None:
+                out.append(known)
+            elif self.has_bytes:
+                out.extend(self.byte_ids[b] for b in token.encode())
+            else:
+                out.append(self.unknown)
+        return array.array("i", out).tobytes()
 
-    def __call__(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """The text's ids as 32-bit integers in native order."""
         chunks = self.chunks.findall(self.model.normalize(text))
         if max(map(len, chunks), default=0) <= _CACHE_CHARS:
             found = map(self.short, chunks)
         else:
             found = [self.short(c) if len(c) <= _CACHE_CHARS else self.encode_chunk(c) for c in chunks]
-        out = list(itertools.chain.from_iterable(found))
-        if not self.has_bytes:
-            out = [i for k, i in enumerate(out) if i != self.unknown or not k or out[k - 1] != i]
+        out = b"".join(found)
+        if not self.has_bytes:  # neighbouring unknown characters are one
+            ids = np.frombuffer(out, np.int32)
+            out = ids[(ids != self.unknown) | np.concatenate(([True], ids[:-1] != self.unknown))[: len(ids)]].tobytes()
         return out
 
+    def __call__(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids) if ids else ""
 
@@ -197,12 +197,10 @@ def encode(df: DataFrame, model_path: str | None = None, text_col: str = "text",
     """``df`` with the ids of each text, without begin and end ids."""
 
     def make(texts: pa.Array) -> pa.Array:
-        encoder, found, ends = encoder_of(model_path or default_model()), [], [0]
-        for text in texts:
-            own = encoder(text.as_py() or "")
-            found.append(np.array(own, np.int32))
-            ends.append(ends[-1] + len(own))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+        encoder = encoder_of(model_path or default_model())
+        found = [encoder.packed(text or "") for text in texts.to_pylist()]
+        ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in found]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
     return _with_column(df, ids_col, text_col, ArrayType(IntegerType()), make)
 
@@ -212,6 +210,7 @@ def decode(df: DataFrame, model_path: str | None = None, ids_col: str = "ids", t
 
     def make(ids: pa.Array) -> pa.Array:
         encoder = encoder_of(model_path or default_model())
-        return pa.array([encoder.decode(x.as_py() or []) for x in ids], pa.string())
+        values, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+        return pa.array([encoder.decode(values[a:b].tolist()) for a, b in itertools.pairwise(ends)], pa.string())
 
     return _with_column(df, text_col, ids_col, StringType(), make)
