@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small, settled
+
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
 GUARD_WORDS = ("ID", "DATE", "TIME", "PATNO", "EVENT")
 
@@ -95,41 +97,100 @@ def range_bucket(df: DataFrame, column: str, n: int = 64) -> Column:
     return F.aggregate(F.array(*[F.lit(x) for x in bounds]), F.lit(0), lambda k, x: k + F.when(quoted(column) >= x, 1).otherwise(0))
 
 
-def average_ranks(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """``df``'s (by, column) values with their mid-ranks and tie counts: (by, column, ties, rank).
+#: Distinct values a bucket should hold about, and the most buckets of a group.
+BUCKET_VALUES = 50_000
+MAX_BUCKETS = 1024
+_HALVES = [1 << k for k in reversed(range(MAX_BUCKETS.bit_length() - 1))]
+
+
+def with_buckets(df: DataFrame, column: str, by: list[str] | None = None, per_bucket: int = BUCKET_VALUES) -> DataFrame:
+    """``df`` with ``_b``, a bucket number that grows with ``column`` within each group of ``by``.
+
+    A group gets bounds of its own, as many as its rows call for: quantiles of one sketch a group, found in one aggregate and written
+    down. That table has a row a group, and bounds only for groups of more than ``per_bucket`` rows; it is broadcast if the groups
+    are few. Rows are placed by halving the bounds.
+    """
+    by = by or []
+    shares = ", ".join(f"{k / MAX_BUCKETS}D" for k in range(1, MAX_BUCKETS))
+    name = column.replace("`", "``")
+    found = df.groupBy(*by).agg(F.count(quoted(column)).alias("_d"), F.expr(f"percentile_approx(`{name}`, array({shares}), {10 * MAX_BUCKETS})").alias("_p"))  # one text: a call a share would be slow
+    wanted = F.least(F.ceil(F.col("_d") / per_bucket), F.lit(MAX_BUCKETS)).cast("int")
+    bounds = F.when(wanted > 1, F.transform(F.sequence(F.lit(1), F.greatest(wanted, F.lit(2)) - 1), lambda k: F.col("_p")[(k * MAX_BUCKETS / wanted).cast("int") - 1])).otherwise(F.array().cast(f"array<{dict(df.dtypes)[column]}>"))
+    sizes = broadcast_if_small(settled(found.select(*by, bounds.alias("_bounds")), "bounds"))
+    joined = df.join(sizes, by) if by else df.crossJoin(sizes)  # without groups: one row
+    v = quoted(column)
+    place = F.aggregate(F.array(*map(F.lit, _HALVES)), F.lit(0), lambda at, step: F.when(F.get("_bounds", at + step - 1) <= v, at + step).otherwise(at))
+    return joined.withColumn("_b", F.when(F.size("_bounds") == 0, 0).otherwise(place)).drop("_bounds")
+
+
+def running_sums(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, descending: bool = False) -> DataFrame:
+    """``df`` with, for each name of ``sums``, the sum of that column over the rows of the group up to the row's ``order``, itself included.
+
+    Rows of a group are summed in range buckets and the buckets' sums in order, so no task holds a group. ``order`` must not repeat
+    in a group, and groups of a null key are left out.
+    """
+    by = by or []
+    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    bucketed = with_buckets(df, order, by)
+    totals = bucketed.groupBy(*by, "_b").agg(*[F.sum(quoted(c)).alias(f"_s{k}") for k, c in enumerate(sums.values())])
+    before = Window.partitionBy(*by).orderBy(direction("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    offsets = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_s{k}").over(before), F.lit(0)).alias(f"_o{k}") for k in range(len(sums))])
+    inside = Window.partitionBy(*by, "_b").orderBy(quoted(order).desc() if descending else quoted(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = bucketed.join(offsets, [*by, "_b"])
+    return out.select(*[quoted(c) for c in df.columns], *[(F.col(f"_o{k}") + F.sum(quoted(c)).over(inside)).alias(name) for k, (name, c) in enumerate(sums.items())])
+
+
+def average_ranks(df: DataFrame, column: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """``df``'s (by, column) values with their mid-ranks and tie counts: (by, column, ties, rank). Values are counted first.
 
-    Values are counted first, counts are summed in range buckets, and only a table with a row a bucket is summed in order.
+    weight: a column of counts, where a row stands for several.
     """
     by = by or []
-    values = df.filter(quoted(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("ties"))
-    bucketed = values.withColumn("_b", range_bucket(values, column))
-    totals = bucketed.groupBy(*by, "_b").agg(F.sum("ties").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy(*by, "_b").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = bucketed.join(offsets, [*by, "_b"]).withColumn("_c", F.sum("ties").over(inside))
-    return ranked.select(*by, column, "ties", (F.col("_o") + F.col("_c") - (F.col("ties") - 1) / 2).alias("rank"))
+    values = df.filter(quoted(column).isNotNull()).groupBy(*by, column).agg((F.sum(quoted(weight)) if weight else F.count("*")).alias("ties"))
+    ranked = running_sums(values, column, {"_upto": "ties"}, by)
+    return ranked.select(*by, column, "ties", (F.col("_upto") - (F.col("ties") - 1) / 2).alias("rank"))
+
+
+#: Share of a group's rows on either side of a wanted rank whose values are counted; the sketch errs by a twentieth of it at most.
+_WINDOW = 0.002
+_SKETCH = 10_000
+_SMALL = 2000
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
-    """(by, a column for each of ``shares``): linearly interpolated quantiles of the non-null values, picked by their ranks.
+    """(by, a column for each of ``shares``): linearly interpolated quantiles of the non-null values, exact.
 
-    Values are counted and ranked in range buckets, so no task holds all distinct values of a group.
+    One aggregate of sketches a group gives bounds around each wanted rank; then only the values between these bounds, a small part of
+    the rows, are counted and ranked, in range buckets, and those below the bounds are counted. Groups of at most 2000 rows
+    are counted whole. A wanted rank outside its bounds is an error, not a wrong answer.
     """
     by = by or []
-    ranks = average_ranks(df, column, by).withColumn("_first", F.col("rank") - (F.col("ties") - 1) / 2 - 1)
-    if by:
-        ranks = ranks.join(ranks.groupBy(*by).agg(F.sum("ties").alias("_all")), by)
-    else:
-        ranks = ranks.withColumn("_all", F.lit(ranks.agg(F.sum("ties")).first()[0]))
+    names = list(shares)
+    rows = df.filter(quoted(column).isNotNull()).select(*[quoted(c) for c in by], quoted(column).alias("_v"))
+    edges = [min(1.0, max(0.0, shares[n] + side)) for n in names for side in (-_WINDOW, _WINDOW)]
+    sketch = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.percentile_approx("_v", edges, _SKETCH).alias("_p"))
+    small = F.col("_n") <= _SMALL
+    low = lambda k: F.when(small | F.lit(edges[2 * k] == 0), F.col("_min")).otherwise(F.col("_p")[2 * k])
+    high = lambda k: F.when(small | F.lit(edges[2 * k + 1] == 1), F.col("_max")).otherwise(F.col("_p")[2 * k + 1])
+    bounds = sketch.select(*by, "_n", F.array(*[F.struct(F.lit(k).alias("k"), low(k).alias("low"), high(k).alias("high")) for k in range(len(names))]).alias("_w"))
+    bounds = broadcast_if_small(settled(bounds, "quantile-bounds"))
+    met = rows.join(bounds, by) if by else rows.crossJoin(bounds)  # without groups: one row
+    # For each wanted rank, in one pass: values between its bounds, and NULL for what lies below.
+    parts = F.transform(F.filter("_w", lambda w: F.col("_v") <= w["high"]), lambda w: F.struct(w["k"].alias("k"), F.when(F.col("_v") >= w["low"], F.col("_v")).alias("v")))
+    cells = met.select(*by, "_n", F.explode(parts).alias("_x")).groupBy(*by, "_n", F.col("_x.k").alias("_k"), F.col("_x.v").alias("_v")).agg(F.count("*").alias("_c"))
+    cells = settled(cells, "quantile-values")
+    below = cells.filter("_v is null").select(*by, "_k", F.col("_c").alias("_u"))
+    sizes = cells.select(*by, "_k", "_n").distinct()
+    ranks = average_ranks(cells, "_v", [*by, "_k"], "_c").join(sizes, [*by, "_k"]).join(below, [*by, "_k"], "left")
+    ranks = ranks.withColumn("_first", F.col("rank") - (F.col("ties") - 1) / 2 - 1 + F.coalesce("_u", F.lit(0)))
     picks = []
     for k, share in enumerate(shares.values()):
-        at = (F.col("_all") - 1) * share
-        low, high = F.floor(at), F.least(F.floor(at) + 1, F.col("_all") - 1)
-        value = lambda p: F.max(F.when((F.col("_first") <= p) & (p < F.col("_first") + F.col("ties")), quoted(column)))
-        picks += [value(low).alias(f"_a{k}"), value(high).alias(f"_b{k}"), F.max(at - low).alias(f"_w{k}")]
+        at = (F.col("_n") - 1) * share
+        value = lambda p: F.max(F.when((F.col("_k") == k) & (F.col("_first") <= p) & (p < F.col("_first") + F.col("ties")), F.col("_v")))  # noqa: E731, B023
+        picks += [value(F.floor(at)).alias(f"_a{k}"), value(F.least(F.floor(at) + 1, F.col("_n") - 1)).alias(f"_b{k}"), F.max(at - F.floor(at)).alias(f"_s{k}")]
     out = ranks.groupBy(*by).agg(*picks)
-    return out.select(*by, *[(F.col(f"_a{k}") * (1 - F.col(f"_w{k}")) + F.col(f"_b{k}") * F.col(f"_w{k}")).alias(name) for k, name in enumerate(shares)])
+    sure = lambda c: F.coalesce(c, F.raise_error(F.lit("a wanted rank is outside its sketch's bounds")).cast("double"))
+    return out.select(*by, *[F.when(F.col(f"_s{k}").isNotNull(), sure(F.col(f"_a{k}")) * (1 - F.col(f"_s{k}")) + sure(F.col(f"_b{k}")) * F.col(f"_s{k}")).alias(name) for k, name in enumerate(names)])
 
 
 def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:

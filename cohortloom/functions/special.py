@@ -196,3 +196,18 @@ def _shapiro_p(w: float, n: int) -> float:
         sigma = math.exp(-0.4803 - 0.082676 * x + 0.0030302 * x**2)
         y = math.log(max(1e-300, 1 - w))
     return normal_sf((y - mu) / sigma)
+
+
+def kendall_exact_p(n: int, out_of_order: int) -> float:
+    """Two-sided p of at most ``out_of_order`` of the pairs of a random order of ``n`` being out of order (the smaller side)."""
+    counts = [1.0]  # shares of orders with k pairs out of order, up to the wanted k
+    for size in range(2, n + 1):
+        grown = [0.0] * min(out_of_order + 1, len(counts) + size - 1)
+        run = 0.0
+        for k in range(len(grown)):
+            run += counts[k] if k < len(counts) else 0.0
+            if k >= size:
+                run -= counts[k - size] if k - size < len(counts) else 0.0
+            grown[k] = run / size
+        counts = grown
+    return min(1.0, 2 * sum(counts[: out_of_order + 1]))

@@ -54,43 +54,58 @@ def subgroup_counts(df: DataFrame, cohort: str, flags: dict[str, str], definitio
     return df.groupBy(quoted(cohort).alias("cohort"), group.alias("subgroup")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "cohort", F.col("subgroup").asc_nulls_first())
 
 
-def point_in_time_dose(intervals: DataFrame, subject: str = "subject", start: str = "start", stop: str = "stop", dose: str = "dose", months_after: int = 1) -> DataFrame:
-    """(subject, t, total): total dose at every change date. Intervals are closed, an open end lasts.
+def point_in_time_sums(intervals: DataFrame, values: dict[str, Column], subject: str = "subject", start: str = "start", stop: str = "stop", months_after: int = 1) -> DataFrame:
+    """(subject, t, a sum for each of ``values``) at every change date: starts, and ``months_after`` months after stops.
 
-    Changes are added and subtracted in order of date, a running sum within the subject: each interval is two rows,
-    where a range join would make a row for each date it spans.
+    Intervals are closed, an open end lasts; one that stops before it starts adds its dates and nothing else. Changes are added
+    and subtracted in order of date, a running sum within the subject: an interval is two rows, where a range join would
+    make a row for each date it spans, and all sums share one shuffle.
     """
-    x = intervals.select(quoted(subject).alias("subject"), quoted(start).cast("date").alias("s"), quoted(stop).cast("date").alias("e"), quoted(dose).try_cast("double").alias("dose"))
-    after = F.add_months("e", months_after)
+    names = list(values)
+    x = intervals.select(quoted(subject).alias("subject"), quoted(start).cast("date").alias("s"), quoted(stop).cast("date").alias("e"), *[F.coalesce(v.try_cast("double"), F.lit(0.0)).alias(f"v{k}") for k, v in enumerate(values.values())])
+    x = x.withColumn("holds", F.coalesce(F.col("e") >= F.col("s"), F.col("s").isNotNull()))
     # An interval counts at dates s <= t <= e: it enters at s and leaves at the first date after e.
-    enters = x.select("subject", F.col("s").alias("t"), F.coalesce("dose", F.lit(0.0)).alias("d"), F.lit(True).alias("shown"))
-    leaves = x.filter("e is not null").select("subject", F.date_add("e", 1).alias("t"), (-F.coalesce("dose", F.lit(0.0))).alias("d"), F.lit(False).alias("shown"))
-    marks = x.filter("e is not null").select("subject", after.alias("t"), F.lit(0.0).alias("d"), F.lit(True).alias("shown"))
-    steps = enters.union(leaves).union(marks).groupBy("subject", "t").agg(F.sum("d").alias("d"), F.max("shown").alias("shown"))
+    step = lambda t, sign, shown: F.struct(t.alias("t"), F.lit(shown).alias("shown"), *[(F.when(F.col("holds"), sign * F.col(f"v{k}")).otherwise(0.0)).alias(f"v{k}") for k in range(len(names))])
+    steps = F.array(step(F.col("s"), 1.0, True), step(F.date_add("e", 1), -1.0, False), step(F.add_months("e", months_after), 0.0, True))
+    rows = x.select("subject", F.explode(steps).alias("x")).select("subject", "x.*").filter("t is not null")
+    daily = rows.groupBy("subject", "t").agg(F.max("shown").alias("shown"), *[F.sum(f"v{k}").alias(f"v{k}") for k in range(len(names))])
     running = Window.partitionBy("subject").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return steps.withColumn("total", F.sum("d").over(running)).filter("shown").select("subject", "t", "total")
+    totals = daily.select("subject", "t", "shown", *[F.sum(f"v{k}").over(running).alias(n) for k, n in enumerate(names)])
+    return totals.filter("shown").select("subject", "t", *names)
+
+
+def point_in_time_dose(intervals: DataFrame, subject: str = "subject", start: str = "start", stop: str = "stop", dose: str = "dose", months_after: int = 1) -> DataFrame:
+    """(subject, t, total): total dose at every change date."""
+    return point_in_time_sums(intervals, {"total": quoted(dose)}, subject, start, stop, months_after)
 
 
 def ledd_terms(text: Column) -> tuple[Column, Column, Column]:
-    """(fixed dose, multiplier of levodopa, multiplier of base and levodopa) of a dose text: '100', 'LD x 0.33', '(B + LD) x 0.5'."""
+    """(fixed dose, factor of levodopa, fixed addition under that factor) of a dose text: '100', 'LD x 0.33', '(150 + LD) x 0.33'."""
     fixed = text.try_cast("double")
-    ld = F.regexp_extract(text, r"^\s*LD\s*[xX]\s*([0-9.]+)", 1).try_cast("double")
-    both = F.regexp_extract(text, r"^\s*\(B\s*\+\s*LD\)\s*[xX]\s*([0-9.]+)", 1).try_cast("double")
-    return fixed, ld, both
+    number = r"([0-9]*\.?[0-9]+)"
+    alone = F.regexp_extract(text, rf"^\s*LD\s*[xX]\s*{number}\s*$", 1).try_cast("double")
+    added = rf"^\s*\(\s*{number}\s*\+\s*LD\s*\)\s*[xX]\s*{number}\s*$"
+    base, factor = (F.regexp_extract(text, added, k).try_cast("double") for k in (1, 2))
+    return fixed, F.coalesce(alone, factor), base
 
 
 def is_levodopa(name: Column) -> Column:
     return functools.reduce(lambda a, b: a | b, [F.upper(name).contains(x) for x in LEVODOPA_NAMES])
 
 
-def total_ledd_at(meds: DataFrame, subject: str = "PATNO", drug: str = "LEDTRT", start: str = "STARTDT", stop: str = "STOPDT", ledd: str = "LEDD") -> DataFrame:
-    """(subject, t, levodopa, total): fixed doses plus multiples of the levodopa and base doses then in force."""
-    fixed, ld, both = ledd_terms(quoted(ledd))
-    x = meds.select(quoted(subject).alias("subject"), quoted(start).alias("start"), quoted(stop).alias("stop"), fixed.alias("fixed"), F.coalesce(ld, F.lit(0.0)).alias("ld"), F.coalesce(both, F.lit(0.0)).alias("both"), is_levodopa(quoted(drug)).alias("is_ld"))
-    parts = {"levodopa": F.when(F.col("is_ld"), F.col("fixed")).otherwise(0.0), "base": F.when(~F.col("is_ld"), F.coalesce("fixed", F.lit(0.0))).otherwise(0.0), "ld": F.col("ld"), "both": F.col("both")}
-    sums = [point_in_time_dose(x.withColumn("dose", e), "subject", "start", "stop", "dose").withColumnRenamed("total", n) for n, e in parts.items()]
-    wide = functools.reduce(lambda a, b: a.join(b, ["subject", "t"]), sums)
-    return wide.select("subject", "t", "levodopa", (F.col("base") + F.col("levodopa") + F.col("ld") * F.col("levodopa") + F.col("both") * (F.col("base") + F.col("levodopa"))).alias("total"))
+def total_ledd_at(meds: DataFrame, subject: str = "PATNO", drug: str = "LEDTRT", start: str = "STARTDT", stop: str = "STOPDT", ledd: str = "LEDD", amounts: tuple[str, str, str] | None = None) -> DataFrame:
+    """(subject, t, levodopa, total) at every change date.
+
+    The total is the fixed doses, plus factor times levodopa for each 'LD x f', plus f (b + levodopa) for each '(b + LD) x f' then in
+    force. ``amounts`` names strength, dose and frequency, whose product stands for a levodopa drug's dose that is no number.
+    """
+    fixed, factor, base = ledd_terms(quoted(ledd))
+    levodopa = is_levodopa(quoted(drug))
+    if amounts:
+        fixed = F.coalesce(fixed, F.when(levodopa, functools.reduce(lambda a, b: a * b, [quoted(c).try_cast("double") for c in amounts])))
+    values = {"levodopa": F.when(levodopa, fixed), "_fixed": fixed, "_factor": factor, "_added": base * factor}
+    sums = point_in_time_sums(meds, values, subject, start, stop)
+    return sums.select("subject", "t", "levodopa", (F.col("_fixed") + F.col("_added") + F.col("_factor") * F.col("levodopa")).alias("total"))
 
 
 def carry_forward(df: DataFrame, subject: str, order: str, columns: list[str]) -> DataFrame:
@@ -102,11 +117,92 @@ def worst_stage(df: DataFrame, domains: list[str], name: str = "stage") -> DataF
     return df.withColumn(name, F.greatest(*[quoted(c) for c in domains]))
 
 
-def assay_status(df: DataFrame, replicates: list[str], high: float = 45_000, low: float = 5_000) -> DataFrame:
-    """Positive when at least two replicates exceed ``high``, negative when none exceeds ``low``, else inconclusive."""
-    above = functools.reduce(lambda a, b: a + b, [F.coalesce((quoted(c) > high).cast("int"), F.lit(0)) for c in replicates])
-    over = functools.reduce(lambda a, b: a + b, [F.coalesce((quoted(c) > low).cast("int"), F.lit(0)) for c in replicates])
-    return df.withColumn("status", F.when(above >= 2, "Positive").when(over == 0, "Negative").otherwise("Inconclusive"))
+# By project the fluorescence from which a replicate counts as raised, and from which as high (None: no such level).
+ASSAY_LEVELS = {155: (5_000, None), 237: (3_000, 45_000)}
+# By project, status by the numbers of high, of raised but not high, and of other replicates.
+ASSAY_RULES = {
+    155: {"Positive": ((0, 3, 0),), "Negative": ((0, 1, 2), (0, 0, 3)), "Inconclusive": ((0, 2, 1),)},
+    237: {"Positive": ((3, 0, 0), (2, 1, 0), (1, 2, 0), (0, 3, 0), (0, 2, 1)), "Negative": ((1, 0, 2), (0, 1, 2), (0, 0, 3)), "Inconclusive": ((2, 0, 1), (1, 1, 1))},
+}
+# Type of a positive sample by its number of high replicates, for projects that have types.
+ASSAY_TYPES = {237: {3: "Type 1", 2: "Undetermined", 1: "Type 2", 0: "Type 2"}}
+
+
+def assay_status(df: DataFrame, replicates: list[str], project: str | int) -> DataFrame:
+    """``df`` with ``status`` and ``assay_type`` by the decision table of each row's project.
+
+    project: a column's name, or the one project of all rows. Types are given to positive samples of projects that have them, "NA" to
+    their negative ones, null to inconclusive ones. A missing replicate or an unknown project gives null for both.
+    """
+    own = F.lit(project) if isinstance(project, int) else quoted(project).cast("int")
+    status, kind = F.lit(None).cast("string"), F.lit(None).cast("string")
+    known = functools.reduce(lambda a, b: a & b, [quoted(c).isNotNull() for c in replicates])
+    number = lambda level: functools.reduce(lambda a, b: a + b, [(quoted(c) >= level).cast("int") for c in replicates]) if level is not None else F.lit(0)
+    for name, (raised, high) in ASSAY_LEVELS.items():
+        n_high, n_raised = number(high), number(raised)
+        counts = F.struct(n_high, n_raised - n_high, F.lit(len(replicates)) - n_raised)
+        here = known & (own == name)
+        of_project = F.lit(None).cast("string")
+        for outcome, cases in ASSAY_RULES[name].items():
+            of_project = F.when(functools.reduce(lambda a, b: a | b, [counts == F.struct(*map(F.lit, c)) for c in cases]), outcome).otherwise(of_project)
+        status = F.when(here, of_project).otherwise(status)
+        if name in ASSAY_TYPES:
+            of_high = F.try_element_at(F.create_map(*[F.lit(x) for pair in ASSAY_TYPES[name].items() for x in pair]), n_high)
+            kind = F.when(here, F.when(of_project == "Positive", of_high).when(of_project == "Negative", "NA")).otherwise(kind)
+    return df.withColumns({"status": status, "assay_type": kind})
+
+
+# Codes of a positive synuclein test of the Lewy-body kind, of a positive dopamine test, of an SNCA variant.
+S_POSITIVE, D_POSITIVE, G_SNCA = 1, 1, 3
+# Lowest value of each functional stage: sum of the motor part, and of the non-motor part without its cognitive item.
+MOTOR_STAGES = {3: 3, 4: 14, 5: 27, 6: 40}
+NON_MOTOR_STAGES = {4: 13, 5: 25, 6: 37}
+# Lowest normal score of the cognitive test, lowest sum of signs of subthreshold parkinsonism, highest percentile of a poor sense of smell.
+MOCA_NORMAL, SUBTHRESHOLD_SIGNS, HYPOSMIA_PERCENTILE = 25, 5, 15
+STAGE_FIELDS = ("s", "d", "g", "cognition", "moca", "signs", "motor", "non_motor", "medicated", "rbd", "smell")
+
+
+def _at_least(value: Column, bounds: dict[int, int]) -> Column:
+    """The highest stage whose bound ``value`` reaches, 0 if none; null for null."""
+    stage = F.when(value.isNotNull(), 0)
+    for name, bound in sorted(bounds.items()):
+        stage = F.when(value >= bound, name).otherwise(stage)
+    return stage
+
+
+def synuclein_stage(df: DataFrame, subject: str, order: str, fields: dict[str, str]) -> DataFrame:
+    """Each visit with ``nsd`` (1, 0 or null), ``stage`` ('0', '1A', ... '6' or null) and ``stage_number`` (0 to 6).
+
+    fields: the columns of STAGE_FIELDS: synuclein, dopamine and genetic results; cognitive item (0 to 4); cognitive test; motor signs
+    without tremor; motor sum; non-motor sum without the cognitive item; medicated and sleep disorder (0 or 1); percentile of smell.
+    Missing values are carried forward from the subject's earlier visits. With a positive synuclein test the stage is 1 or 2 by
+    symptoms, A or B by the dopamine result; with a positive dopamine result the worst of three domains is the stage if it is 3 or more. A
+    missing domain leaves the stage open, unless another one reaches 6. A variant alone, with both tests negative, is stage 0.
+    """
+    names = {f: quoted(fields[f]) for f in STAGE_FIELDS}
+    visits = df.withColumns({f"_{f}": c for f, c in names.items()})
+    visits = carry_forward(visits, subject, order, [f"_{f}" for f in STAGE_FIELDS])
+    s, d, g, item, moca, signs, motor, rest, medicated, rbd, smell = (F.col(f"_{f}") for f in STAGE_FIELDS)
+    low = moca < MOCA_NORMAL
+    # The item counts one stage more with a low test score; stages from 3 on: item 1 and low, or item 2.
+    cognitive = F.when(item == 0, 0).otherwise(F.when((item == 1) & ~low, 0).otherwise(F.least(item + 1 + low.cast("int"), F.lit(6))))
+    parkinsonism = (signs >= SUBTHRESHOLD_SIGNS) | (medicated == 1)
+    symptoms = (item >= 1) | parkinsonism | (rbd == 1) | (smell <= HYPOSMIA_PERCENTILE)
+    motor_stage = F.when(motor.between(3, 13), F.when(parkinsonism, 3).when(~parkinsonism, 0)).otherwise(_at_least(motor, MOTOR_STAGES))
+    other = _at_least(rest, NON_MOTOR_STAGES)
+    other = F.when(other == 4, F.when(symptoms, 4).when(~symptoms, 0)).otherwise(other)
+    domains = [cognitive, motor_stage, other]
+    worst = F.greatest(*domains)
+    complete = functools.reduce(lambda a, b: a & b, [x.isNotNull() for x in domains])
+    functional = F.when(complete | (worst == 6), worst)
+    early = F.when(symptoms, 2).when(~symptoms, 1)
+    positive, dopamine = s == S_POSITIVE, d == D_POSITIVE
+    number = F.when(positive & dopamine, F.when(functional >= 3, functional).when(functional.isNotNull(), early))
+    number = number.when(positive & ~dopamine, early).when(~positive & ~dopamine & (g == G_SNCA), 0)
+    nsd = F.when(positive | (g == G_SNCA), 1).when(~positive & (g.isNull() | (g != G_SNCA)), 0)
+    visits = visits.withColumns({"nsd": nsd, "stage_number": number.cast("int")})
+    visits = visits.withColumn("stage", F.concat(F.col("stage_number").cast("string"), F.when(F.col("stage_number").isin(1, 2), F.when(dopamine, "B").otherwise("A")).otherwise("")))
+    return visits.drop(*[f"_{f}" for f in STAGE_FIELDS])
 
 
 def preferred_run(df: DataFrame, subject: str, project: str, preferred, run_date: str) -> DataFrame:

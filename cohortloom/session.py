@@ -1,6 +1,7 @@
 """Session defaults."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(app: str = "cohortloom", **conf) -> SparkSession:
@@ -18,3 +19,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cohortloom-")
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: it is computed once, and survives a lost executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BROADCAST_ROWS = 10_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcasting if it has at most ``BROADCAST_ROWS`` rows, else as it is, for a join by shuffle. Count a settled table."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

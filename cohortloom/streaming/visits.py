@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def visit_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
-    return spark.readStream.schema(schema).format(fmt).load(path)
+def visit_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", **options) -> DataFrame:
+    return spark.readStream.schema(schema).options(**options).format(fmt).load(path)
 
 
 def deduplicated(stream: DataFrame, keys: list[str], time: str, lateness: str = "1 hour") -> DataFrame:
