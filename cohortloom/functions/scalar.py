@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,17 +174,17 @@ def exact_quantiles(df: DataFrame, column: str, shares: dict[str, float], by: li
     small = F.col("_n") <= _SMALL
     low = lambda k: F.when(small | F.lit(edges[2 * k] == 0), F.col("_min")).otherwise(F.col("_p")[2 * k])
     high = lambda k: F.when(small | F.lit(edges[2 * k + 1] == 1), F.col("_max")).otherwise(F.col("_p")[2 * k + 1])
-    bounds = sketch.select(*by, "_n", F.array(*[F.struct(F.lit(k).alias("k"), low(k).alias("low"), high(k).alias("high")) for k in range(len(names))]).alias("_w"))
-    bounds = broadcast_if_small(settled(bounds, "quantile-bounds"))
+    edged = [c for k in range(len(names)) for c in (low(k).alias(f"_l{k}"), high(k).alias(f"_h{k}"))]
+    bounds = broadcast_if_small(settled(sketch.select(*by, "_n", *edged), "quantile-bounds"))
     met = rows.join(bounds, by) if by else rows.crossJoin(bounds)  # without groups: one row
-    # For each wanted rank, in one pass: values between its bounds, and NULL for what lies below.
-    parts = F.transform(F.filter("_w", lambda w: F.col("_v") <= w["high"]), lambda w: F.struct(w["k"].alias("k"), F.when(F.col("_v") >= w["low"], F.col("_v")).alias("v")))
-    cells = met.select(*by, "_n", F.explode(parts).alias("_x")).groupBy(*by, "_n", F.col("_x.k").alias("_k"), F.col("_x.v").alias("_v")).agg(F.count("*").alias("_c"))
-    cells = settled(cells, "quantile-values")
-    below = cells.filter("_v is null").select(*by, "_k", F.col("_c").alias("_u"))
-    sizes = cells.select(*by, "_k", "_n").distinct()
-    ranks = average_ranks(cells, "_v", [*by, "_k"], "_c").join(sizes, [*by, "_k"]).join(below, [*by, "_k"], "left")
-    ranks = ranks.withColumn("_first", F.col("rank") - (F.col("ties") - 1) / 2 - 1 + F.coalesce("_u", F.lit(0)))
+    below = met.groupBy(*by).agg(F.max("_n").alias("_n"), *[F.count_if(F.col("_v") < F.col(f"_l{k}")).alias(f"_u{k}") for k in range(len(names))])
+    within = [F.col("_v").between(F.col(f"_l{k}"), F.col(f"_h{k}")) for k in range(len(names))]
+    near = met.filter(functools.reduce(lambda a, b: a | b, within)).select(*by, "_v", F.explode(F.array_compact(F.array(*[F.when(w, k) for k, w in enumerate(within)]))).alias("_k"))
+    cells = settled(near.groupBy(*by, "_k", "_v").agg(F.count("*").alias("_c")), "quantile-values")
+    below = settled(below, "quantile-counts")
+    below = below.select(*by, "_n", F.posexplode(F.array(*[F.col(f"_u{k}") for k in range(len(names))])).alias("_k", "_u"))
+    ranks = average_ranks(cells, "_v", [*by, "_k"], "_c").join(below, [*by, "_k"])
+    ranks = ranks.withColumn("_first", F.col("rank") - (F.col("ties") - 1) / 2 - 1 + F.col("_u"))
     picks = []
     for k, share in enumerate(shares.values()):
         at = (F.col("_n") - 1) * share

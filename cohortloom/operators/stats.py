@@ -366,12 +366,13 @@ def _isolating_bounds(cells: DataFrame, column: str, rows: int) -> list:
     return sorted(set(cells.select(F.expr(f"percentile_approx({column}, array({shares}), {10 * (n + 1)})")).first()[0] or []))
 
 
-def _isolated(column: str, bounds: DataFrame, name: str):
-    """A bucket number that grows with ``column``: a value that is a bound has a bucket of its own, so that a bucket of two values or more is small."""
-    v = quoted(column)
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(PAIR_BOUNDS.bit_length()))])
-    place = lambda test: F.aggregate(steps, F.lit(0), lambda at, step: F.when(test(F.get(name, at + step - 1)), at + step).otherwise(at))
-    return place(lambda x: x < v) + place(lambda x: x <= v)
+def _isolated(df: DataFrame, column: str, bounds: list, name: str) -> DataFrame:
+    """``df`` with ``name``, a bucket number that grows with ``column``: a value that is a bound has a bucket of its own, so that a bucket of two values
+    or more is small."""
+    held = df.sparkSession.createDataFrame([(bounds,)], f"_bounds array<{dict(df.dtypes)[column]}>")  # one row, at most PAIR_BOUNDS values
+    v, steps = quoted(column), F.array(*[F.lit(1 << k) for k in reversed(range(PAIR_BOUNDS.bit_length()))])
+    place = lambda test: F.aggregate(steps, F.lit(0), lambda at, step: F.when(test(F.get("_bounds", at + step - 1)), at + step).otherwise(at))
+    return df.crossJoin(F.broadcast(held)).withColumn(name, place(lambda x: x < v) + place(lambda x: x <= v)).drop("_bounds")
 
 
 def _pairs_by_order(p: np.ndarray, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
@@ -413,14 +414,11 @@ def dominance_counts(cells: DataFrame) -> tuple[float, float, float]:
     one y bucket from counts by (x bucket, y), pairs of one x bucket from counts by (x, y bucket), and pairs of one bucket of both in that
     bucket. Buckets with a single value have no pairs of their own. No task gets more than about n / 1000 rows, or 50000.
     """
-    spark = cells.sparkSession
     rows = settled(cells.groupBy("x", "y").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "pair-cells")
     n = rows.count()
     placed = rows
     for column, name in (("x", "_u"), ("y", "_v")):
-        bounds = _isolating_bounds(rows, column, n)
-        held = spark.createDataFrame([(bounds,)], f"_bounds array<{dict(rows.dtypes)[column]}>")  # one row, at most PAIR_BOUNDS values
-        placed = placed.crossJoin(F.broadcast(held)).withColumn(name, _isolated(column, held, "_bounds")).drop("_bounds")
+        placed = _isolated(placed, column, _isolating_bounds(rows, column, n), name)
     sums = (F.sum("a").alias("a"), F.sum("b").alias("b"))
     grid = placed.groupBy("_u", "_v").agg(*sums).toPandas()
     size = 2 * PAIR_BOUNDS + 2
@@ -504,20 +502,54 @@ def adjust_pvalues(p: list[float], method: str = "fdr_bh", alpha: float = 0.05)
     return {"p_adjusted": out.tolist(), "reject": (out <= alpha).tolist(), "method": method}
 
 
-def benjamini_hochberg(df: DataFrame, p: str = "p", key: str = "feature") -> DataFrame:
-    """``df`` with p_adj: the reverse running minimum of p m / i. A row a hypothesis; a null p is none and gets null.
+ADJUSTMENTS = ("bonferroni", "sidak", "holm", "fdr_bh", "fdr_by", "fdr_tsbh")
+
+
+def adjust_column(df: DataFrame, p: str = "p", method: str = "fdr_bh", alpha: float = 0.05) -> DataFrame:
+    """``df`` with p_adj, adjusted for as many tests as there are non-null p; a null p is no test and gets null.
 
-    Equal p share the result of the last of them, so distinct p are counted and ranked in range buckets; only a table with
-    a row a bucket is run over in order.
+    Equal p share a result, so distinct p are counted and ranked in range buckets; running extremes are taken in the buckets and, of
+    a row a bucket, over them.
     """
+    if method not in ADJUSTMENTS:
+        raise ValueError(f"unknown method {method}")
     m = df.filter(quoted(p).isNotNull()).count()
-    values = average_ranks(df, p).select(quoted(p), (quoted(p) * m / (F.col("rank") + (F.col("ties") - 1) / 2)).alias("_q"))
-    values = values.withColumn("_b", range_bucket(values, p))
-    above = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    lows = values.groupBy("_b").agg(F.min("_q").alias("_l")).select("_b", F.min("_l").over(above).alias("_l"))
-    inside = Window.partitionBy("_b").orderBy(quoted(p).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    adjusted = values.join(lows, "_b").select(quoted(p), F.least(F.lit(1.0), F.min("_q").over(inside), F.col("_l")).alias("p_adj"))
-    return df.join(adjusted, p, "left").select(*[quoted(c) for c in df.columns], "p_adj")
+    x = quoted(p).cast("double")
+    if method == "bonferroni":
+        return df.withColumn("p_adj", F.least(F.lit(1.0), x * m))
+    if method == "sidak":
+        return df.withColumn("p_adj", 1 - F.pow(1 - x, F.lit(float(m))))
+    values = settled(average_ranks(df, p), "p-ranks")
+    first, last = F.col("rank") - (F.col("ties") - 1) / 2, F.col("rank") + (F.col("ties") - 1) / 2
+    step_down = method == "holm"
+    scale = _harmonic(m) if method == "fdr_by" else 1.0
+    values = with_buckets(values.withColumn("_q", x * (m - first + 1) if step_down else x * m * scale / last), p)
+    # Holm: the greatest of what stands at this p or a smaller one; false discovery rates: the least at this p or a greater one.
+    best = F.max if step_down else F.min
+    order = (lambda c: quoted(c).asc()) if step_down else (lambda c: quoted(c).desc())
+    over = Window.orderBy(order("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    ends = values.groupBy("_b").agg(best("_q").alias("_e")).select("_b", best("_e").over(over).alias("_e"))
+    inside = Window.partitionBy("_b").orderBy(order(p)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    extreme = F.greatest if step_down else F.least
+    adjusted = values.join(F.broadcast(ends), "_b").select(quoted(p), "ties", F.least(F.lit(1.0), extreme(best("_q").over(inside), F.col("_e"))).alias("p_adj"))
+    if method == "fdr_tsbh":
+        adjusted = settled(adjusted, "p-adjusted")
+        true = m - (adjusted.filter(F.col("p_adj") <= alpha).agg(F.sum("ties")).first()[0] or 0)
+        if 0 < true < m:  # the first stage stands where it rejects none or all
+            adjusted = adjusted.withColumn("p_adj", F.col("p_adj") * true / m)
+    return df.join(adjusted.drop("ties"), p, "left").select(*[quoted(c) for c in df.columns], "p_adj")
+
+
+def _harmonic(m: int) -> float:
+    """1 + 1/2 + ... + 1/m."""
+    if m <= 1_000_000:
+        return float((1 / np.arange(1, m + 1)).sum())
+    return math.log(m) + 0.5772156649015329 + 1 / (2 * m) - 1 / (12 * m * m)
+
+
+def benjamini_hochberg(df: DataFrame, p: str = "p", key: str = "feature") -> DataFrame:
+    """``df`` with p_adj by Benjamini and Hochberg."""
+    return adjust_column(df, p, "fdr_bh")
 
 
 # Regress
@@ -690,22 +722,19 @@ def change_from_baseline(df: DataFrame, subject: str, time: str, value: str, bas
 
 
 def risk_table(df: DataFrame, duration: str, event: str, group: str | None = None) -> DataFrame:
-    """(group, t, d, n): events and numbers at risk at each distinct time; rows are aggregated to times first."""
+    """(group, t, d, n): events and numbers at risk at each distinct time; rows are aggregated to times first, and times summed in range buckets."""
     g = quoted(group).cast("string") if group else F.lit("all")
     rows = df.select(g.alias("group"), quoted(duration).cast("double").alias("t"), quoted(event).cast("int").alias("e")).dropna()
     times = rows.groupBy("group", "t").agg(F.sum("e").alias("d"), F.count("*").alias("c"))
-    later = Window.partitionBy("group").orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return times.withColumn("n", F.sum("c").over(later)).select("group", "t", "d", "n")
+    return running_sums(times, "t", {"n": "c"}, ["group"], descending=True).select("group", "t", "d", "n")
 
 
 def kaplan_meier(df: DataFrame, duration: str, event: str, group: str | None = None) -> DataFrame:
     """(group, t, d, n, survival, ci_low, ci_high): log-log Greenwood intervals."""
-    upto = Window.partitionBy("group").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = risk_table(df, duration, event, group)
-    dead = F.max(F.when(F.col("d") == F.col("n"), 1).otherwise(0)).over(upto)
-    log_s = F.sum(F.when(F.col("d") < F.col("n"), F.ln(1 - F.col("d") / F.col("n"))).otherwise(0.0)).over(upto)
-    var = F.sum(F.when(F.col("d") < F.col("n"), F.col("d") / (F.col("n") * (F.col("n") - F.col("d")))).otherwise(0.0)).over(upto)
-    t = t.withColumns({"survival": F.when(dead == 1, 0.0).otherwise(F.exp(log_s)), "_ls": log_s, "_v": var})
+    t, alive = risk_table(df, duration, event, group), F.col("d") < F.col("n")
+    t = t.withColumns({"_log": F.when(alive, F.ln(1 - F.col("d") / F.col("n"))).otherwise(0.0), "_var": F.when(alive, F.col("d") / (F.col("n") * (F.col("n") - F.col("d")))).otherwise(0.0), "_end": F.when(alive, 0).otherwise(1)})
+    t = running_sums(t, "t", {"_ls": "_log", "_v": "_var", "_dead": "_end"}, ["group"])
+    t = t.withColumn("survival", F.when(F.col("_dead") > 0, 0.0).otherwise(F.exp("_ls")))
     half = 1.959963984540054 * F.sqrt("_v") / F.when(F.col("_ls") != 0, F.abs("_ls"))
     return t.select("group", "t", "d", "n", "survival", F.when(F.col("survival") > 0, F.pow("survival", F.exp(half))).alias("ci_low"), F.when(F.col("survival") > 0, F.pow("survival", F.exp(-half))).alias("ci_high"))
 
@@ -730,8 +759,7 @@ def logrank_test(df: DataFrame, duration: str, event: str, group: str) -> dict:
     for k, g in enumerate(groups):
         aggs += [F.sum(F.when(F.col("g") == g, F.col("e")).otherwise(0)).alias(f"d{k}"), F.count_if(F.col("g") == g).alias(f"c{k}")]
     times = rows.groupBy("t").agg(*aggs)
-    later = Window.orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row a distinct time
-    risk = times.withColumns({"n": F.sum("c").over(later)} | {f"n{k}": F.sum(f"c{k}").over(later) for k in range(len(groups))}).filter("d > 0")
+    risk = running_sums(times, "t", {"n": "c"} | {f"n{k}": f"c{k}" for k in range(len(groups))}, descending=True).filter("d > 0")
     n = F.col("n").cast("double")
     spread = F.when(n > 1, F.col("d") * (n - F.col("d")) / (n - 1)).otherwise(0.0)
     k = len(groups) - 1
@@ -743,41 +771,111 @@ def logrank_test(df: DataFrame, duration: str, event: str, group: str) -> dict:
     return {"statistic": stat, "p_value": S.chi2_sf(stat, k), "df": k, "groups": groups}
 
 
+def _cox_terms(p: int, beta: np.ndarray) -> list:
+    """Weight of a row, and the weight times each covariate and each product of two."""
+    w = F.exp(sum((float(b) * F.col(f"x{k}") for k, b in enumerate(beta)), F.lit(0.0)))
+    return [w, *[w * F.col(f"x{k}") for k in range(p)], *[w * F.col(f"x{i}") * F.col(f"x{j}") for i, j in itertools.combinations_with_replacement(range(p), 2)]]
+
+
+def _cox_sums(rows: DataFrame, p: int, beta: np.ndarray, chunk: int = 100_000) -> np.ndarray:
+    """What a Newton step and the test of proportional hazards need, summed over all death times, with Efron ties:
+    log likelihood, gradient (p), information (p x p), and of ranks g of deaths: sums of g r (p), of g, and of g squared.
+
+    Rows are summed to distinct times, times lie in range buckets. Sums of later buckets come from a row a bucket, those of later times
+    in the bucket are added in its task.
+    """
+    terms = _cox_terms(p, beta)
+    m, dead = len(terms), F.col("e") == 1
+    risk = [F.sum(x).alias(f"r{k}") for k, x in enumerate(terms)]
+    held = rows.groupBy("_b").agg(F.sum("e").alias("d"), *risk).orderBy("_b").toPandas()  # at most 2 PAIR_BOUNDS + 1 rows
+    later = np.vstack([held[[f"r{k}" for k in range(m)]].to_numpy(float)[::-1].cumsum(0)[::-1][1:], np.zeros((1, m))])
+    earlier = np.concatenate(([0.0], held.d.to_numpy(float).cumsum()[:-1]))
+    offsets = {int(b): (later[k], earlier[k]) for k, b in enumerate(held._b)}
+    times = rows.groupBy("_b", "t").agg(F.sum("e").alias("d"), *risk, *[F.sum(F.when(dead, x).otherwise(0.0)).alias(f"q{k}") for k, x in enumerate(terms)], *[F.sum(F.when(dead, F.col(f"x{k}")).otherwise(0.0)).alias(f"s{k}") for k in range(p)])
+    at = list(itertools.combinations_with_replacement(range(p), 2))
+
+    def step(frame: pd.DataFrame) -> pd.DataFrame:
+        f = frame.sort_values("t", ascending=False)
+        after, before = offsets[int(f._b.iloc[0])]
+        d = f.d.to_numpy(np.int64)
+        whole = f[[f"r{k}" for k in range(m)]].to_numpy(float).cumsum(0) + after
+        tied, s = f[[f"q{k}" for k in range(m)]].to_numpy(float), f[[f"s{k}" for k in range(p)]].to_numpy(float)
+        rank = before + d[::-1].cumsum()[::-1] - d + (d + 1) / 2
+        out = np.zeros(1 + p + p * p + p + 2)
+        for row in np.flatnonzero(d):
+            mean = np.zeros(p)
+            for low in range(0, d[row], chunk):  # a death time with very many ties is one row and many terms
+                share = np.arange(low, min(low + chunk, d[row])) / d[row]
+                now = whole[row] - share[:, None] * tied[row]
+                e1, h = now[:, 1 : p + 1] / now[:, :1], now[:, p + 1 :] / now[:, :1]
+                mean += e1.sum(0)
+                info = np.zeros((p, p))
+                for k, (i, j) in enumerate(at):
+                    info[i, j] = info[j, i] = h[:, k].sum()
+                out[0] -= np.log(now[:, 0]).sum()
+                out[1 + p : 1 + p + p * p] += (info - e1.T @ e1).ravel()
+            out[0] += s[row] @ beta
+            out[1 : 1 + p] += s[row] - mean
+            out[1 + p + p * p : -2] += rank[row] * (s[row] - mean)
+            out[-2:] += d[row] * np.array([rank[row], rank[row] ** 2])
+        return pd.DataFrame([out], columns=[f"v{k}" for k in range(len(out))])
+
+    size = 1 + p + p * p + p + 2
+    parts = times.groupBy("_b").applyInPandas(step, ", ".join(f"v{k} double" for k in range(size)))
+    return np.array(parts.agg(*[F.sum(f"v{k}") for k in range(size)]).first(), float)
+
+
+def concordance(df: DataFrame, duration: str, event: str, risk: str) -> float:
+    """Share of comparable pairs in which the subject with the higher risk dies first; equal risks count half.
+
+    A pair is comparable if the earlier of the two times is a death; at equal times if just one of them is.
+    """
+    rows = settled(df.select(quoted(duration).cast("double").alias("t"), quoted(event).cast("bigint").alias("a"), quoted(risk).cast("double").alias("y")).dropna(), "concordance")
+    # Twice the mid-ranks of different times are at least 2 apart: censored ones go right behind the deaths of their time.
+    ranks = average_ranks(rows, "t").select("t", F.col("rank").alias("x"))
+    cells = rows.join(ranks, "t").select((2 * F.col("x") + 1 - F.col("a")).alias("x"), "y", "a", F.lit(1).alias("b"))
+    below, equal, above = dominance_counts(cells)
+    total = below + equal + above
+    return (above + equal / 2) / total if total else math.nan
+
+
 def cox_regression(df: DataFrame, duration: str, event: str, covariates: list[str], iterations: int = 25) -> dict:
-    """Newton's method with Efron ties on sums over risk sets by distinct time; failure gives no coefficients."""
-    rows = df.select(quoted(duration).cast("double").alias("t"), quoted(event).cast("int").alias("e"), *[quoted(c).cast("double").alias(f"x{k}") for k, c in enumerate(covariates)]).dropna().cache()
+    """Newton's method with Efron ties, concordance, and a test of proportional hazards for each covariate.
+
+    The test correlates scaled Schoenfeld residuals with mid-ranks of the death times. Sums over risk sets are made in range buckets of
+    time, a row a bucket comes to the driver. Without convergence, as with separated groups, there are no coefficients.
+    """
     p = len(covariates)
-    mean = rows.agg(*[F.avg(f"x{k}") for k in range(p)]).first()
+    rows = settled(df.select(quoted(duration).cast("double").alias("t"), quoted(event).cast("int").alias("e"), *[quoted(c).cast("double").alias(f"x{k}") for k, c in enumerate(covariates)]).dropna(), "cox-rows")
+    n, deaths, *mean = rows.agg(F.count("*"), F.coalesce(F.sum("e"), F.lit(0)), *[F.avg(f"x{k}") for k in range(p)]).first()
+    failed = {"coefficients": {}, "log_likelihood": None, "null_log_likelihood": None, "n": n, "n_events": deaths, "concordance": None, "ph_test": []}
+    if not deaths:
+        return failed
     rows = rows.withColumns({f"x{k}": F.col(f"x{k}") - mean[k] for k in range(p)})
+    rows = settled(_isolated(rows, "t", _isolating_bounds(rows, "t", n), "_b"), "cox-buckets")
     beta, ll, ll0 = np.zeros(p), None, None
-    pairs = list(itertools.combinations_with_replacement(range(p), 2))
     try:
         for _ in range(iterations):
-            w = F.exp(sum((float(b) * F.col(f"x{k}") for k, b in enumerate(beta)), F.lit(0.0)))
-            terms = [w, *[w * F.col(f"x{k}") for k in range(p)], *[w * F.col(f"x{i}") * F.col(f"x{j}") for i, j in pairs]]
-            aggs = [F.sum(x).alias(f"r{k}") for k, x in enumerate(terms)] + [F.sum(F.when(F.col("e") == 1, x).otherwise(0.0)).alias(f"d{k}") for k, x in enumerate(terms)] + [F.sum(F.when(F.col("e") == 1, F.col(f"x{k}")).otherwise(0.0)).alias(f"s{k}") for k in range(p)]
-            t = rows.groupBy("t").agg(F.sum("e").alias("d"), *aggs).orderBy(F.col("t").desc()).toPandas()
-            m = len(terms)
-            risk, dead = t[[f"r{k}" for k in range(m)]].to_numpy().cumsum(0), t[[f"d{k}" for k in range(m)]].to_numpy()
-            grad, hess, new = t[[f"s{k}" for k in range(p)]].to_numpy().sum(0), np.zeros((p, p)), float(t[[f"s{k}" for k in range(p)]].to_numpy().sum(0) @ beta)
-            for row in np.flatnonzero(t.d.to_numpy() > 0):
-                d = int(t.d.iloc[row])
-                for j in range(d):
-                    s = risk[row] - j / d * dead[row]
-                    e1 = s[1 : p + 1] / s[0]
-                    h = np.zeros((p, p))
-                    for k, (a, b) in enumerate(pairs):
-                        h[a, b] = h[b, a] = s[p + 1 + k] / s[0]
-                    grad, hess, new = grad - e1, hess + h - np.outer(e1, e1), new - math.log(s[0])
+            found = _cox_sums(rows, p, beta)
+            if not np.isfinite(found).all():
+                return failed
+            new, grad, info = found[0], found[1 : 1 + p], found[1 + p : 1 + p + p * p].reshape(p, p)
             ll0 = new if ll0 is None else ll0
-            step = np.linalg.solve(hess, grad)
+            variance = np.linalg.inv(info)
             if ll is not None and abs(new - ll) < 1e-9:
                 break
-            ll, beta = new, beta + step
+            ll, beta = new, beta + variance @ grad
+        else:
+            return failed
     except np.linalg.LinAlgError:
-        return {"coefficients": {}, "log_likelihood": None}
-    finally:
-        rows.unpersist()
-    se = np.sqrt(np.diag(np.linalg.inv(hess)))
+        return failed
+    se = np.sqrt(np.diag(variance))
+    g_r, g, g2 = found[1 + p + p * p : -2], found[-2], found[-1]
+    spread = g2 - g * g / deaths
+    scaled = deaths * variance @ (g_r - g / deaths * grad)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        test = scaled**2 / (deaths * spread * se**2)
+    tests = [{"predictor": c, "test_statistic": float(x), "p_value": S.chi2_sf(float(x), 1), "violates_ph": S.chi2_sf(float(x), 1) < 0.05} for c, x in zip(covariates, test, strict=True) if math.isfinite(x)]
+    risk = sum((float(b) * F.col(f"x{k}") for k, b in enumerate(beta)), F.lit(0.0))
     coef = {c: {"coef": float(b), "hazard_ratio": math.exp(b), "se": float(e), "z": float(b / e), "p_value": 2 * S.normal_sf(abs(b / e)), "hr_low": math.exp(b - 1.959963984540054 * e), "hr_high": math.exp(b + 1.959963984540054 * e)} for c, b, e in zip(covariates, beta, se, strict=True)}
-    return {"coefficients": coef, "log_likelihood": new, "null_log_likelihood": ll0}
+    return {"coefficients": coef, "log_likelihood": float(new), "null_log_likelihood": float(ll0), "n": n, "n_events": deaths, "concordance": concordance(rows.withColumn("_risk", risk), "t", "e", "_risk"), "ph_test": tests}

@@ -437,13 +437,6 @@ def carry_forward(spark, sf):
     return clinical.carry_forward(e, "user_id", "event_id", ["x"]).select("event_id", "x")
 
 
-@query("SELECT p_partkey, CASE WHEN n >= 2 THEN 'Positive' WHEN m = 0 THEN 'Negative' ELSE 'Inconclusive' END AS status FROM (SELECT p_partkey, CAST(a > 45000 AS INT) + CAST(b > 45000 AS INT) + CAST(c > 45000 AS INT) AS n, CAST(a > 5000 AS INT) + CAST(b > 5000 AS INT) + CAST(c > 5000 AS INT) AS m FROM (SELECT p_partkey, p_partkey * 7919 % 60000 AS a, p_partkey * 104729 % 60000 AS b, p_size * 997 % 60000 AS c FROM part))")
-def assay_status(spark, sf):
-    k = F.col("p_partkey")
-    runs = _t(spark, sf, "part").select("p_partkey", (k * 7919 % 60000).alias("a"), (k * 104729 % 60000).alias("b"), (F.col("p_size").cast("bigint") * 997 % 60000).alias("c"))
-    return clinical.assay_status(runs, ["a", "b", "c"]).select("p_partkey", "status")
-
-
 @query("SELECT p_partkey, CASE WHEN s > 180 OR d > 120 THEN 4 WHEN s >= 140 OR d >= 90 THEN 3 WHEN s >= 130 OR d >= 80 THEN 2 WHEN s >= 120 THEN 1 ELSE 0 END AS code FROM (SELECT p_partkey, 90 + p_partkey % 110 AS s, 50 + p_partkey % 83 AS d FROM part)")
 def blood_pressure(spark, sf):
     k = F.col("p_partkey")

@@ -349,16 +349,19 @@ def corr_matrix(spark, sf):
     return _frame(spark, [{"x": a, "y": b, "r": m["r"][i][j]} for i, a in enumerate(_FEATURES) for j, b in enumerate(_FEATURES) if i < j])
 
 
-_P = "SELECT s_suppkey AS k, (s_suppkey * 7919 % 1000 + 1) / 40000.0 AS p, row_number() OVER (ORDER BY s_suppkey * 7919 % 1000, s_suppkey) AS i, CAST(count(*) OVER () AS DOUBLE) AS m FROM supplier"
+_P = "SELECT s_suppkey AS k, CAST((s_suppkey * 7919 % 1000 + 1) / 40000.0 AS DOUBLE) AS p, row_number() OVER (ORDER BY s_suppkey * 7919 % 1000, s_suppkey) AS i, CAST(count(*) OVER () AS DOUBLE) AS m FROM supplier"
 
 
 @query(f"""SELECT k, round(least(1.0, p * m), 9) AS bonferroni, round(1 - pow(1 - p, m), 9) AS sidak, round(least(1.0, max(p * (m - i + 1)) OVER (ORDER BY i)), 9) AS holm, round(least(1.0, min(p * m / i) OVER (ORDER BY i DESC)), 9) AS fdr_bh,
-round(least(1.0, min(p * m / i * (SELECT sum(1.0 / i) FROM ({_P}))) OVER (ORDER BY i DESC)), 9) AS fdr_by FROM ({_P})""")
+round(least(1.0, min(p * m / i * (SELECT sum(1.0 / i) FROM ({_P}))) OVER (ORDER BY i DESC)), 9) AS fdr_by,
+round(least(1.0, min(p * m / i) OVER (ORDER BY i DESC)) * CASE WHEN r1 IN (0, m) THEN 1 ELSE (m - r1) / m END, 9) AS fdr_tsbh
+FROM ({_P}), (SELECT count(*) FILTER (a <= 0.05) AS r1 FROM (SELECT min(p * m / i) OVER (ORDER BY i DESC) AS a FROM ({_P})))""")
 def adjust_p_values(spark, sf):
-    rows = [(r.k, r.p) for r in _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), ((F.col("s_suppkey") * 7919 % 1000 + 1) / 40000.0).alias("p")).orderBy("k").collect()]
-    names = ("bonferroni", "sidak", "holm", "fdr_bh", "fdr_by")
-    found = [stats.adjust_pvalues([p for _, p in rows], n)["p_adjusted"] for n in names]
-    return spark.createDataFrame([(k, *[round(x, 9) for x in own]) for (k, _), *own in zip(rows, *found, strict=True)], "k bigint, " + ", ".join(f"{n} double" for n in names))
+    """All six adjustments of one column. The first stage of the two-stage one rejects the p whose adjusted value is at most 0.05."""
+    out = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), ((F.col("s_suppkey") * 7919 % 1000 + 1) / 40000.0).alias("p"))
+    for name in stats.ADJUSTMENTS:
+        out = stats.adjust_column(out, "p", name).withColumnRenamed("p_adj", name)
+    return out.select("k", *[F.round(n, 9).alias(n) for n in stats.ADJUSTMENTS])
 
 
 @query("""SELECT 'a' AS "column", count(*) - count(a) AS n_missing, round(100.0 * (count(*) - count(a)) / count(*), 6) AS pct_missing FROM (SELECT CASE WHEN p_size % 5 <> 0 THEN 1 END AS a FROM part) UNION ALL SELECT 'b', count(*) - count(a), round(100.0 * (count(*) - count(a)) / count(*), 6) FROM (SELECT CASE WHEN p_size % 7 <> 0 THEN 1 END AS a FROM part)""")
@@ -423,6 +426,52 @@ def test_detail(spark, sf):
     return i.select("l_orderkey", "l_linenumber", "l_quantity", "l_tax").orderBy("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
 
 
+_LEVELS = (0, 2999, 3000, 4999, 5000, 20000, 44999, 45000, 60000)
+_RUN = "CASE {} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(_LEVELS)) + " END"
+_RUNS = f"SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 155 WHEN 1 THEN 237 ELSE 999 END AS project, {_RUN.format('p_partkey % 10')} AS a, {_RUN.format('p_partkey // 10 % 10')} AS b, {_RUN.format('p_partkey // 100 % 9')} AS c FROM part"
+_OVER = lambda low, high=None: " + ".join(f"CAST({c} >= {low}" + (f" AND {c} < {high}" if high else "") + " AS INT)" for c in "abc")
+
+
+@query(f"""WITH r AS (SELECT *, {_OVER(5000)} AS n5, {_OVER(45000)} AS high, {_OVER(3000, 45000)} AS middle, {_OVER(0, 3000)} AS low, {_OVER(3000)} AS raised FROM ({_RUNS})),
+s AS (SELECT *, CASE WHEN a IS NULL OR b IS NULL OR c IS NULL THEN NULL
+  WHEN project = 155 THEN CASE WHEN n5 = 3 THEN 'Positive' WHEN n5 IN (0, 1) THEN 'Negative' WHEN n5 = 2 THEN 'Inconclusive' END
+  WHEN project = 237 THEN CASE WHEN high = 3 OR middle IN (2, 3) OR (high = 2 AND middle = 1) THEN 'Positive' WHEN raised IN (0, 1) THEN 'Negative' WHEN (high = 2 AND low = 1) OR (high = 1 AND middle = 1 AND low = 1) THEN 'Inconclusive' END END AS status FROM r)
+SELECT p_partkey, status, CASE WHEN project = 237 THEN CASE WHEN status = 'Positive' AND high = 3 THEN 'Type 1' WHEN status = 'Positive' AND high = 2 THEN 'Undetermined' WHEN status = 'Positive' AND middle + low >= 2 THEN 'Type 2' WHEN status = 'Negative' THEN 'NA' END END AS assay_type FROM s""")
+def assay_status(spark, sf):
+    """Every combination of values around the bounds, under both projects and an unknown one. The SQL follows the published decision tables line by line."""
+    k = F.col("p_partkey")
+    level = lambda i: F.get(F.array(*map(F.lit, _LEVELS)), i.cast("int"))
+    runs = _t(spark, sf, "part").select("p_partkey", F.when(k % 3 == 0, 155).when(k % 3 == 1, 237).otherwise(999).alias("project"), level(k % 10).alias("a"), level(F.floor(k / 10) % 10).alias("b"), level(F.floor(k / 100) % 9).alias("c"))
+    return clinical.assay_status(runs, ["a", "b", "c"], "project").select("p_partkey", "status", "assay_type")
+
+
+_CLINIC = """SELECT event_id, user_id, CASE WHEN event_id % 5 = 0 THEN CASE user_id % 5 WHEN 3 THEN 0 WHEN 4 THEN event_id // 5 % 4 ELSE 1 END END AS s, CASE WHEN event_id % 7 < 2 THEN CASE WHEN user_id % 4 = 0 THEN 0 ELSE event_id // 7 % 2 END END AS d,
+CASE WHEN user_id % 6 = 3 THEN 3 ELSE user_id % 3 END AS g, CASE WHEN event_id % 3 <> 0 THEN CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id * 7 % 5 END END AS item, CASE WHEN event_id % 4 <> 0 THEN 18 + event_id * 13 % 13 END AS moca,
+CASE WHEN event_id % 8 < 5 THEN 0 ELSE event_id * 17 % 9 END AS signs, CASE WHEN event_id % 9 <> 0 THEN CASE WHEN event_id % 10 < 6 THEN event_id % 14 ELSE event_id * 31 % 50 END END AS motor,
+CASE WHEN event_id % 11 <> 0 THEN CASE WHEN event_id % 10 < 6 THEN event_id % 13 ELSE event_id * 29 % 45 END END AS rest, CAST(event_id % 13 = 0 AS INT) AS med, CAST(event_id % 17 = 0 AS INT) AS rbd, CASE WHEN event_id % 10 < 7 THEN 50 ELSE event_id * 37 % 100 END AS smell FROM events"""
+_CARRIED = ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS {c}" for c in ("s", "d", "g", "item", "moca", "signs", "motor", "rest", "med", "rbd", "smell"))
+
+
+@query(f"""WITH v AS (SELECT event_id, {_CARRIED} FROM ({_CLINIC})),
+y AS (SELECT *, (signs >= 5 OR med = 1) AS park, (item >= 1 OR signs >= 5 OR med = 1 OR rbd = 1 OR smell <= 15) AS sym FROM v),
+f AS (SELECT *, CASE WHEN item = 4 AND moca <= 24 THEN 6 WHEN (item = 3 AND moca <= 24) OR (item = 4 AND moca >= 25) THEN 5 WHEN (item = 2 AND moca <= 24) OR (item = 3 AND moca >= 25) THEN 4 WHEN (item = 1 AND moca <= 24) OR (item = 2 AND moca >= 25) THEN 3 WHEN item = 0 OR (item = 1 AND moca >= 25) THEN 0 END AS cog,
+  CASE WHEN motor >= 40 THEN 6 WHEN motor BETWEEN 27 AND 39 THEN 5 WHEN motor BETWEEN 14 AND 26 THEN 4 WHEN motor BETWEEN 3 AND 13 AND park THEN 3 WHEN motor BETWEEN 0 AND 13 THEN 0 END AS mot,
+  CASE WHEN rest >= 37 THEN 6 WHEN rest BETWEEN 25 AND 36 THEN 5 WHEN rest BETWEEN 13 AND 24 AND sym THEN 4 WHEN rest BETWEEN 13 AND 24 AND sym IS NULL THEN NULL WHEN rest >= 0 THEN 0 END AS oth FROM y),
+w AS (SELECT *, greatest(cog, mot, oth) AS worst, cog IS NULL OR mot IS NULL OR oth IS NULL AS gap FROM f)
+SELECT event_id, CASE WHEN s = 1 OR g = 3 THEN 1 WHEN s <> 1 THEN 0 END AS nsd,
+CASE WHEN s = 1 AND d = 1 AND (worst = 6 OR (NOT gap AND worst >= 3)) THEN CAST(worst AS VARCHAR) WHEN s = 1 AND d = 1 AND gap THEN NULL WHEN s = 1 AND d = 1 AND sym THEN '2B' WHEN s = 1 AND d = 1 AND NOT sym THEN '1B'
+WHEN s = 1 AND d = 0 AND sym THEN '2A' WHEN s = 1 AND d = 0 AND NOT sym THEN '1A' WHEN s <> 1 AND d = 0 AND g = 3 THEN '0' END AS stage FROM w""")
+def synuclein_stage(spark, sf):
+    """Stages of visits with gaps that earlier visits fill. The SQL states the published anchors stage by stage."""
+    e, u = F.col("event_id"), F.col("user_id")
+    nth = lambda n: F.floor(e / n)
+    visits = _t(spark, sf, "events").select(
+        "event_id", "user_id", F.when(e % 5 == 0, F.when(u % 5 == 3, 0).when(u % 5 == 4, nth(5) % 4).otherwise(1)).alias("s"), F.when(e % 7 < 2, F.when(u % 4 == 0, 0).otherwise(nth(7) % 2)).alias("d"), F.when(u % 6 == 3, 3).otherwise(u % 3).alias("g"),
+        F.when(e % 3 != 0, F.when(e % 2 == 0, 0).otherwise(e * 7 % 5)).alias("cognition"), F.when(e % 4 != 0, 18 + e * 13 % 13).alias("moca"), F.when(e % 8 < 5, 0).otherwise(e * 17 % 9).alias("signs"),
+        F.when(e % 9 != 0, F.when(e % 10 < 6, e % 14).otherwise(e * 31 % 50)).alias("motor"), F.when(e % 11 != 0, F.when(e % 10 < 6, e % 13).otherwise(e * 29 % 45)).alias("non_motor"), (e % 13 == 0).cast("int").alias("medicated"), (e % 17 == 0).cast("int").alias("rbd"), F.when(e % 10 < 7, 50).otherwise(e * 37 % 100).alias("smell"))
+    return clinical.synuclein_stage(visits, "user_id", "event_id", {f: f for f in clinical.STAGE_FIELDS}).select("event_id", "nsd", "stage")
+
+
 @query("SELECT p_partkey, a, b, c, greatest(a, b, c) AS stage FROM (SELECT p_partkey, CAST(p_size % 4 AS INT) AS a, CAST(p_partkey % 5 AS INT) AS b, CASE WHEN p_partkey % 3 = 0 THEN 6 END AS c FROM part)")
 def worst_stage(spark, sf):
     k = F.col("p_partkey")
@@ -436,16 +485,20 @@ def preferred_run(spark, sf):
     return clinical.preferred_run(e, "user_id", "project", 237, "run")
 
 
-_MEDS = "SELECT o_custkey AS subject, CAST(o_orderdate AS DATE) AS s, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) + 30 END AS e, o_orderkey % 3 AS kind, o_orderkey % 200 AS dose FROM orders"
+_MEDS = "SELECT o_custkey AS subject, CAST(o_orderdate AS DATE) AS s, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 50 - 5 AS INTEGER) END AS e, o_orderkey % 4 AS kind, o_orderkey % 200 AS dose FROM orders"
 
 
 @query(f"""WITH x AS ({_MEDS}), t AS (SELECT subject, s AS t FROM x UNION SELECT subject, CAST(e + INTERVAL 1 MONTH AS DATE) FROM x WHERE e IS NOT NULL),
-v AS (SELECT t.subject, t.t, coalesce(sum(CASE WHEN kind = 0 THEN dose END), 0) AS l, coalesce(sum(CASE WHEN kind = 1 THEN dose END), 0) AS b, CAST(count(CASE WHEN kind = 2 THEN 1 END) AS DOUBLE) AS m FROM t LEFT JOIN x ON x.subject = t.subject AND x.s <= t.t AND (x.e IS NULL OR x.e >= t.t) GROUP BY 1, 2)
-SELECT subject, t, round(CAST(l AS DOUBLE), 4) AS levodopa, round(b + l + 0.33 * m * l, 4) AS total FROM v""")
+v AS (SELECT t.subject, t.t, coalesce(sum(CASE WHEN kind = 0 THEN dose END), 0) AS l, coalesce(sum(CASE WHEN kind = 1 THEN dose END), 0) AS b, CAST(count(CASE WHEN kind = 2 THEN 1 END) AS DOUBLE) AS m,
+  CAST(count(CASE WHEN kind = 3 THEN 1 END) AS DOUBLE) AS n, coalesce(sum(CASE WHEN kind = 3 THEN dose END), 0) AS added
+  FROM t LEFT JOIN x ON x.subject = t.subject AND x.s <= t.t AND (x.e IS NULL OR x.e >= t.t) AND (x.e IS NULL OR x.e >= x.s) GROUP BY 1, 2)
+SELECT subject, t, round(CAST(l AS DOUBLE), 4) AS levodopa, round(b + l + 0.33 * m * l + 0.5 * (added + n * l), 4) AS total FROM v""")
 def ledd_at_dates(spark, sf):
-    """A third of the prescriptions is levodopa, a third has a fixed dose, a third multiplies the levodopa in force."""
-    k = F.col("o_orderkey")
-    meds = _t(spark, sf, "orders").select(F.col("o_custkey").alias("PATNO"), F.when(k % 3 == 0, "SINEMET").otherwise("other").alias("LEDTRT"), F.to_date("o_orderdate").alias("STARTDT"), F.when(k % 4 != 0, F.date_add(F.to_date("o_orderdate"), 30)).alias("STOPDT"), F.when(k % 3 == 2, "LD x 0.33").otherwise((k % 200).cast("string")).alias("LEDD"))
+    """By quarters of the prescriptions: levodopa, a fixed dose, a factor of the levodopa in force, a dose and the levodopa under a factor.
+    Some stop before they start and count at no date."""
+    k, start = F.col("o_orderkey"), F.to_date("o_orderdate")
+    text = F.when(k % 4 == 2, "LD x 0.33").when(k % 4 == 3, F.concat(F.lit("("), (k % 200).cast("string"), F.lit(" + LD) x 0.5"))).otherwise((k % 200).cast("string"))
+    meds = _t(spark, sf, "orders").select(F.col("o_custkey").alias("PATNO"), F.when(k % 4 == 0, "SINEMET").otherwise("other").alias("LEDTRT"), start.alias("STARTDT"), F.when(k % 4 != 0, F.date_add(start, (k % 50 - 5).cast("int"))).alias("STOPDT"), text.alias("LEDD"))
     out = clinical.total_ledd_at(meds)
     return out.select("subject", "t", (F.round("levodopa", 4) + F.lit(0.0)).alias("levodopa"), (F.round("total", 4) + F.lit(0.0)).alias("total"))
 
