@@ -862,9 +862,11 @@ def cox_regression(df: DataFrame, duration: str, event: str, covariates: list[st
             new, grad, info = found[0], found[1 : 1 + p], found[1 + p : 1 + p + p * p].reshape(p, p)
             ll0 = new if ll0 is None else ll0
             variance = np.linalg.inv(info)
-            if ll is not None and abs(new - ll) < 1e-9:
+            move = variance @ grad
+            # Where classes are separated the likelihood settles while the coefficients go on.
+            if ll is not None and abs(new - ll) < 1e-9 and np.abs(move).max() < 1e-3:
                 break
-            ll, beta = new, beta + variance @ grad
+            ll, beta = new, beta + move
         else:
             return failed
     except np.linalg.LinAlgError:

@@ -516,12 +516,6 @@ def permutation_importance(spark, sf):
     return _frame(spark, [{"feature": c, "effect": e} for c, e in zip(_NUM, effects, strict=True)])
 
 
-@query()
-def cox_hazard(spark, sf):
-    r = stats.cox_regression(_survival(spark, sf).withColumn("x", (F.col("g") == "a").cast("int")), "t", "e", ["x"])
-    return _frame(spark, [{"covariate": k, **{n: x for n, x in v.items() if not math.isnan(x)}} for k, v in r["coefficients"].items()])
-
-
 @query()
 def mixed_model(spark, sf):
     e = _t(spark, sf, "events").select("user_id", F.dayofmonth("ts").alias("day"), "value")

@@ -10,7 +10,7 @@ from ..functions import scalar as X
 from ..model import ReducerConfig, Study
 from ..operators import clinical, features, ml, reduce, select, stats
 from ..sources import io
-from .catalogue import _frame, _survival, _t, _visits, oracle_sql, queries, query  # noqa: F401  the registry is one
+from .catalogue import _SURV, _frame, _survival, _t, _visits, oracle_sql, queries, query  # noqa: F401  the registry is one
 
 
 # Distribution functions in SQL: a series for the normal, closed forms for few degrees of freedom, a sum for Student's t.
@@ -411,6 +411,46 @@ def km_intervals(spark, sf):
     return k.select("group", "t", F.round("ci_low", 6).alias("ci_low"), F.round("ci_high", 6).alias("ci_high"))
 
 
+# Pairs in and out of order; Cox regression
+
+
+def _tau_sql(name: str, x: str, y: str, table: str) -> str:
+    tie = lambda c: f"(SELECT sum(t * (t - 1) / 2) AS t0, sum(t * (t - 1) * (t - 2)) AS t1, sum(t * (t - 1) * (2 * t + 5)) AS t2 FROM (SELECT CAST(count(*) AS DOUBLE) AS t FROM {table} GROUP BY {c}))"
+    return f"""SELECT '{name}' AS pair, CAST(n AS BIGINT) AS n, round(s / sqrt((n * (n - 1) / 2 - xt.t0) * (n * (n - 1) / 2 - yt.t0)), 9) AS tau,
+round({_normal_two_sided("s / sqrt((n * (n - 1) * (2 * n + 5) - xt.t2 - yt.t2) / 18 + 2 * xt.t0 * yt.t0 / (n * (n - 1)) + xt.t1 * yt.t1 / (9 * n * (n - 1) * (n - 2)))")}, 6) AS p_value
+FROM (WITH c AS (SELECT {x} AS x, {y} AS y, CAST(count(*) AS DOUBLE) AS c FROM {table} GROUP BY ALL) SELECT sum(a.c * b.c * sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM c a, c b),
+(SELECT CAST(count(*) AS DOUBLE) AS n FROM {table}), {tie(x)} xt, {tie(y)} yt"""
+
+
+@query(" UNION ALL ".join(_tau_sql(*x) for x in (("quantity, discount", "l_quantity", "l_discount", "lineitem"), ("balance, nation", "c_acctbal", "c_nationkey", "customer"))))
+def kendall_tau(spark, sf):
+    """Tau-b and its p: a table of many ties, and one of many values. The SQL takes all pairs of cells."""
+    found = []
+    for name, table, x, y in (("quantity, discount", "lineitem", "l_quantity", "l_discount"), ("balance, nation", "customer", "c_acctbal", "c_nationkey")):
+        r = stats.correlate_pair(_t(spark, sf, table), x, y, "kendall")
+        found.append((name, r["n"], round(r["r"], 9), round(r["p_value"], 6)))
+    return spark.createDataFrame(found, "pair string, n bigint, tau double, p_value double")
+
+
+# Newton steps for one covariate of 0 and 1, from counts by time; l runs over the tied deaths of a time.
+_COX_AT = f"""(SELECT d, d1, g, list_sum([exp(b) * (n1 - l / d * d1) / (n0 - l / d * (d - d1) + exp(b) * (n1 - l / d * d1)) FOR l IN range(CAST(d AS BIGINT))]) AS e1,
+list_sum([pow(exp(b) * (n1 - l / d * d1) / (n0 - l / d * (d - d1) + exp(b) * (n1 - l / d * d1)), 2) FOR l IN range(CAST(d AS BIGINT))]) AS e2 FROM risk, {{}} WHERE d > 0)"""
+_COX = f"""WITH times AS (SELECT t, CAST(sum(e) AS DOUBLE) AS d, CAST(sum(CASE WHEN g = 'a' THEN e ELSE 0 END) AS DOUBLE) AS d1, count(*) FILTER (g = 'a') AS c1, count(*) FILTER (g <> 'a') AS c0 FROM ({_SURV}) GROUP BY t),
+risk AS (SELECT t, d, d1, CAST(sum(c1) OVER w AS DOUBLE) AS n1, CAST(sum(c0) OVER w AS DOUBLE) AS n0, sum(d) OVER (ORDER BY t) - d + (d + 1) / 2 AS g FROM times WINDOW w AS (ORDER BY t DESC)),
+b0 AS (SELECT 0.0::DOUBLE AS b), {", ".join(f"b{k + 1} AS (SELECT any_value(b) + sum(d1 - e1) / sum(e1 - e2) AS b FROM {_COX_AT.format(f'b{k}')}, b{k})" for k in range(8))},
+fit AS (SELECT any_value(b) AS b, 1 / sum(e1 - e2) AS v, sum(d) AS deaths, sum(d * g) / sum(d) AS mid, sum(g * (d1 - e1)) - sum(d * g) / sum(d) * sum(d1 - e1) AS gr, sum(d * g * g) - pow(sum(d * g), 2) / sum(d) AS spread FROM {_COX_AT.format('b8')}, b8),
+cells AS (SELECT t, e, CASE WHEN g = 'a' THEN 1 ELSE 0 END AS x, CAST(count(*) AS DOUBLE) AS c FROM ({_SURV}) GROUP BY ALL),
+pairs AS (SELECT sum(i.c * j.c * CASE WHEN b * i.x > b * j.x THEN 1 WHEN i.x = j.x THEN 0.5 ELSE 0 END) / sum(i.c * j.c) AS concordance FROM cells i, cells j, fit WHERE i.e = 1 AND (j.t > i.t OR (j.t = i.t AND j.e = 0)))
+SELECT 'x' AS covariate, round(b, 6) AS coef, round(exp(b), 6) AS hazard_ratio, round(sqrt(v), 6) AS se, round(concordance, 9) AS concordance, round(deaths * v * gr * gr / spread, 5) AS ph_statistic FROM fit, pairs"""
+
+
+@query(_COX)
+def cox_hazard(spark, sf):
+    r = stats.cox_regression(_survival(spark, sf).withColumn("x", (F.col("g") == "a").cast("int")), "t", "e", ["x"])
+    c = r["coefficients"]["x"]
+    return spark.createDataFrame([("x", *[round(c[k], 6) for k in ("coef", "hazard_ratio", "se")], round(r["concordance"], 9), round(r["ph_test"][0]["test_statistic"], 5))], "covariate string, coef double, hazard_ratio double, se double, concordance double, ph_statistic double")
+
+
 # Clinical rules and the guide's remaining queries
 
 
