@@ -344,7 +344,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, window: int = WIN
     for rows in rounds:
         own = rows.filter("kind = 1").select("key", F.when(F.col("family") == RUNS, F.bitwise_not(packed)).otherwise(packed).alias("span"))
         spans = own if spans is None else spans.union(own)
-    spans = spans.groupBy("key").agg(F.collect_set("span").alias("spans"))
+    # A list, not a set: Java's hash of a packed span is first xor last, which is 0 for every range of one start.
+    spans = spans.groupBy("key").agg(F.collect_list("span").alias("spans"))
     # Copies are marked by id; other texts have one row, that of their carrier.
     texts = cut(docs.select("id", "key", F.unhex(F.sha2("data", 256)).alias("sha")), "texts")
     same = cut(texts.groupBy("key", "sha").agg(F.min("id").alias("carrier"), F.count("*").alias("n")), "same")

@@ -95,3 +95,10 @@ def test_empty_and_null_ids(spark):
     assert repeats.remove_repeats(frame(spark, ["a"]).limit(0)).count() == 0
     docs = frame(spark, ["a" * 500, "b", "b" * 450 + "c"], [None, None, 3])
     assert sorted(r.n_removed for r in repeats.remove_repeats(docs).collect()) == [0, 450, 500]
+
+
+def test_long_texts_of_few_bytes(spark):
+    """Every start is a range of its own there: millions of spans of one text."""
+    texts = [(1, "x" * 3_000_000), (2, "xy" * 700_000), (3, "z" * 399), (4, "abc" * 100_000 + "d"), (5, None)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {1: (3_000_000, 3_000_000, 1), 2: (1_400_000, 1_400_000, 1), 3: (399, 0, 0), 4: (300_001, 300_000, 1), 5: (0, 0, 0)}
