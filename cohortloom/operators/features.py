@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import column_medians, log_offset, numeric_columns, pipe_count, pipe_first, pipe_tokens, quoted, safe_divide, sqrt_offset, string_columns
 from ..model import ENCODING_IGNORED, KEYS, OTHER_BUCKET, TARGET
+from . import neighbours
 from .reduce import _long
 
 SKIP = (*KEYS, TARGET)
@@ -147,7 +148,7 @@ def transform_distribution(df: DataFrame, column: str, method: str = "log", offs
 
 
 def impute(df: DataFrame, method: str = "simple_median", columns: list[str] | None = None, k: int = 5, rounds: int = 3) -> DataFrame:
-    """simple_mean, simple_median, auto (median), knn (class-free, within hashed cells), mice and missforest (rounds of regressions)."""
+    """simple_mean, simple_median, auto (median), knn (mean of the k nearest rows without gaps), mice and missforest (rounds of regressions)."""
     names = columns or numeric_columns(df, SKIP)
     if method in ("simple_mean", "simple_median", "auto"):
         fill = df.agg(*[F.avg(quoted(c)).alias(c) for c in names]).first() if names and method == "simple_mean" else column_medians(df, names)
@@ -155,7 +156,8 @@ def impute(df: DataFrame, method: str = "simple_median", columns: list[str] | No
     if method in ("mice", "missforest"):
         return _iterative(df, names, rounds, method == "missforest")
     if method == "knn":
-        return _knn(df, names, k)
+        # Where no row is without gaps the median is left.
+        return impute(neighbours.impute_nearest(df, names, k), "simple_median", names) if names else df
     raise ValueError(f"unknown imputation {method}")
 
 
@@ -177,23 +179,6 @@ def _iterative(df: DataFrame, names: list[str], rounds: int, forest: bool) -> Da
     return full.drop(*flags)
 
 
-def _knn(df: DataFrame, names: list[str], k: int, cells: int = 8) -> DataFrame:
-    """Means of the k nearest complete rows among ``cells`` cells of a random projection and their neighbours: no cross join."""
-    stats = df.agg(*[F.avg(quoted(c)).alias(f"m{j}") for j, c in enumerate(names)], *[F.stddev_pop(quoted(c)).alias(f"s{j}") for j, c in enumerate(names)]).first()
-    z = [F.coalesce((quoted(c) - F.lit(stats[f"m{j}"])) / F.lit(stats[f"s{j}"] or 1.0), F.lit(0.0)) for j, c in enumerate(names)]
-    rows = df.withColumn("_id", F.xxhash64(*[quoted(c) for c in df.columns])).withColumn("_z", F.array(*z))
-    line = sum(((1 if j % 2 else -1) * x for j, x in enumerate(z)), F.lit(0.0))
-    rows = rows.withColumn("_cell", F.floor(line * cells / 4))
-    holes = rows.filter(" or ".join(f"`{c}` is null" for c in names)).dropDuplicates(["_id"])
-    whole = rows.filter(" and ".join(f"`{c}` is not null" for c in names)).select(F.col("_z").alias("_w"), "_cell", *[quoted(c).alias(f"_v{j}") for j, c in enumerate(names)])
-    near = holes.select("_id", "_z", F.explode(F.array(*[F.col("_cell") + d for d in (-1, 0, 1)])).alias("_cell")).join(whole, "_cell")
-    dist = F.aggregate(F.zip_with("_z", "_w", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-    best = near.withColumn("_r", F.row_number().over(Window.partitionBy("_id").orderBy(dist, *[f"_v{j}" for j in range(len(names))]))).filter(F.col("_r") <= k)
-    means = best.groupBy("_id").agg(*[F.avg(f"_v{j}").alias(f"_f{j}") for j in range(len(names))])
-    out = rows.join(means, "_id", "left").withColumns({c: F.coalesce(quoted(c).cast("double"), F.col(f"_f{j}")) for j, c in enumerate(names)})
-    return impute(out.select(*df.columns), "simple_median", names)
-
-
 def encode(df: DataFrame, column: str, method: str = "safe_target", target: str | None = None, smoothing: float = 10.0, order_by: str | None = None) -> DataFrame:
     """ordinal, label, frequency, safe_target (out of fold), catboost (ordered), leave_one_out."""
     x = quoted(column)
@@ -224,9 +209,17 @@ def encode(df: DataFrame, column: str, method: str = "safe_target", target: str
 
 
 def balance(df: DataFrame, target: str = TARGET, method: str = "random_over", seed: int = 42, columns: list[str] | None = None) -> DataFrame:
-    """random_over, random_under, smote (interpolation towards a neighbour in hash order of its class)."""
+    """random_over, random_under; smote (auto) and adasyn among the nearest rows of a class; smoteenn and smotetomek clean up after smote."""
     if target not in df.columns:
         return df
+    if method in ("auto", "smote", "adasyn", "smoteenn", "smotetomek"):
+        names = columns or numeric_columns(df, (*SKIP, target))
+        if not names:
+            return df
+        grown = neighbours.oversample(df, target, names, "adasyn" if method == "adasyn" else "smote", seed=seed)
+        if method == "smoteenn":
+            return neighbours.edited(grown, target, names)
+        return neighbours.without_tomek_links(grown, target, names) if method == "smotetomek" else grown
     sizes = {r[0]: r[1] for r in df.filter(quoted(target).isNotNull()).groupBy(target).count().collect()}
     if not sizes:
         return df
@@ -245,15 +238,6 @@ def balance(df: DataFrame, target: str = TARGET, method: str = "random_over", se
     times = F.floor(F.lit(high) / n) + (F.col("_rank") <= F.lit(high) % n).cast("int")
     if method == "random_over":
         return ranked.withColumn("_k", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*df.columns)
-    if method in ("auto", "smote"):
-        names = columns or numeric_columns(df, (*SKIP, target))
-        order = Window.partitionBy(target, "_cell").orderBy(*[quoted(c) for c in names[:1]], "_h")
-        mixed = ranked.withColumns({f"_n{j}": F.coalesce(F.lead(quoted(c)).over(order), F.lag(quoted(c)).over(order), quoted(c)) for j, c in enumerate(names)})
-        mixed = mixed.withColumn("_k", F.explode(F.sequence(F.lit(1), times.cast("int"))))
-        gap = F.pmod(F.xxhash64("_h", "_k", F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-        made = {c: F.when(F.col("_k") == 1, quoted(c).cast("double")).otherwise(quoted(c) + gap * (F.col(f"_n{j}") - quoted(c))) for j, c in enumerate(names)}
-        out = mixed.withColumns(made)
-        return out.select(*df.columns)
     raise ValueError(f"unknown balancing {method}")
 
 

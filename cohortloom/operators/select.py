@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special as S
 from ..functions.scalar import quoted
+from .neighbours import relief_scores
 from .stats import _corr_array, adjust_pvalues
 
 
@@ -189,19 +190,7 @@ class FeatureSelector:
         return [columns[j] for j in own]
 
     def _relief(self, df, columns, target, test):
-        """On at most ``rows`` rows by hash order (a documented bound of the method's own sampling)."""
-        rows = df.select(*columns, target).fillna(0).orderBy(F.xxhash64(*columns, F.lit(self.seed))).limit(self.options.get("rows", 1000)).toPandas()
-        x, y = rows[columns].to_numpy(float), rows[target].to_numpy()
-        x = (x - x.min(0)) / np.maximum(1e-12, x.max(0) - x.min(0))
-        score = np.zeros(len(columns))
-        for k in range(len(x)):
-            gap = np.abs(x - x[k])
-            dist = gap.sum(1)
-            dist[k] = np.inf
-            hit, miss = np.where(y == y[k], dist, np.inf), np.where(y != y[k], dist, np.inf)
-            if np.isfinite(hit.min()) and np.isfinite(miss.min()):
-                score += gap[miss.argmin()] - gap[hit.argmin()]
-        return self._top(columns, score)
+        return self._top(columns, relief_scores(df, target, columns))
 
     def _adversarial(self, df, columns, target, test):
         if test is None:

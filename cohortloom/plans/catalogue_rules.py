@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaners
 from ..functions import scalar as X
 from ..model import ReducerConfig, Study
-from ..operators import clinical, features, ml, reduce, select, stats
+from ..operators import clinical, features, ml, neighbours, reduce, select, stats
 from ..sources import io
 from .catalogue import _SURV, _frame, _survival, _t, _visits, oracle_sql, queries, query  # noqa: F401  the registry is one
 
@@ -451,6 +451,19 @@ def cox_hazard(spark, sf):
     return spark.createDataFrame([("x", *[round(c[k], 6) for k in ("coef", "hazard_ratio", "se")], round(r["concordance"], 9), round(r["ph_test"][0]["test_statistic"], 5))], "covariate string, coef double, hazard_ratio double, se double, concordance double, ph_statistic double")
 
 
+# Neighbours
+
+
+@query("""WITH d AS (SELECT s_suppkey, c_custkey, (s_acctbal / 1000 - c_acctbal / 1000) * (s_acctbal / 1000 - c_acctbal / 1000) + CAST(s_nationkey - c_nationkey AS DOUBLE) * (s_nationkey - c_nationkey) AS d2 FROM supplier, customer)
+SELECT s_suppkey, c_custkey, CAST(place AS INTEGER) AS place, round(d2, 9) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY d2, c_custkey) AS place FROM d) WHERE place <= 5""")
+def nearest_customers(spark, sf):
+    """The five customers nearest to each supplier by balance and nation. The SQL compares all of them."""
+    c = _t(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("b"), F.col("c_nationkey").cast("double").alias("n"))
+    s = _t(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("b"), F.col("s_nationkey").cast("double").alias("n"))
+    found = neighbours.nearest(neighbours.box_tree(c, "c_custkey", ["b", "n"], 5), s, "s_suppkey", ["b", "n"])
+    return found.select(F.col("q").alias("s_suppkey"), F.col("r").alias("c_custkey"), "place", F.round("d2", 9).alias("d2"))
+
+
 # Clinical rules and the guide's remaining queries
 
 

@@ -222,9 +222,15 @@ def test_benjamini_hochberg_without_one_task(spark):
 
 
 @pytest.mark.parametrize("method", ["adasyn", "smoteenn", "smotetomek"])
-def test_balancing_not_built_is_rejected(spark, method):
+def test_balancing_by_neighbours(spark, method):
+    r = np.random.default_rng(7)
+    rows = [("a", float(x), float(x + y)) for x, y in r.normal(0, 1, (60, 2))] + [("b", float(x), float(x + y)) for x, y in r.normal(1, 1, (15, 2))]
+    out = features.balance(spark.createDataFrame(rows, "y string, x double, z double"), "y", method)
+    sizes = {x.y: x["count"] for x in out.groupBy("y").count().collect()}
+    assert out.columns == ["y", "x", "z"] and sizes["b"] > 15
+    assert sizes["a"] == 60 if method == "adasyn" else sizes["a"] < 60
     with pytest.raises(ValueError):
-        features.balance(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "y string, x double"), "y", method)
+        features.balance(spark.createDataFrame(rows, "y string, x double, z double"), "y", "no")
 
 
 def test_normality_takes_all_values(spark):
