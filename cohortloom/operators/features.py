@@ -111,23 +111,40 @@ def polynomial(df: DataFrame, columns: list[str], degree: int = 2, interaction_o
     return df.withColumns({k: v for k, v in out.items() if k not in df.columns})
 
 
-def box_cox_lambda(df: DataFrame, column: str, yeo_johnson: bool = False) -> float | None:
-    """The lambda of most likelihood: a grid in one aggregate, refined in a second. None where Box-Cox does not apply."""
+def box_cox_lambda(df: DataFrame, column: str, yeo_johnson: bool = False, within: float = 1e-5) -> float | None:
+    """The lambda of most likelihood, to ``within``. None where Box-Cox does not apply, or where all values are one.
+
+    A grid is moved and widened until its best point is inside, then narrowed around it: one aggregate a step. Likelihoods that
+    overflow do not count.
+    """
     x = quoted(column).cast("double")
-    base = df.filter(x.isNotNull())
-    if not yeo_johnson and (base.agg(F.min(x)).first()[0] or 0) <= 0:
+    base = df.filter(x.isNotNull() & ~F.isnan(x))
+    low, high, n = base.agg(F.min(x), F.max(x), F.count("*")).first()
+    if low is None or low == high or (not yeo_johnson and low <= 0):
         return None
-    jacobian = F.sum(F.signum(x) * F.ln(F.abs(x) + 1)) if yeo_johnson else F.sum(F.ln(x))
-    grid, best = [k / 4 for k in range(-12, 13)], 1.0
-    for width in (0.25, 0.02):
-        cols = [F.var_pop(power(x, lam, yeo_johnson)).alias(f"v{k}") for k, lam in enumerate(grid)]
-        r = base.agg(F.count("*").alias("n"), jacobian.alias("j"), *cols).first()
-        score = {lam: -r.n / 2 * math.log(r[f"v{k}"]) + (lam - 1) * r.j for k, lam in enumerate(grid) if r[f"v{k}"]}
+    jacobian, middle = (base.agg(F.sum(F.signum(x) * F.ln(F.abs(x) + 1))).first()[0], 0.0) if yeo_johnson else (0.0, base.agg(F.avg(F.ln(x))).first()[0])
+
+    def moved(lam: float) -> Column:
+        """What has the variance that counts. For Box-Cox by powers of x over its geometric mean, without the 1 in which small powers would drown."""
+        if yeo_johnson:
+            return power(x, lam, True)
+        return F.ln(x) if abs(lam) < 1e-12 else F.exp(lam * (F.ln(x) - middle)) / lam
+
+    centre, step, widest = 1.0, 0.5, 1e3
+    while step > within:
+        grid = [centre + k * step for k in range(-8, 9)]
+        r = base.agg(*[F.var_pop(moved(lam)).alias(f"v{k}") for k, lam in enumerate(grid)]).first()
+        score = {k: -n / 2 * math.log(r[f"v{k}"]) + (lam - 1) * jacobian for k, lam in enumerate(grid) if r[f"v{k}"] and math.isfinite(r[f"v{k}"])}
         if not score:
             return None
         best = max(score, key=score.get)
-        grid = [best + k * width / 10 for k in range(-10, 11)]
-    return round(best, 4)
+        at_end = best in (min(score), max(score))
+        centre = grid[best]
+        if at_end and best in (0, len(grid) - 1) and step < widest:
+            step *= 2  # the best lies beyond the grid
+        else:
+            step /= 4
+    return round(centre, 6)
 
 
 def power(x: Column, lam: float, yeo_johnson: bool = False) -> Column:

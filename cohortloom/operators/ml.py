@@ -16,7 +16,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, IsotonicR
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import numeric_columns, quoted
+from ..functions.scalar import exact_quantiles, numeric_columns, quoted
 from ..model import KEYS
 from .discriminant import Discriminant
 from .estimators import AdaBoost, Nearest
@@ -373,7 +373,7 @@ class Classifier:
         k = len(self.exp.labels)
         if method == "conformal":
             own = oof.select((1 - F.col("p")[F.col("label").cast("int")]).alias("s"))
-            q = own.agg(F.percentile("s", 0.9)).first()[0]
+            q = exact_quantiles(own, "s", {"q": 0.9}).first().q
             return lambda rows: base.transform(rows).withColumn("label_set", F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: 1 - F.get(vector_to_array("probability"), c) <= q))
         if method == "temperature_scaling":
             power = lambda p, t: F.transform(p, lambda x: F.pow(F.greatest(x, F.lit(1e-9)), F.lit(1 / t)))

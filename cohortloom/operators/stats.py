@@ -632,11 +632,22 @@ def logistic_regression(df: DataFrame, outcome: str, predictors: list[str], poin
     return {"coefficients": out, "pseudo_r_squared": 1 - s.deviance / s.nullDeviance, "log_likelihood": -s.deviance / 2, "auc": rank_auc(scored, "_p", outcome), "roc": roc, "n": s.numInstances}
 
 
+def roc_table(df: DataFrame, score: str, label: str) -> DataFrame:
+    """(threshold, tp, fp, tpr, fpr, place): counts and rates of rows with at least each distinct score, the highest first. Rows without a score
+    or a label do not count."""
+    rows = df.select(quoted(score).cast("double").alias("threshold"), quoted(label).cast("int").alias("y")).dropna()
+    cells = rows.groupBy("threshold").agg(F.sum("y").alias("_p"), F.sum(1 - F.col("y")).alias("_q")).withColumn("_one", F.lit(1))
+    p, q = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
+    table = running_sums(cells, "threshold", {"tp": "_p", "fp": "_q", "place": "_one"}, descending=True)
+    return table.select("threshold", "tp", "fp", (F.col("tp") / F.lit(max(p, 1))).alias("tpr"), (F.col("fp") / F.lit(max(q, 1))).alias("fpr"), "place")
+
+
 def roc_points(df: DataFrame, score: str, label: str, points: int = 100) -> list[tuple[float, float]]:
-    cells = df.groupBy(F.round(quoted(score), 3).alias("s")).agg(F.sum(quoted(label)).alias("p"), F.sum(1 - quoted(label)).alias("q")).orderBy(F.col("s").desc()).collect()  # 1001 cells at most
-    tp, fp = np.cumsum([r.p for r in cells]), np.cumsum([r.q for r in cells])
-    curve = [(0.0, 0.0), *zip((fp / max(fp[-1], 1)).tolist(), (tp / max(tp[-1], 1)).tolist(), strict=True)]
-    return [curve[k] for k in np.unique(np.linspace(0, len(curve) - 1, min(points, len(curve))).astype(int))]
+    """(fpr, tpr) from (0, 0) on: all points of the curve, or ``points`` of them at even places among the distinct scores."""
+    table = settled(roc_table(df, score, label), "roc")
+    n = table.count()
+    places = sorted({int(x) for x in np.linspace(0, n, min(points, n + 1))} - {0})
+    return [(0.0, 0.0), *[(r.fpr, r.tpr) for r in table.filter(F.col("place").isin(places)).orderBy("place").collect()]]  # ``points`` rows at most
 
 
 def ancova(df: DataFrame, outcome: str, group: str, covariates: list[str]) -> list[dict]:

@@ -451,6 +451,15 @@ def cox_hazard(spark, sf):
     return spark.createDataFrame([("x", *[round(c[k], 6) for k in ("coef", "hazard_ratio", "se")], round(r["concordance"], 9), round(r["ph_test"][0]["test_statistic"], 5))], "covariate string, coef double, hazard_ratio double, se double, concordance double, ph_statistic double")
 
 
+@query("""WITH c AS (SELECT l_extendedprice AS threshold, sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS p, count(*) AS n FROM lineitem GROUP BY 1),
+r AS (SELECT threshold, sum(p) OVER w AS tp, sum(n - p) OVER w AS fp, row_number() OVER w AS place FROM c WINDOW w AS (ORDER BY threshold DESC))
+SELECT threshold, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, place, round(tp / (SELECT CAST(sum(p) AS DOUBLE) FROM c), 9) AS tpr, round(fp / (SELECT CAST(sum(n - p) AS DOUBLE) FROM c), 9) AS fpr FROM r""")
+def roc_curve(spark, sf):
+    """Every point of a curve with nearly as many scores as rows."""
+    rows = _t(spark, sf, "lineitem").select("l_extendedprice", (F.col("l_returnflag") == "R").cast("int").alias("y"))
+    return stats.roc_table(rows, "l_extendedprice", "y").select("threshold", "tp", "fp", "place", F.round("tpr", 9).alias("tpr"), F.round("fpr", 9).alias("fpr"))
+
+
 # Neighbours
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import coerce_numeric_majority, quoted
-from ..model import KEYS, TARGET, ReducerConfig, Study
+from ..model import KEYS, LEAKAGE_FEATURES, TARGET, ReducerConfig, Study
 from ..operators import reduce as R
 from ..operators import report
 from ..operators.features import FeatureEngineer
@@ -91,7 +91,7 @@ def run_pipeline(data: str, out: str, modalities: str | None = None, leakage_pat
     needs = {1: REDUCED, 2: ENGINEERED, 3: TRAIN}
     if first in needs:
         io.require(spark, f"{out}/{needs[first]}")
-    leakage = io.read_leakage(spark, leakage_path) if leakage_path else []
+    leakage = LEAKAGE_FEATURES if leakage_path == "builtin" else io.read_leakage(spark, leakage_path) if leakage_path else []
     done = {}
     if first <= 0:
         done["reduction"] = reduce_stage(study or io.load_study(spark, data, io.parse_modalities(modalities)), out)
@@ -113,7 +113,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--data", required=True)
     p.add_argument("--output", required=True)
     p.add_argument("--modalities")
-    p.add_argument("--leakage")
+    p.add_argument("--leakage", help="a file of feature names, or builtin for the names known to give the diagnosis away")
     p.add_argument("--skip-to", choices=STEPS)
     p.add_argument("--method", default="fdr", choices=FeatureSelector.METHODS)
     p.add_argument("--param", type=float, default=0.05)
