@@ -128,12 +128,17 @@ def with_buckets(df: DataFrame, column: str, by: list[str] | None = None, per_bu
 def running_sums(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, descending: bool = False) -> DataFrame:
     """``df`` with, for each name of ``sums``, the sum of that column over the rows of the group up to the row's ``order``, itself included.
 
-    Rows of a group are summed in range buckets and the buckets' sums in order, so no task holds a group. ``order`` must not repeat
-    in a group, and groups of a null key are left out.
+    Rows of a group are summed in range buckets and the buckets' sums in order, so no task holds a group. Orders that have no quantiles
+    (texts, structs) are put into ranges of the whole table instead. Rows of one group and equal ``order`` count one after another, in no
+    fixed sequence; groups of a null key are left out.
     """
     by = by or []
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    bucketed = with_buckets(df, order, by)
+    kind = dict(df.dtypes)[order]
+    if is_numeric(kind) or kind in ("date", "timestamp", "timestamp_ntz"):
+        bucketed = with_buckets(df, order, by)
+    else:
+        bucketed = settled(df.repartitionByRange(*[quoted(c) for c in by], quoted(order)).withColumn("_b", F.spark_partition_id()), "ranges")
     totals = bucketed.groupBy(*by, "_b").agg(*[F.sum(quoted(c)).alias(f"_s{k}") for k, c in enumerate(sums.values())])
     before = Window.partitionBy(*by).orderBy(direction("_b")).rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
     offsets = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_s{k}").over(before), F.lit(0)).alias(f"_o{k}") for k in range(len(sums))])

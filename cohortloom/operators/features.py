@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import column_medians, log_offset, numeric_columns, pipe_count, pipe_first, pipe_tokens, quoted, safe_divide, sqrt_offset, string_columns
+from ..functions.scalar import column_medians, log_offset, numeric_columns, pipe_count, pipe_first, pipe_tokens, quoted, running_sums, safe_divide, sqrt_offset, string_columns
 from ..model import ENCODING_IGNORED, KEYS, OTHER_BUCKET, TARGET
+from ..session import settled
 from . import neighbours
 from .reduce import _long
 
@@ -200,8 +201,13 @@ def encode(df: DataFrame, column: str, method: str = "safe_target", target: str
     """ordinal, label, frequency, safe_target (out of fold), catboost (ordered), leave_one_out."""
     x = quoted(column)
     if method in ("ordinal", "label"):
+        # Values are put in order by ranges of them; a range's first code is the number of values before it.
         values = df.select(x.cast("string").alias("_v")).filter("_v is not null").distinct()
-        codes = values.withColumn("_code", F.dense_rank().over(Window.orderBy("_v")) - 1)
+        ranged = settled(values.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()), "ordered-values")
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+        first = ranged.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+        place = F.row_number().over(Window.partitionBy("_part").orderBy("_v")) - 1
+        codes = ranged.join(F.broadcast(first), "_part").select("_v", (F.col("_first") + place).cast("int").alias("_code"))
         return df.join(codes, x.cast("string") == F.col("_v"), "left").withColumn(column, F.coalesce("_code", F.lit(-1))).drop("_v", "_code")
     if method == "frequency" or target is None:
         counts = df.filter(x.isNotNull()).groupBy(x.alias("_v")).agg(F.count("*").alias("_n"))
@@ -210,8 +216,11 @@ def encode(df: DataFrame, column: str, method: str = "safe_target", target: str
     y = quoted(target).cast("double")
     prior = df.agg(F.avg(y)).first()[0]
     if method == "catboost":
-        before = Window.partitionBy(column).orderBy(order_by or F.xxhash64(*[quoted(c) for c in df.columns])).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(column, (F.coalesce(F.sum(y).over(before), F.lit(0.0)) + prior) / (F.count(y).over(before) + 1))
+        # Sums over a category's rows up to each row, in range buckets of the order, so that no task holds a category.
+        order = quoted(order_by) if order_by else F.xxhash64(*[quoted(c) for c in df.columns])
+        rows = df.withColumns({"_none": x.isNull(), "_value": F.coalesce(x.cast("string"), F.lit("")), "_order": order, "_y": F.coalesce(y, F.lit(0.0)), "_c": y.isNotNull().cast("int")})
+        summed = running_sums(rows, "_order", {"_sy": "_y", "_sc": "_c"}, ["_none", "_value"])
+        return summed.withColumn(column, (F.col("_sy") - F.col("_y") + prior) / (F.col("_sc") - F.col("_c") + 1)).select(*[quoted(c) for c in df.columns])
     if method == "leave_one_out":
         sums = df.groupBy(x.alias("_v")).agg(F.sum(y).alias("_s"), F.count(y).alias("_n"))
         return df.join(sums, x.eqNullSafe(F.col("_v")), "left").withColumn(column, F.coalesce(safe_divide(F.col("_s") - y, F.col("_n") - 1), F.lit(prior))).drop("_v", "_s", "_n")

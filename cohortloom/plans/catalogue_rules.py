@@ -181,14 +181,13 @@ def impute_auto(spark, sf):
     return features.impute(_t(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 4 != 0, F.col("p_size").cast("double")).alias("v")), "auto", ["v"])
 
 
-@query("SELECT CAST(3 AS BIGINT) AS steps, CAST(2 + 1 + 1 AS BIGINT) AS new_features, count(*) AS columns FROM range(0, 7)")
+@query("SELECT CAST(3 AS BIGINT) AS steps, count(DISTINCT o_orderpriority) + 2 AS new_features, 3 + count(DISTINCT o_orderpriority) + 2 AS columns FROM orders")
 def engineer_summary(spark, sf):
-    p = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.when(F.col("o_orderkey") % 2 == 0, "even").otherwise("odd").alias("kind"))
-    e = features.FeatureEngineer(p).one_hot_encode(columns=["kind"])
-    steps = [s for s in e.summary()["steps"]]
-    e.engineer_polynomial_features(["o_custkey"]).apply_custom_transformation("o_totalprice", F.sqrt, "root")
+    """The chain's own count of what it added: a column for each value in the table, a square and a root."""
+    o = _t(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.col("o_orderpriority").alias("kind"))
+    e = features.FeatureEngineer(o).one_hot_encode(columns=["kind"]).engineer_polynomial_features(["o_custkey"]).apply_custom_transformation("o_totalprice", F.sqrt, "root")
     s = e.summary()
-    return spark.createDataFrame([(len(s["steps"]), s["new_features"], s["columns"] if len(steps) == 1 else -1)], "steps bigint, new_features bigint, columns bigint")
+    return spark.createDataFrame([(len(s["steps"]), s["new_features"], s["columns"])], "steps bigint, new_features bigint, columns bigint")
 
 
 # Selection
@@ -587,9 +586,15 @@ def csv_round_trip(spark, sf):
     return back.select(F.col("PATNO").cast("string").alias("PATNO"), F.col("EVENT_ID").cast("string").alias("EVENT_ID"), "event_type", F.col("ordinal").cast("bigint").alias("ordinal"), "value")
 
 
-@query("SELECT 'motor_assessments' AS modality UNION ALL SELECT 'biospecimen'")
+_ASKED = "CASE c_custkey % 4 WHEN 0 THEN ' Motor_Assessments; biospecimen ' || c_mktsegment WHEN 1 THEN c_mktsegment WHEN 2 THEN 'medical_history,,MEDICAL_HISTORY' END"
+_ALL = "'subject_characteristics,medical_history,motor_assessments,non_motor_assessments,biospecimen'"
+
+
+@query(f"""SELECT c_custkey, CASE WHEN asked LIKE ' Motor%' THEN 'motor_assessments,biospecimen' WHEN asked LIKE 'medical%' THEN 'medical_history,medical_history' ELSE {_ALL} END AS modalities FROM (SELECT c_custkey, {_ASKED} AS asked FROM customer)""")
 def modality_list(spark, sf):
-    return spark.createDataFrame([(m,) for m in io.parse_modalities("motor_assessments; biospecimen nonsense")], "modality string")
+    """Wishes of each row: names in either case, unknown ones among them; none known, or no wish, means all."""
+    c = _t(spark, sf, "customer").select("c_custkey", F.expr(_ASKED).alias("asked"))
+    return c.select("c_custkey", F.array_join(io.modalities_of(F.col("asked")), ",").alias("modalities"))
 
 
 @query("SELECT n_name AS \"column\" FROM nation")

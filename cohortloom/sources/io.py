@@ -7,7 +7,7 @@ import logging
 import os
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import is_numeric, nulls_for_nan, quoted
@@ -46,6 +46,12 @@ def parse_modalities(text: str | None) -> list[str]:
     return [x for x in names if x in MODALITIES] or list(MODALITIES)
 
 
+def modalities_of(text: Column) -> Column:
+    """parse_modalities for a column, without warnings."""
+    names = F.filter(F.split(F.lower(text), r"[;,\s]+"), lambda x: x.isin(*MODALITIES))
+    return F.when(F.size(names) > 0, names).otherwise(F.array(*map(F.lit, MODALITIES)))
+
+
 def load_study(spark: SparkSession, path: str, modalities: list[str] | None = None, exclude_projects: list[str] | None = None, infer: bool = True) -> Study:
     """A folder of folders of CSV files. Files of excluded projects are not opened; rows of excluded PROJ_IDs are filtered."""
     fs, root = _fs(spark, require(spark, path))
