@@ -20,6 +20,7 @@ from ..functions.scalar import exact_quantiles, numeric_columns, quoted
 from ..model import KEYS
 from .discriminant import Discriminant
 from .estimators import AdaBoost, Nearest
+from .shap import shap_values
 from .stats import rank_auc
 
 # Ids of candidate models; xgb and lgbm are names in use for xgboost and lightgbm.
@@ -429,6 +430,11 @@ class Classifier:
             w = np.zeros(len(self.exp.features))
         return sorted(zip(self.exp.features, map(float, w), strict=True), key=lambda x: -x[1])[:top]
 
+    def shap_values(self, model, df: DataFrame | None = None) -> DataFrame:
+        """The test rows (or ``df``'s) with ``shap``, for models of trees: of each class an array with a value for each feature."""
+        rows = self.exp.test if df is None else self._encoded(df, self.exp.features, self.exp.target, self.exp.labels)
+        return shap_values(model, rows)
+
     def partial_dependence(self, model, feature: str, points: int = 10) -> list[tuple[float, float]]:
         """Mean probability of class 1 at quantiles of one feature: a prediction for each point over all rows."""
         raw = self.exp.test.drop("features")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import special as S
 from ..functions.scalar import quoted
 from .neighbours import relief_scores
+from .shap import mean_effects
 from .stats import _corr_array, adjust_pvalues
 
 
@@ -80,12 +81,17 @@ def _assembled(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 
 def _importance(df: DataFrame, columns: list[str], target: str, task: str, seed: int) -> np.ndarray:
+    return _forest(df, columns, target, task, seed)[0].featureImportances.toArray()
+
+
+def _forest(df: DataFrame, columns: list[str], target: str, task: str, seed: int):
+    """(the default forest, its training rows)"""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.regression import RandomForestRegressor
 
     kind = RandomForestClassifier if task == "classification" else RandomForestRegressor
-    model = kind(featuresCol="_x", labelCol=target, numTrees=20, seed=seed, maxDepth=5).fit(_assembled(df, columns, target))
-    return model.featureImportances.toArray()
+    rows = _assembled(df, columns, target)
+    return kind(featuresCol="_x", labelCol=target, numTrees=20, seed=seed, maxDepth=5).fit(rows), rows
 
 
 def _weights(df: DataFrame, columns: list[str], target: str, task: str, l1: float = 0.0) -> np.ndarray:
@@ -179,7 +185,10 @@ class FeatureSelector:
     def _permutation(self, df, columns, target, test):
         return self._top(columns, permutation_effects(df, columns, target, self.task, self.seed))
 
-    _shap = _permutation  # no Shapley values here: ranked by permutation effect
+    def _shap(self, df, columns, target, test):
+        """By mean absolute Shapley values of the default forest over all rows."""
+        model, rows = _forest(df, columns, target, self.task, self.seed)
+        return self._top(columns, mean_effects(model, rows, "_x"))
 
     def _mrmr(self, df, columns, target, test):
         s = scored(df, columns, target, self.task, self.scorer)

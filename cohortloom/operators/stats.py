@@ -676,44 +676,68 @@ def ancova(df: DataFrame, outcome: str, group: str, covariates: list[str]) -> li
 # Longitudinal
 
 
+def _mixed_sums(groups: DataFrame, p: int, q: int, d: np.ndarray, s2: float) -> list[np.ndarray]:
+    """Sums over all groups that an EM step needs, from their cross products, in one aggregate: with w = (Z'Z + s2 D^-1)^-1, A = [Z'y, Z'X] and U = wA, of
+    w, A'U, U x U, U'Z'ZU, tr(Z'Z w) and log det(I + Z'Z D / s2)."""
+    size, at = p + q + 1, list(itertools.combinations_with_replacement(range(p + q + 1), 2))
+    shapes = [(q, q), (p + 1, p + 1), (q, p + 1, q, p + 1), (p + 1, p + 1), (1,), (1,)]
+    total = sum(math.prod(x) for x in shapes)
+
+    def step(frames):
+        for frame in frames:
+            rows = frame.to_numpy(float)
+            c = np.zeros((len(rows), size, size))
+            for k, (i, j) in enumerate(at):
+                c[:, i, j] = c[:, j, i] = rows[:, k]
+            zz = c[:, p : p + q, p : p + q]
+            a = np.concatenate([c[:, p : p + q, -1:], c[:, p : p + q, :p]], 2)
+            w = np.linalg.inv(np.linalg.inv(d) * s2 + zz)
+            u = w @ a
+            parts = [w.sum(0), np.einsum("gia,gib->ab", a, u), np.einsum("gia,gjb->iajb", u, u), np.einsum("gia,gij,gjb->ab", u, zz, u), [np.einsum("gij,gji->", zz, w)], [np.linalg.slogdet(np.eye(q) + zz @ d / s2)[1].sum()]]
+            yield pd.DataFrame([np.concatenate([np.ravel(x) for x in parts])], columns=[f"v{k}" for k in range(total)])
+
+    made = groups.select(*[f"c{k}" for k in range(len(at))]).mapInPandas(step, ", ".join(f"v{k} double" for k in range(total)))
+    flat = np.array(made.agg(*[F.sum(f"v{k}") for k in range(total)]).first(), float)
+    ends = np.cumsum([math.prod(x) for x in shapes])
+    return [flat[e - math.prod(x) : e].reshape(x) for e, x in zip(ends, shapes, strict=True)]
+
+
 def linear_mixed_model(df: DataFrame, outcome: str, fixed: list[str], group: str, random_slopes: list[str] | None = None, iterations: int = 200) -> dict:
-    """REML fit from each group's cross products, which is all that comes together; EM for the random covariance."""
+    """REML fit by EM. Each group's cross products are a row of a table; a step is one aggregate over it, whose sums are all that comes to
+    the driver, whatever the number of groups."""
     slopes = random_slopes or []
     full = df.select(quoted(group).alias("_g"), *[quoted(c).cast("double").alias(c) for c in dict.fromkeys([outcome, *fixed, *slopes])]).dropna()
     xs, zs = [F.lit(1.0), *[quoted(c) for c in fixed]], [F.lit(1.0), *[quoted(c) for c in slopes]]
     p, q = len(xs), len(zs)
     every = [*xs, *zs, quoted(outcome)]
     pairs = list(itertools.combinations_with_replacement(range(len(every)), 2))
-    rows = full.groupBy("_g").agg(*[F.sum(every[i] * every[j]).alias(f"c{k}") for k, (i, j) in enumerate(pairs)], F.count("*").alias("n")).drop("_g").toPandas().to_numpy(float)
-    m, n = len(rows), int(rows[:, -1].sum())
-    c = np.zeros((m, len(every), len(every)))
+    groups = settled(full.groupBy("_g").agg(*[F.sum(every[i] * every[j]).alias(f"c{k}") for k, (i, j) in enumerate(pairs)], F.count("*").alias("n")).drop("_g"), "group-products")
+    m, n, *sums = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), *[F.sum(f"c{k}") for k in range(len(pairs))]).first()
+    whole = np.zeros((len(every), len(every)))
     for k, (i, j) in enumerate(pairs):
-        c[:, i, j] = c[:, j, i] = rows[:, k]
-    xx, xz, zz, xy, zy, yy = c[:, :p, :p], c[:, :p, p : p + q], c[:, p : p + q, p : p + q], c[:, :p, -1], c[:, p : p + q, -1], c[:, -1, -1]
-    beta = np.linalg.lstsq(xx.sum(0), xy.sum(0), rcond=None)[0]
-    s2 = max(1e-8, float((yy.sum() - xy.sum(0) @ beta) / n))
+        whole[i, j] = whole[j, i] = sums[k]
+    xx, xy, yy = whole[:p, :p], whole[:p, -1], whole[-1, -1]
+    beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
+    s2 = max(1e-8, float((yy - xy @ beta) / n))
     d = np.eye(q) * s2 / 2
     for _ in range(iterations):
-        w = np.linalg.inv(np.linalg.inv(d) * s2 + zz)  # (Z'Z + s2 D^-1)^-1 of each group
-        xvx = (xx - xz @ w @ xz.transpose(0, 2, 1)) / s2
-        xvy = (xy - np.einsum("gij,gjk,gk->gi", xz, w, zy)) / s2
-        cov = np.linalg.inv(xvx.sum(0))
-        beta = cov @ xvy.sum(0)
-        zr = zy - np.einsum("gji,j->gi", xz, beta)
-        b = np.einsum("gij,gj->gi", w, zr)
-        zxw = w @ xz.transpose(0, 2, 1)
-        post = s2 * w + zxw @ cov @ zxw.transpose(0, 2, 1)
-        rss = yy - 2 * xy @ beta + np.einsum("i,gij,j->g", beta, xx, beta) - 2 * np.einsum("gi,gi->g", b, zr) + np.einsum("gi,gij,gj->g", b, zz, b)
-        new_d = (np.einsum("gi,gj->ij", b, b) + post.sum(0)) / m
-        trace = np.einsum("gij,gji->", zz, post) + np.einsum("gij,ji->", xx, cov) - 2 * np.einsum("gij,jk,gki->", xz.transpose(0, 2, 1), cov, zxw.transpose(0, 2, 1))
-        new_s2 = float(rss.sum() + trace) / n
+        sum_w, h, k, big, trace_w, _ = _mixed_sums(groups, p, q, d, s2)
+        precision = (xx - h[1:, 1:]) / s2
+        cov = np.linalg.inv(precision)
+        beta = cov @ (xy - h[1:, 0]) / s2
+        theta = np.concatenate(([1.0], -beta))
+        rest = yy - 2 * xy @ beta + beta @ xx @ beta
+        fitted = theta @ h @ theta
+        post = s2 * sum_w + np.einsum("iajc,ac->ij", k[:, 1:, :, 1:], cov)
+        new_d = (np.einsum("a,iajc,c->ij", theta, k, theta) + post) / m
+        trace = s2 * trace_w[0] + np.trace(cov @ big[1:, 1:]) + np.trace(xx @ cov) - 2 * np.trace(cov @ h[1:, 1:])
+        new_s2 = float(rest - 2 * fitted + theta @ big @ theta + trace) / n
         done = np.abs(new_d - d).max() < 1e-10 and abs(new_s2 - s2) < 1e-10
         d, s2 = new_d, max(new_s2, 1e-12)
         if done:
             break
-    det = sum(np.linalg.slogdet(np.eye(q) + zz[g] @ d / s2)[1] for g in range(m)) + n * math.log(s2)
-    quad = (yy - 2 * xy @ beta + np.einsum("i,gij,j->g", beta, xx, beta) - np.einsum("gi,gij,gj->g", zr, w, zr)).sum() / s2
-    ll = -0.5 * ((n - p) * math.log(2 * math.pi) + det + np.linalg.slogdet(xvx.sum(0))[1] + quad)
+    det = float(_mixed_sums(groups, p, q, d, s2)[-1][0]) + n * math.log(s2)
+    ll = -0.5 * ((n - p) * math.log(2 * math.pi) + det + np.linalg.slogdet(precision)[1] + (rest - fitted) / s2)
     k = p + q * (q + 1) // 2 + 1
     se = np.sqrt(np.diag(cov))
     coef = {c_: {"coef": float(b_), "se": float(e), "z": float(b_ / e), "p_value": 2 * S.normal_sf(abs(b_ / e)), "ci_low": float(b_ - 1.959963984540054 * e), "ci_high": float(b_ + 1.959963984540054 * e)} for c_, b_, e in zip(["Intercept", *fixed], beta, se, strict=True)}
