@@ -185,7 +185,7 @@ def synuclein_stage(df: DataFrame, subject: str, order: str, fields: dict[str, s
     s, d, g, item, moca, signs, motor, rest, medicated, rbd, smell = (F.col(f"_{f}") for f in STAGE_FIELDS)
     low = moca < MOCA_NORMAL
     # The item counts one stage more with a low test score; stages from 3 on: item 1 and low, or item 2.
-    cognitive = F.when(item == 0, 0).otherwise(F.when((item == 1) & ~low, 0).otherwise(F.least(item + 1 + low.cast("int"), F.lit(6))))
+    cognitive = F.when(item == 0, 0).otherwise(F.when((item == 1) & ~low, 0).otherwise(item + 1 + low.cast("int")))
     parkinsonism = (signs >= SUBTHRESHOLD_SIGNS) | (medicated == 1)
     symptoms = (item >= 1) | parkinsonism | (rbd == 1) | (smell <= HYPOSMIA_PERCENTILE)
     motor_stage = F.when(motor.between(3, 13), F.when(parkinsonism, 3).when(~parkinsonism, 0)).otherwise(_at_least(motor, MOTOR_STAGES))

@@ -462,14 +462,15 @@ def roc_curve(spark, sf):
 # Neighbours
 
 
-@query("""WITH d AS (SELECT s_suppkey, c_custkey, (s_acctbal / 1000 - c_acctbal / 1000) * (s_acctbal / 1000 - c_acctbal / 1000) + CAST(s_nationkey - c_nationkey AS DOUBLE) * (s_nationkey - c_nationkey) AS d2 FROM supplier, customer)
-SELECT s_suppkey, c_custkey, CAST(place AS INTEGER) AS place, round(d2, 9) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY d2, c_custkey) AS place FROM d) WHERE place <= 5""")
+@query("""WITH s AS (SELECT s_suppkey, CAST(round(s_acctbal * 100) AS BIGINT) AS b, 100000 * CAST(s_nationkey AS BIGINT) AS n FROM supplier), c AS (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS b, 100000 * CAST(c_nationkey AS BIGINT) AS n FROM customer),
+d AS (SELECT s_suppkey, c_custkey, (s.b - c.b) * (s.b - c.b) + (s.n - c.n) * (s.n - c.n) AS d2 FROM s, c)
+SELECT s_suppkey, c_custkey, CAST(place AS INTEGER) AS place, CAST(d2 AS BIGINT) AS d2 FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY d2, c_custkey) AS place FROM d) WHERE place <= 5""")
 def nearest_customers(spark, sf):
-    """The five customers nearest to each supplier by balance and nation. The SQL compares all of them."""
-    c = _t(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("b"), F.col("c_nationkey").cast("double").alias("n"))
-    s = _t(spark, sf, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("b"), F.col("s_nationkey").cast("double").alias("n"))
-    found = neighbours.nearest(neighbours.box_tree(c, "c_custkey", ["b", "n"], 5), s, "s_suppkey", ["b", "n"])
-    return found.select(F.col("q").alias("s_suppkey"), F.col("r").alias("c_custkey"), "place", F.round("d2", 9).alias("d2"))
+    """The five customers nearest to each supplier by balance, in cents, and nation. The SQL compares all of them."""
+    points = lambda table, key, p: _t(spark, sf, table).select(key, F.round(F.col(f"{p}_acctbal") * 100).alias("b"), (100_000.0 * F.col(f"{p}_nationkey")).alias("n"))
+    tree = neighbours.box_tree(points("customer", "c_custkey", "c"), "c_custkey", ["b", "n"], 5)
+    found = neighbours.nearest(tree, points("supplier", "s_suppkey", "s"), "s_suppkey", ["b", "n"])
+    return found.select(F.col("q").alias("s_suppkey"), F.col("r").alias("c_custkey"), "place", F.col("d2").cast("bigint").alias("d2"))
 
 
 # Clinical rules and the guide's remaining queries
