@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import exact_quantiles, numeric_columns, quoted
 from ..model import KEYS
+from .additive import AdditiveBoost
 from .discriminant import Discriminant
 from .estimators import AdaBoost, Nearest
 from .shap import shap_values
@@ -25,7 +26,7 @@ from .stats import rank_auc
 
 # Ids of candidate models; xgb and lgbm are names in use for xgboost and lightgbm.
 ALIASES = {"xgb": "xgboost", "lgbm": "lightgbm"}
-CANDIDATES = ("lr", "rf", "et", "gbc", "dt", "nb", "svm", "ridge", "lda", "qda", "xgboost", "lightgbm", "catboost", "mlp", "fm", "knn", "ada")
+CANDIDATES = ("lr", "rf", "et", "gbc", "dt", "nb", "svm", "ridge", "lda", "qda", "xgboost", "lightgbm", "catboost", "mlp", "fm", "knn", "ada", "ebm")
 REGRESSORS = ("lr", "ridge", "lasso", "en", "rf", "et", "gbr", "dt", "xgboost", "lightgbm", "catboost")
 
 
@@ -50,6 +51,7 @@ def classifier(name: str, n_classes: int, seed: int = 42, **params):
         "qda": lambda: Discriminant(quadratic=True),
         "knn": lambda: Nearest(),
         "ada": lambda: AdaBoost(seed=seed),
+        "ebm": lambda: AdditiveBoost(),
     }
     if name not in made:
         raise ValueError(f"unknown model {name}")
@@ -216,7 +218,7 @@ class Classifier:
     def compare_models(self, include=None, exclude=(), n_select: int = 1, sort: str = "Accuracy", budget_minutes: float | None = None, turbo: bool = True, progress=None) -> list:
         """The leaderboard's first ``n_select`` models, refitted; failing models are left out. ``exclude`` counts without ``include``."""
         deadline = time.time() + budget_minutes * 60 if budget_minutes else math.inf
-        names = list(include) if include else [m for m in CANDIDATES if m not in exclude and not (turbo and m in ("mlp", "fm", "catboost", "knn"))]
+        names = list(include) if include else [m for m in CANDIDATES if m not in exclude and not (turbo and m in ("mlp", "fm", "catboost", "knn", "ebm"))]
         self.leaderboard = []
         for i, name in enumerate(names):
             if time.time() > deadline:

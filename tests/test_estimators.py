@@ -13,7 +13,7 @@ from cohortloom.operators.estimators import AdaBoost, Nearest
 
 def frame(spark, x, y):
     df = spark.createDataFrame([(k, float(t), *map(float, v)) for k, (v, t) in enumerate(zip(x, y, strict=True))], "id long, label double, " + ", ".join(f"f{j} double" for j in range(x.shape[1])))
-    return VectorAssembler(inputCols=[f"f{j}" for j in range(x.shape[1])], outputCol="features").transform(df)
+    return VectorAssembler(inputCols=[f"f{j}" for j in range(x.shape[1])], outputCol="features", handleInvalid="keep").transform(df)
 
 
 def saved(model, path):
