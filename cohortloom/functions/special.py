@@ -141,10 +141,6 @@ def studentized_range_ppf(p: float, k: int, df: float) -> float:
     return (lo + hi) / 2
 
 
-def kolmogorov_sf(x: float) -> float:
-    return min(1.0, max(0.0, 2 * sum((-1) ** (j - 1) * math.exp(-2 * j * j * x * x) for j in range(1, 101)))) if x > 0.2 else 1.0
-
-
 def shapiro_wilk(values: list[float]) -> tuple[float, float]:
     """W and p by Royston's 1995 approximation; values sorted."""
     n = len(values)

@@ -179,6 +179,32 @@ def impute(df: DataFrame, method: str = "simple_median", columns: list[str] | No
     raise ValueError(f"unknown imputation {method}")
 
 
+class TrainImputer:
+    """Means or medians of the training rows, for their gaps and those of any other rows. Columns that hold no training value leave."""
+
+    def __init__(self, kind: str = "mean"):
+        if kind not in ("mean", "median"):
+            raise ValueError(f"unknown imputation {kind}")
+        self.kind, self.fill, self.dropped = kind, {}, []
+
+    def fit(self, train: DataFrame, columns: list[str] | None = None) -> TrainImputer:
+        names = columns or numeric_columns(train, SKIP)
+        found = {}
+        if names:
+            found = column_medians(train, names) if self.kind == "median" else train.agg(*[F.avg(quoted(c)).alias(c) for c in names]).first()
+        self.fill = {c: float(found[c]) for c in names if found[c] is not None}
+        self.dropped = [c for c in names if c not in self.fill]
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        own = {c: F.coalesce(quoted(c).cast("double"), F.lit(v)) for c, v in self.fill.items() if c in df.columns}
+        return (df.withColumns(own) if own else df).drop(*self.dropped)
+
+    def fit_transform(self, train: DataFrame, test: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        self.fit(train, columns)
+        return self.transform(train), self.transform(test)
+
+
 def _iterative(df: DataFrame, names: list[str], rounds: int, forest: bool) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression, RandomForestRegressor

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import exact_quantiles, numeric_columns, quoted
 from ..model import KEYS
+from ..session import settled
 from .additive import AdditiveBoost
 from .discriminant import Discriminant
 from .estimators import AdaBoost, Nearest
@@ -157,6 +158,27 @@ def stratified_split(df: DataFrame, label: str, test_share: float = 0.2, seed: i
     return ranked.filter(~test).select(*df.columns), ranked.filter(test).select(*df.columns)
 
 
+def stratified_sample(df: DataFrame, by: str, size: int, key: str | list[str], seed: int = 42) -> DataFrame:
+    """At most ``size`` rows, the classes in their shares (what rounding leaves goes to the largest remainders), each class's rows the
+    least by MD5 of ``key`` and the seed. Rows of equal keys are told apart by their other columns; a table of up to ``size`` rows stays whole.
+
+    A task passes on at most ``size`` rows a class.
+    """
+    counts = sorted((r for r in df.groupBy(quoted(by).alias("c")).agg(F.count("*").alias("n")).collect()), key=lambda r: (r.c is None, r.c))  # a row a class
+    total = sum(r.n for r in counts)
+    if total <= size:
+        return df
+    share = [divmod(size * r.n, total) for r in counts]
+    more = sorted(range(len(counts)), key=lambda k: (-share[k][1], k))[: size - sum(q for q, _ in share)]
+    limit = F.lit(0)
+    for k, r in enumerate(counts):
+        limit = F.when(quoted(by).eqNullSafe(F.lit(r.c)), share[k][0] + (k in more)).otherwise(limit)
+    mark = F.md5(F.concat_ws("|", *[quoted(c).cast("string") for c in ([key] if isinstance(key, str) else key)], F.lit(str(seed))).cast("binary"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("_mark", F.xxhash64(*[quoted(c) for c in df.columns])))
+    ranked = df.withColumn("_mark", mark).withColumn("_place", place).filter(F.col("_place") <= size)
+    return ranked.filter(F.col("_place") <= limit).select(*[quoted(c) for c in df.columns])
+
+
 @dataclass
 class Experiment:
     train: DataFrame
@@ -423,15 +445,26 @@ class Classifier:
     # Explanation and validation
 
     def explain_model(self, model, top: int = 20) -> list[tuple[str, float]]:
+        """The features that count most: importances of trees, sizes of coefficients, else the accuracy that is lost when a feature's
+        values move to other test rows."""
         last = model
         if hasattr(last, "featureImportances"):
             w = last.featureImportances.toArray()
         elif hasattr(last, "coefficientMatrix"):
             w = np.abs(last.coefficientMatrix.toArray()).mean(0)
         else:
-            w = np.zeros(len(self.exp.features))
+            w = self._shuffled_loss(model)
         return sorted(zip(self.exp.features, map(float, w), strict=True), key=lambda x: -x[1])[:top]
 
+    def _shuffled_loss(self, model) -> list[float]:
+        from .select import hashed_shuffle, shuffle_buckets
+
+        raw = settled(self.exp.test.select(*map(quoted, self.exp.features), "label"), "explained")
+        assemble = VectorAssembler(inputCols=self.exp.features, outputCol="features", handleInvalid="keep")
+        right = lambda rows: model.transform(assemble.transform(rows)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] or 0.0
+        base, buckets = right(raw), shuffle_buckets(raw)
+        return [base - right(hashed_shuffle(raw, [c], self.exp.seed + j, buckets)) for j, c in enumerate(self.exp.features)]
+
     def shap_values(self, model, df: DataFrame | None = None) -> DataFrame:
         """The test rows (or ``df``'s) with ``shap``, for models of trees: of each class an array with a value for each feature."""
         rows = self.exp.test if df is None else self._encoded(df, self.exp.features, self.exp.target, self.exp.labels)

@@ -67,16 +67,36 @@ def recommendations(accuracy: float, reduction_pct: float, n_classes: int) -> li
     return out or ["No remarks."]
 
 
-def classification_report(leaderboard: list[dict], test: dict, importance: list, classes: list[dict], confusion: list[dict], notes: list[str]) -> str:
-    rows = [{"feature": f, "importance": w} for f, w in importance]
-    return page("Classification", {"Leaderboard (cross-validation)": leaderboard, "Test split": [test], "Class distribution": classes, "Confusion": confusion, "Feature importance": rows, "Recommendations": [{"note": n} for n in notes]})
+def class_metrics(confusion: list[dict], labels: list[str]) -> list[dict]:
+    """Precision, recall, F1 and rows of each class, from rows (label, prediction, n) of class numbers."""
+    out = []
+    for k, name in enumerate(labels):
+        hit = sum(r["n"] for r in confusion if r["label"] == r["prediction"] == k)
+        own, said = (sum(r["n"] for r in confusion if r[side] == k) for side in ("label", "prediction"))
+        precision, recall = hit / said if said else 0.0, hit / own if own else 0.0
+        out.append({"class": name, "precision": precision, "recall": recall, "F1": 2 * precision * recall / (precision + recall) if hit else 0.0, "rows": own})
+    return out
+
+
+def classification_report(leaderboard: list[dict], test: dict, importance: list, classes: list[dict], confusion: list[dict], notes: list[str], data: dict | None = None, tuned: dict | None = None, labels: list[str] | None = None, plots: list[str] = ()) -> str:
+    named = [r | {"label": labels[int(r["label"])], "prediction": labels[int(r["prediction"])]} for r in confusion] if labels else confusion
+    return page(
+        "Classification",
+        {
+            "Data": [data] if data else [],
+            "Class distribution": classes,
+            "Leaderboard (cross-validation)": leaderboard,
+            "Best model": leaderboard[:1],
+            "Tuning": [tuned] if tuned else [],
+            "Test split": [test],
+            "Metrics by class": class_metrics(confusion, labels) if labels else [],
+            "Confusion": named,
+            "Feature importance": [{"feature": f, "importance": w} for f, w in importance],
+            "Data of plots": [{"table": f"plots/{name}"} for name in plots],
+            "Recommendations": [{"note": n} for n in notes],
+        },
+    )
 
 
 def summary_report(stages: list[dict]) -> str:
     return page("Pipeline summary", {"Stages": stages})
-
-
-def write(path: str, text: str) -> str:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
-    return path

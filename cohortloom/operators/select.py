@@ -63,8 +63,18 @@ def mutual_information(df: DataFrame, column: str, target: str, bins: int = 10)
     return float(sum(r["count"] / n * math.log(r["count"] / n / px[r.x] / py[r.y]) for r in joint.to_dict("records")))
 
 
-def hashed_shuffle(df: DataFrame, columns: list[str], seed: int, buckets: int = 256) -> DataFrame:
-    """``df`` with each column's values moved to other rows, in hashed buckets: a permutation without a global order."""
+#: Rows of a bucket within which values are moved.
+SHUFFLE_ROWS = 10_000
+
+
+def shuffle_buckets(df: DataFrame) -> int:
+    return max(1, df.count() // SHUFFLE_ROWS)
+
+
+def hashed_shuffle(df: DataFrame, columns: list[str], seed: int, buckets: int | None = None) -> DataFrame:
+    """``df`` with each column's values moved to other rows, in hashed buckets of some ``SHUFFLE_ROWS`` rows: a permutation without a global
+    order. A small table is one bucket."""
+    buckets = buckets or shuffle_buckets(df)
     own = F.xxhash64(*[quoted(c) for c in df.columns], F.lit(seed))
     rows = df.withColumns({"_o": own, "_b": F.pmod(own, F.lit(buckets))})
     for k, c in enumerate(columns):
@@ -168,18 +178,19 @@ class FeatureSelector:
         return self._top(columns, _importance(df, columns, target, self.task, self.seed))
 
     def _boruta(self, df, columns, target, test):
-        rounds, hits = self.options.get("rounds", 5), np.zeros(len(columns))
+        rounds, hits, buckets = self.options.get("rounds", 5), np.zeros(len(columns)), shuffle_buckets(df)
         for r in range(rounds):
             shadow = {c: f"_shadow{k}" for k, c in enumerate(columns)}
             both = df.withColumns({s: quoted(c) for c, s in shadow.items()})
-            both = hashed_shuffle(both, list(shadow.values()), self.seed + r)
+            both = hashed_shuffle(both, list(shadow.values()), self.seed + r, buckets)
             w = _importance(both, [*columns, *shadow.values()], target, self.task, self.seed + r)
             hits += w[: len(columns)] > w[len(columns) :].max()
         return [c for c, h in zip(columns, hits, strict=True) if S.binom_two_sided(int(h), rounds) <= 0.1 and h > rounds / 2]
 
     def _null_importance(self, df, columns, target, test):
         real, rounds = _importance(df, columns, target, self.task, self.seed), self.options.get("rounds", 3)
-        null = [_importance(hashed_shuffle(df, [target], self.seed + r + 1), columns, target, self.task, self.seed) for r in range(rounds)]
+        buckets = shuffle_buckets(df)
+        null = [_importance(hashed_shuffle(df, [target], self.seed + r + 1, buckets), columns, target, self.task, self.seed) for r in range(rounds)]
         return [c for j, c in enumerate(columns) if real[j] > max(x[j] for x in null)]
 
     def _permutation(self, df, columns, target, test):
@@ -224,7 +235,7 @@ class FeatureSelector:
         return [c for c, k in zip(columns, masks[int(np.argmax(score))], strict=True) if k]
 
     def _stability(self, df, columns, target, test):
-        rounds, hits = self.options.get("rounds", 5), np.zeros(len(columns))
+        rounds, hits, buckets = self.options.get("rounds", 5), np.zeros(len(columns)), shuffle_buckets(df)
         for r in range(rounds):
             half = df.filter(F.pmod(F.xxhash64(*[quoted(c) for c in columns], F.lit(self.seed + r)), F.lit(2)) == 0)
             hits += _weights(half, columns, target, self.task, l1=1.0) > 1e-6
@@ -274,5 +285,5 @@ def permutation_effects(df: DataFrame, columns: list[str], target: str, task: st
         gap = F.when(F.col("prediction") != quoted(target), 1.0).otherwise(0.0) if task == "classification" else F.pow(F.col("prediction") - quoted(target), F.lit(2))
         return out.agg(F.avg(gap)).first()[0] or 0.0
 
-    base = loss(df)
-    return [loss(hashed_shuffle(df.select(*columns, target), [c], seed + j)) - base for j, c in enumerate(columns)]
+    base, buckets = loss(df), shuffle_buckets(df)
+    return [loss(hashed_shuffle(df.select(*columns, target), [c], seed + j, buckets)) - base for j, c in enumerate(columns)]

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tree import _DecisionTreeModel, _TreeEnsembleModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -45,7 +46,9 @@ def _leaves(node, value_of, conditions: dict | None = None) -> list[Leaf]:
 
 def tree_leaves(model) -> list[Leaf]:
     """All leaves of a tree, forest or boosted model. The outputs are class probabilities; of a regression, and of boosting, whose score is
-    explained, there is one."""
+    explained, there is one. Other models raise TypeError."""
+    if not isinstance(model, (_DecisionTreeModel, _TreeEnsembleModel)):
+        raise TypeError(f"{type(model).__name__} is not a model of trees")
     classes = getattr(model, "numClasses", 0) if "Classification" in type(model).__name__ else 0
     boosted = type(model).__name__.startswith("GBT")
 

@@ -227,20 +227,26 @@ def eta_squared(df: DataFrame, value: str, group: str) -> float:
 def kruskal_wallis(df: DataFrame, value: str, group: str) -> dict:
     g, ties = _rank_sums(df, value, group)
     n = sum(r.n for r in g)
-    h = (12 / (n * (n + 1)) * sum(r.r**2 / r.n for r in g) - 3 * (n + 1)) / (1 - ties / (n**3 - n))
+    spread = 1 - ties / (n**3 - n) if n > 1 else 0.0
+    if spread <= 0 or len(g) < 2:  # all values are equal, or there is nothing to compare
+        return {"statistic": math.nan, "p_value": math.nan, "df": max(len(g) - 1, 0), "medians": {r.g: r.median for r in g}}
+    h = (12 / (n * (n + 1)) * sum(r.r**2 / r.n for r in g) - 3 * (n + 1)) / spread
     return {"statistic": h, "p_value": S.chi2_sf(h, len(g) - 1), "df": len(g) - 1, "medians": {r.g: r.median for r in g}}
 
 
 def tukey_hsd(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> list[dict]:
     g = sorted(group_moments(df, value, group).collect(), key=lambda r: r.group)
     d2 = sum(r.n for r in g) - len(g)
-    mse = sum((r.n - 1) * r["var"] for r in g) / d2
+    if d2 < 1:
+        raise ValueError("a group of at least two values is needed")
+    mse = sum((r.n - 1) * (r["var"] or 0.0) for r in g) / d2
     crit = S.studentized_range_ppf(1 - alpha, len(g), d2)
     out = []
     for a, b in itertools.combinations(g, 2):
         se = math.sqrt(mse / 2 * (1 / a.n + 1 / b.n))
         diff = b.mean - a.mean
-        p = S.studentized_range_sf(abs(diff) / se, len(g), d2)
+        # Without variance a difference is certain, and equal means say nothing.
+        p = S.studentized_range_sf(abs(diff) / se, len(g), d2) if se > 0 else 0.0 if diff else math.nan
         out.append({"group_a": a.group, "group_b": b.group, "difference": diff, "p_adj": p, "ci_low": diff - crit * se, "ci_high": diff + crit * se, "reject": p < alpha})
     return out
 
@@ -248,11 +254,13 @@ def tukey_hsd(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> lis
 def dunn_posthoc(df: DataFrame, value: str, group: str, p_adjust: str = "holm") -> list[dict]:
     g, ties = _rank_sums(df, value, group)
     n = sum(r.n for r in g)
-    base = n * (n + 1) / 12 - ties / (12 * (n - 1))
+    base = n * (n + 1) / 12 - ties / (12 * (n - 1)) if n > 1 else 0.0
     out = []
     for a, b in itertools.combinations(g, 2):
-        z = (a.r / a.n - b.r / b.n) / math.sqrt(base * (1 / a.n + 1 / b.n))
+        z = (a.r / a.n - b.r / b.n) / math.sqrt(base * (1 / a.n + 1 / b.n)) if base > 1e-9 * n * n else math.nan
         out.append({"group_a": a.g, "group_b": b.g, "z": z, "p_value": 2 * S.normal_sf(abs(z))})
+    if any(math.isnan(r["z"]) for r in out):  # all values are equal
+        return [r | {"p_adj": math.nan} for r in out]
     for row, p in zip(out, adjust_pvalues([r["p_value"] for r in out], p_adjust)["p_adjusted"], strict=True):
         row["p_adj"] = p
     return out
@@ -618,6 +626,11 @@ def rank_auc(df: DataFrame, score: str, label: str) -> float:
     return (x.r - p * (p + 1) / 2) / (p * q) if p and q else math.nan
 
 
+def _exp(x: float) -> float:
+    """e to the x; beyond what a double holds infinity, as for classes that a predictor separates."""
+    return math.exp(x) if x < 709 else x if math.isnan(x) else math.inf
+
+
 def logistic_regression(df: DataFrame, outcome: str, predictors: list[str], points: int = 100) -> dict:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
@@ -628,7 +641,7 @@ def logistic_regression(df: DataFrame, outcome: str, predictors: list[str], poin
     beta, se, z, p = [*model.coefficients, model.intercept], s.coefficientStandardErrors, s.tValues, s.pValues
     scored = model.transform(full)
     roc = roc_points(scored, "_p", outcome, points)
-    out = {c: {"coef": b, "se": e, "z": t, "p_value": q, "odds_ratio": math.exp(b), "or_low": math.exp(b - 1.959963984540054 * e), "or_high": math.exp(b + 1.959963984540054 * e)} for c, b, e, t, q in zip([*predictors, "const"], beta, se, z, p, strict=True)}
+    out = {c: {"coef": b, "se": e, "z": t, "p_value": q, "odds_ratio": _exp(b), "or_low": _exp(b - 1.959963984540054 * e), "or_high": _exp(b + 1.959963984540054 * e)} for c, b, e, t, q in zip([*predictors, "const"], beta, se, z, p, strict=True)}
     return {"coefficients": out, "pseudo_r_squared": 1 - s.deviance / s.nullDeviance, "log_likelihood": -s.deviance / 2, "auc": rank_auc(scored, "_p", outcome), "roc": roc, "n": s.numInstances}
 
 

@@ -614,3 +614,61 @@ def confusion_multiclass(spark, sf):
     c = ml.confusion(_t(spark, sf, "lineitem").select("l_returnflag", F.when(q > 30, "R").when(q > 12, "A").otherwise("N").alias("p")), "l_returnflag", "p")
     totals = c.groupBy("label").agg(F.sum("n").alias("t"))
     return c.join(F.broadcast(totals), "label").select("label", "prediction", "n", F.round(F.col("n") / F.col("t"), 9).alias("recall_share"))  # a row a class
+
+
+_STUDY = """WITH a AS (SELECT CAST(p_partkey AS VARCHAR) AS PATNO, p_brand AS EVENT_ID, CASE WHEN p_size % 4 = 2 THEN 0.5 ELSE CAST(p_size % 4 AS DOUBLE) END AS feat FROM part),
+b AS (SELECT CAST(s_suppkey AS VARCHAR) AS PATNO, 'Brand#' || CAST(11 + s_nationkey % 3 AS VARCHAR) AS EVENT_ID, s_nationkey AS score FROM supplier)"""
+
+
+@query(f"{_STUDY} SELECT coalesce(a.PATNO, b.PATNO) AS PATNO, coalesce(a.EVENT_ID, b.EVENT_ID) AS EVENT_ID, feat AS medical_history_features_of_parkinsonism_FEATBRADY, CAST(score AS BIGINT) AS motor_assessments_updrs_SCORE FROM a FULL JOIN b ON a.PATNO = b.PATNO AND a.EVENT_ID = b.EVENT_ID")
+def study_load_merged(spark, sf):
+    """A study of two files in folders by modality is loaded, cleaned (2 is uncertain) and merged."""
+    from ..session import scratch_path
+    from ..sources import study
+
+    path = scratch_path(spark, "study")
+    part = _t(spark, sf, "part").select(F.col("p_partkey").alias("PATNO"), F.col("p_brand").alias("EVENT_ID"), (F.col("p_size") % 4).alias("FEATBRADY"))
+    supplier = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("PATNO"), F.concat(F.lit("Brand#"), (11 + F.col("s_nationkey") % 3).cast("string")).alias("EVENT_ID"), F.col("s_nationkey").alias("SCORE"))
+    io.write_csv(part, f"{path}/Medical_History/features_of_parkinsonism.csv")
+    io.write_csv(supplier, f"{path}/Motor___MDS-UPDRS/updrs.csv")
+    wide = study.load(spark, path, merge_output=True)
+    score = F.col("motor_assessments_updrs_SCORE").cast("bigint").alias("motor_assessments_updrs_SCORE")
+    return wide.select("PATNO", "EVENT_ID", "medical_history_features_of_parkinsonism_FEATBRADY", score)
+
+
+@query("""WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice END AS late, o_orderkey % 5 = 0 AS test FROM orders)
+SELECT o_orderkey, test, round(coalesce(price, (SELECT avg(price) FROM a WHERE NOT test)), 4) AS price FROM a""")
+def impute_from_train(spark, sf):
+    """Gaps of training and test rows are filled with the training mean; a column that holds nothing in training leaves."""
+    o, k = _t(spark, sf, "orders"), F.col("o_orderkey")
+    rows = o.select("o_orderkey", (k % 5 == 0).alias("test"), F.when(k % 7 != 0, F.col("o_totalprice")).alias("price"), F.when(k % 5 == 0, F.col("o_totalprice")).alias("late"))
+    train, test = features.TrainImputer("mean").fit_transform(rows.filter("not test"), rows.filter("test"), ["price", "late"])
+    return train.unionByName(test).withColumn("price", F.round("price", 4))
+
+
+_SIZE = 500
+
+
+@query(f"""WITH c AS (SELECT o_orderstatus AS s, count(*) AS n, sum(count(*)) OVER () AS t FROM orders GROUP BY 1),
+q AS (SELECT s, CAST(floor({_SIZE} * n / CAST(t AS DOUBLE)) AS BIGINT) AS own, CAST(({_SIZE} * n) % t AS BIGINT) AS r, t FROM c),
+l AS (SELECT s, own + CASE WHEN row_number() OVER (ORDER BY r DESC, s) <= {_SIZE} - sum(own) OVER () THEN 1 ELSE 0 END AS most, t FROM q)
+SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '|42')) AS p FROM orders) o JOIN l ON s = o_orderstatus WHERE p <= most OR t <= {_SIZE}""")
+def stratified_sample(spark, sf):
+    """A sampling operator: at most 500 orders, the states in their shares."""
+    return ml.stratified_sample(_t(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", _SIZE, "o_orderkey")
+
+
+@query("""WITH a AS (SELECT l_linenumber AS x, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem), m AS (SELECT avg(y) AS p FROM a),
+b AS (SELECT x, count(*) AS n, sum(y) AS s FROM a GROUP BY x)
+SELECT CAST(x AS BIGINT) AS line, round(1 / (1 + exp(-(ln(p / (1 - p)) + (s - n * p) / (n * p * (1 - p) + 1)))), 6) AS chance FROM b, m""")
+def boosted_bins(spark, sf):
+    """Explainable boosting of one feature, one full step with as many ranges as values: a Newton step a value."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    from ..operators.additive import AdditiveBoost
+
+    rows = _t(spark, sf, "lineitem").select(F.col("l_linenumber").cast("double").alias("x"), F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("label"))
+    rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    scored = AdditiveBoost(cycles=1, rate=1.0, leaves=100).fit(rows).transform(rows.select("x", "features").distinct())
+    return scored.select(F.col("x").cast("bigint").alias("line"), F.round(vector_to_array("probability")[1], 6).alias("chance"))

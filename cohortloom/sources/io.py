@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import logging
-import os
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,9 +21,13 @@ def _fs(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def require(spark: SparkSession, path: str) -> str:
+def exists(spark: SparkSession, path: str) -> bool:
     fs, where = _fs(spark, path)
-    if not fs.exists(where):
+    return fs.exists(where)
+
+
+def require(spark: SparkSession, path: str) -> str:
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     return path
 
@@ -33,7 +36,8 @@ def read_csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
     return nulls_for_nan(spark.read.csv(require(spark, path), header=True, inferSchema=infer))
 
 
-def write_csv(df: DataFrame, path: str, single: bool = True) -> None:
+def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
+    """A folder of CSV files, or with ``single`` of one file, which one task writes."""
     (df.coalesce(1) if single else df).write.mode("overwrite").csv(path, header=True)
 
 
@@ -73,11 +77,6 @@ def load_study(spark: SparkSession, path: str, modalities: list[str] | None = No
     return Study(tables)
 
 
-def save_study(study: Study, path: str) -> None:
-    for key, df in study.tables.items():
-        write_csv(df, f"{path}/{key.prefix}.csv")
-
-
 def read_leakage(spark: SparkSession, path: str) -> list[str]:
     """Distinct non-blank lines, in order: a configuration file."""
     lines = (r.value.strip() for r in spark.read.text(require(spark, path)).collect())
@@ -86,7 +85,7 @@ def read_leakage(spark: SparkSession, path: str) -> list[str]:
 
 def detect_inputs(spark: SparkSession, folder: str) -> dict[str, str]:
     """Selected train and test files, else the engineered one."""
-    has = lambda name: _fs(spark, f"{folder}/{name}")[0].exists(_fs(spark, f"{folder}/{name}")[1])
+    has = lambda name: exists(spark, f"{folder}/{name}")
     for names in (("selected_train_data.csv", "selected_test_data.csv"), ("final_engineered_dataset.csv",)):
         if all(map(has, names)):
             return dict(zip(("train", "test") if len(names) == 2 else ("data",), (f"{folder}/{n}" for n in names), strict=True))
@@ -142,6 +141,18 @@ def load_model(path: str):
     return PipelineModel.load(path), json.loads(spark.read.text(path + ".json").first().value)
 
 
-def ensure_folder(path: str) -> str:
-    os.makedirs(path, exist_ok=True)
+def ensure_folder(spark: SparkSession, path: str) -> str:
+    fs, where = _fs(spark, path)
+    fs.mkdirs(where)
+    return path
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> str:
+    """One small file, such as a report, wherever Spark can write."""
+    fs, where = _fs(spark, path)
+    stream = fs.create(where, True)
+    try:
+        stream.write(bytearray(text.encode("utf-8")))
+    finally:
+        stream.close()
     return path
