@@ -2,7 +2,8 @@
 
 Every version of every file is content-addressed by SHA-256. Only pairs of blob and rule version that the ledger
 has not seen are scanned, once each, and findings are joined back to every path that ever held the blob. The ledger is a
-Parquet folder to which each run appends what it has scanned (``scan_with_ledger``).
+Parquet folder, partitioned by rule version, to which each run appends what it has scanned (``scan_with_ledger``). A run reads
+its own version's part alone.
 
 Defined cases: null content counts as empty and has no findings; rows that repeat share one blob; an empty table
 gives an empty result; columns other than the id and the content are ignored. A null id keeps its row.
@@ -89,7 +90,7 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, id_col:
 def scan_with_ledger(versions: DataFrame, path: str, **options) -> DataFrame:
     """Findings per version; blobs that the ledger at ``path`` holds are not scanned, and those scanned now are added to it."""
     found, new = scan_versions(versions, read_ledger(versions.sparkSession, path), **options)
-    new.write.mode("append").parquet(path)
+    new.write.mode("append").partitionBy("rule_version").parquet(path)
     return found
 
 
