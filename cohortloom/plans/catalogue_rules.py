@@ -672,3 +672,48 @@ def boosted_bins(spark, sf):
     rows = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
     scored = AdditiveBoost(cycles=1, rate=1.0, leaves=100).fit(rows).transform(rows.select("x", "features").distinct())
     return scored.select(F.col("x").cast("bigint").alias("line"), F.round(vector_to_array("probability")[1], 6).alias("chance"))
+
+
+# P-values beside the statistics of earlier rows
+
+_PAIRED = " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r, CAST(count(*) AS DOUBLE) AS n FROM lineitem" for k, a in enumerate(_FEATURES) for b in _FEATURES[k + 1 :])
+
+
+@query(f"""WITH c AS (SELECT x, y, n - 2 AS df, r * sqrt((n - 2) / (1 - r * r)) AS t FROM ({_PAIRED})), p AS (SELECT x, y, {_t_two_sided('t', 'df', 400_000)} AS p FROM c),
+o AS (SELECT *, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p)
+SELECT x, y, round(p, 4) AS p_value, round(least(1.0, min(p * m / i) OVER (ORDER BY i DESC)), 4) AS p_adjusted FROM o""")
+def corr_matrix_p(spark, sf):
+    """The p-value of each correlation, and adjusted for all of them."""
+    m = stats.correlation_matrix(_t(spark, sf, "lineitem"), list(_FEATURES))
+    return _frame(spark, [{"x": a, "y": b, "p_value": round(p, 4), "p_adjusted": round(m["p_adjusted"][a, b], 4)} for (a, b), p in m["p"].items()])
+
+
+_NESTED = """r AS (SELECT l_linenumber % 2 AS g, l_tax AS x, l_discount AS y FROM lineitem), w AS (SELECT g, count(*) AS n, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy FROM r GROUP BY g),
+p AS (SELECT sum(sxx) AS sxx, sum(sxy) AS sxy, sum(syy) AS syy, CAST(sum(n) - 3 AS DOUBLE) AS df FROM w), a AS (SELECT regr_syy(y, x) - pow(regr_sxy(y, x), 2) / regr_sxx(y, x) AS rss FROM r),
+f AS (SELECT 'g' AS term, df, (a.rss - (syy - sxy * sxy / sxx)) / ((syy - sxy * sxy / sxx) / df) AS f FROM a, p UNION ALL SELECT 'x', df, sxy * sxy / sxx / ((syy - sxy * sxy / sxx) / df) FROM p)"""
+
+
+@query(f"WITH {_NESTED} SELECT term, round(f, 4) AS f, round({_t_two_sided('sqrt(greatest(f, 0.0))', 'df')}, 4) AS p_value FROM f")
+def ancova_p(spark, sf):
+    """Two groups and one covariate: each F has one degree of freedom and is the square of a t."""
+    i = _t(spark, sf, "lineitem").select((F.col("l_linenumber") % 2).alias("g"), F.col("l_tax").alias("x"), F.col("l_discount").alias("y"))
+    return _frame(spark, [{"term": r["term"], "f": round(r["F"], 4), "p_value": round(r["p_value"], 4)} for r in stats.ancova(i, "y", "g", ["x"]) if r["F"] is not None])
+
+
+@query("""WITH c AS (SELECT unnest([count_if(p_size % 5 = 0), count_if(p_size % 7 = 0), count_if(p_size % 6 = 0)]) AS n FROM part), m AS (SELECT avg(n) AS m FROM c)
+SELECT round(sum((n - m) * (n - m) / m), 6) AS chi2, CAST(2 AS DOUBLE) AS dof, round(exp(-sum((n - m) * (n - m) / m) / 2), 6) AS p_value FROM c, m""")
+def missingness_test(spark, sf):
+    """Whether three columns miss equally often: with two degrees of freedom p is exp(-chi2 / 2)."""
+    n = F.col("p_size")
+    r = stats.missingness_report(_t(spark, sf, "part").select(*[F.when(n % k != 0, 1).alias(f"c{k}") for k in (5, 7, 6)]))
+    return _frame(spark, [{k: r[k] for k in ("chi2", "dof", "p_value")}])
+
+
+@query("""WITH c AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS qe, abs(corr(l_quantity, twice)) AS qt, abs(corr(l_extendedprice, twice)) AS et, abs(corr(l_quantity, l_tax)) AS qx, abs(corr(l_extendedprice, l_tax)) AS ex, abs(corr(twice, l_tax)) AS tx
+FROM (SELECT *, 2 * l_quantity + l_tax AS twice FROM lineitem)), k AS (SELECT *, qe <= 0.8 AS e FROM c), t AS (SELECT *, qt <= 0.8 AND (NOT e OR et <= 0.8) AS t FROM k)
+SELECT unnest(list_filter(['l_quantity', CASE WHEN e THEN 'l_extendedprice' END, CASE WHEN t THEN 'twice' END, CASE WHEN qx <= 0.8 AND (NOT e OR ex <= 0.8) AND (NOT t OR tx <= 0.8) THEN 'l_tax' END], lambda x: x IS NOT NULL)) AS feature FROM t""")
+def select_uncorrelated(spark, sf):
+    """Of columns that correlate beyond 0.8 the first stays."""
+    i = _t(spark, sf, "lineitem").withColumn("twice", 2 * F.col("l_quantity") + F.col("l_tax")).withColumn("y", F.col("l_returnflag"))
+    kept = select.FeatureSelector("correlation", threshold=0.8).fit(i, ["l_quantity", "l_extendedprice", "twice", "l_tax"], "y").selected
+    return spark.createDataFrame([(c,) for c in kept], "feature string")
