@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import exact_quantiles, numeric_columns, quoted
 from ..model import KEYS
-from ..session import settled
+from ..session import broadcast_if_small, settled
 from .additive import AdditiveBoost
 from .discriminant import Discriminant
 from .estimators import AdaBoost, Nearest
@@ -152,10 +152,14 @@ def stratified_split(df: DataFrame, label: str, test_share: float = 0.2, seed: i
     rows = df.withColumns({"_h": own, "_cell": F.pmod(own, F.lit(64))})
     per = rows.groupBy(label, "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(label).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(quoted(label).alias("_t"), F.col("_cell").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"), F.sum("_n").over(Window.partitionBy(label)).alias("_all"))
-    ranked = rows.join(offsets, quoted(label).eqNullSafe(F.col("_t")) & (F.col("_cell") == F.col("_c"))).withColumn("_r", F.row_number().over(Window.partitionBy(label, "_cell").orderBy("_h")) + F.col("_o"))
-    test = F.col("_r") <= F.round(F.col("_all") * test_share)
-    return ranked.filter(~test).select(*df.columns), ranked.filter(test).select(*df.columns)
+    offsets = per.select(quoted(label).alias("_t"), F.col("_cell").alias("_c"), "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"), F.round(F.sum("_n").over(Window.partitionBy(label)) * test_share).alias("_wanted"))
+    met = rows.join(broadcast_if_small(settled(offsets, "split-cells")), quoted(label).eqNullSafe(F.col("_t")) & (F.col("_cell") == F.col("_c")))
+    # Cells lie on one side, but for the one of each class in which the test part ends: only its rows are ranked.
+    inside, outside = F.col("_o") + F.col("_n") <= F.col("_wanted"), F.col("_o") >= F.col("_wanted")
+    ranked = met.filter(~inside & ~outside).withColumn("_r", F.row_number().over(Window.partitionBy(label, "_cell").orderBy("_h")) + F.col("_o"))
+    ends = settled(ranked.select(*map(quoted, df.columns), (F.col("_r") <= F.col("_wanted")).alias("_test")), "split-ends")
+    side = lambda whole, test: met.filter(whole).select(*map(quoted, df.columns)).union(ends.filter(test).drop("_test"))
+    return side(outside, ~F.col("_test")), side(inside, F.col("_test"))
 
 
 def stratified_sample(df: DataFrame, by: str, size: int, key: str | list[str], seed: int = 42) -> DataFrame:
