@@ -125,13 +125,16 @@ def metrics_from_counts(counts: dict[tuple, int]) -> dict[str, float]:
 
 
 def evaluate(scored: DataFrame, label: str = "label", classes: int = 2) -> dict[str, float]:
-    counts = {(r.label, r.prediction): r.n for r in confusion(scored, label).collect()}
+    """Rows are scored once: what is asked of them is asked of the counts of equal ones."""
+    own = ([1] if classes == 2 else list(range(classes))) if "probability" in scored.columns else []
+    shares = [vector_to_array("probability")[k].alias(f"s{k}") for k in own]
+    met = scored.select(quoted(label).alias("label"), "prediction", *shares)
+    cells = settled(met.groupBy("label", "prediction", *[f"s{k}" for k in own]).agg(F.count("*").alias("n")), "scores")
+    counts = {(r.label, r.prediction): r.n for r in cells.groupBy("label", "prediction").agg(F.sum("n").alias("n")).collect()}
     out = metrics_from_counts(counts)
     out["AUC"] = math.nan
-    if "probability" in scored.columns:
-        prob = scored.select(quoted(label).alias("y"), vector_to_array("probability").alias("p"))
-        own = [1] if classes == 2 else range(classes)
-        out["AUC"] = float(np.mean([rank_auc(prob.select(F.col("p")[k].alias("s"), (F.col("y") == k).cast("int").alias("g")), "s", "g") for k in own]))
+    if own:
+        out["AUC"] = float(np.mean([rank_auc(cells.select(F.col(f"s{k}").alias("s"), (F.col("label") == k).cast("int").alias("g"), "n"), "s", "g", "n") for k in own]))
     return out
 
 
@@ -193,6 +196,13 @@ class Experiment:
     seed: int = 42
     folds: int = 5
     flags: dict = field(default_factory=dict)
+    folded: dict[int, DataFrame] = field(default_factory=dict)
+
+    def in_folds(self, k: int) -> DataFrame:
+        """The training rows with their fold, written once for all models."""
+        if k not in self.folded:
+            self.folded[k] = settled(folded(self.train.select("features", "label"), "label", k, self.seed), "folds")
+        return self.folded[k]
 
 
 class Classifier:
@@ -232,7 +242,7 @@ class Classifier:
 
     def cross_validate(self, name, k: int | None = None, deadline: float = math.inf, **params) -> dict[str, float]:
         k = k or self.exp.folds
-        rows = folded(self.exp.train.select("features", "label"), "label", k, self.exp.seed)
+        rows = self.exp.in_folds(k)
         out = []
         for fold in range(k):
             if time.time() > deadline:
@@ -312,7 +322,7 @@ class Classifier:
 
     def out_of_fold(self, names: list[str]) -> DataFrame:
         """Training rows with every model's out-of-fold class probabilities as ``meta``."""
-        rows = folded(self.exp.train.select("features", "label"), "label", self.exp.folds, self.exp.seed)
+        rows = self.exp.in_folds(self.exp.folds)
         parts = []
         for fold in range(self.exp.folds):
             own = rows.filter(F.col("_fold") == fold)

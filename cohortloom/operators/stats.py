@@ -618,9 +618,11 @@ def durbin_watson(df: DataFrame, order_by: str, residual: str = "residual") -> f
     return steps / total if total else math.nan
 
 
-def rank_auc(df: DataFrame, score: str, label: str) -> float:
-    rows = df.select(quoted(score).alias("v"), quoted(label).alias("g"))
-    r = rows.groupBy("v", "g").agg(F.count("*").alias("n")).join(average_ranks(rows, "v"), "v")
+def rank_auc(df: DataFrame, score: str, label: str, weight: str | None = None) -> float:
+    """weight: a column of counts, where a row stands for several. The rows are read once; ranks come from their counts."""
+    rows = df.select(quoted(score).alias("v"), quoted(label).alias("g"), (quoted(weight) if weight else F.lit(1)).alias("w"))
+    cells = settled(rows.groupBy("v", "g").agg(F.sum("w").alias("n")), "auc")
+    r = cells.join(average_ranks(cells, "v", weight="n"), "v")
     x = r.agg(F.sum(F.when(F.col("g") == 1, F.col("n") * F.col("rank"))).alias("r"), F.sum(F.when(F.col("g") == 1, F.col("n"))).alias("p"), F.sum("n").alias("n")).first()
     p, q = x.p or 0, x.n - (x.p or 0)
     return (x.r - p * (p + 1) / 2) / (p * q) if p and q else math.nan

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cohortloom.operators import ml
+from cohortloom.operators import ml, stats
 
 
 def _rows(spark, n=3000):
@@ -23,3 +23,19 @@ def test_split_by_rank_in_cells(spark, share):
     assert sorted(map(str, train.union(test).collect())) == sorted(map(str, df.collect()))
     plan = test._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan
+
+
+def test_folds_are_made_once(spark, monkeypatch):
+    made = []
+    plain = ml.folded
+    monkeypatch.setattr(ml, "folded", lambda *a, **k: made.append(1) or plain(*a, **k))
+    c = ml.Classifier()
+    c.setup_experiment(_rows(spark), "y", folds=2)
+    c.compare_models(include=["nb", "dt"])
+    assert len(c.leaderboard) == 2 and len(made) == 1
+
+
+def test_auc_of_counted_rows(spark):
+    df = spark.createDataFrame([(float(k % 7), int(k % 3 == 0)) for k in range(90)], "s double, g int")
+    counted = df.groupBy("s", "g").agg(F.count("*").alias("n"))
+    assert stats.rank_auc(counted, "s", "g", "n") == pytest.approx(stats.rank_auc(df, "s", "g"), abs=0)
