@@ -47,7 +47,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark remove a query's shuffle files when the query ends, not when the driver collects garbage."""
     for key in ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled"):
-        if spark.conf.get(key, None) is not None:
+        if spark.conf.isModifiable(key):  # get with a default gives that default for any key that is not set
             spark.conf.set(key, "true")
 
 
