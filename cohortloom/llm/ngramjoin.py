@@ -8,11 +8,12 @@ the three. Linked sets therefore share a signature (for k of 3 or less one first
 Signatures without features say nothing: two first-level partitions must both be empty there, and these pairs of empty
 parts are signatures as well, so that no link is lost.
 
-Signatures are sorted; groups of one vanish. Members of groups of up to SMALL sets are joined with their sizes and 512-bit
-parity sketches, which differ in no more bits than the sets do in features; such a group proposes the pairs that these let
-link, and longer sketches of large sets are compared before texts move. Larger groups propose each member with the group's
-least one; after the links found so far are contracted to components, only members of
-such groups that lie in different components remain, and of these only pairs whose distances to the group's
+Signatures are sorted; groups of one vanish, and small groups (up to SMALL sets) of the same members are one. Their members
+are joined with their sizes and 512-bit parity sketches, which differ in no more bits than the sets do in features; a member
+goes out with the least one of its group that these let it link with, and longer sketches of large sets are compared before
+texts are. Larger groups propose each member with the group's least one. After the links found so far are contracted to
+components, small groups propose the pairs that lie in different ones and may link. Of large groups only
+members that lie in different components remain, and of these only pairs whose distances to the group's
 least member differ by no more than a link can (Jaccard distance is a metric) and whose sketches are alike. All
 proposals that remain are verified exactly.
 
@@ -214,7 +215,9 @@ def _shared(batches):
         own, first = np.repeat(length, length), np.repeat(key[start], length)
         at = np.flatnonzero((own > 1) & (own <= SMALL))
         if len(at):
-            yield emit(0, sig[at], key[at])
+            # Named by its members: the many groups that the same sets share become one.
+            name = signed(mix(np.add.reduceat(mix(key.view(np.uint64)), start)))
+            yield emit(0, np.repeat(name, length)[at], key[at])
         at = np.flatnonzero((own > SMALL) & (first != key))
         if len(at):
             yield emit(1, sig[at], key[at], first[at])
@@ -250,44 +253,86 @@ def _shared(batches):
         yield from groups(*rest)
 
 
-def _proposals(batches, num: int = NUM, den: int = DEN):
-    """From rows of small groups, sorted by (sig, key), with sizes and sketches: pairs that may link, the greater key first."""
-
-    def pairs(sig, key, size, own):
-        """By offset within the group: no loop over groups."""
-        for step in itertools.count(1):
-            at = np.flatnonzero(sig[:-step] == sig[step:]) if len(sig) > step else []
-            if not len(at):
-                return
-            at = at[_fits(size[at], size[at + step], num, den)]
-            for part in np.array_split(at, len(at) // 50_000 + 1):
-                bits = np.bitwise_count(own[part] ^ own[part + step]).sum(axis=1, dtype=np.int64)
-                part = part[bits * (den + num) <= (size[part] + size[part + step]) * (den - num)]
-                if len(part):
-                    yield np.maximum(key[part], key[part + step]), np.minimum(key[part], key[part + step])
-
-    def out(found):
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        yield from pa.table({"a": a, "b": b}).group_by(["a", "b"]).aggregate([]).combine_chunks().to_batches()
-
-    rest, found = None, []
+def _whole_groups(batches, columns):
+    """Arrays of these columns and of the sketches, from rows sorted by (sig, key); no group is in two of them."""
+    rest = None
     for batch in batches:
-        sig, key, size = (batch.column(c).to_numpy() for c in ("sig", "key", "size"))
-        if not len(sig):
+        own = [batch.column(c).to_numpy() for c in columns]
+        if not len(own[0]):
             continue
-        own = np.stack([batch.column(q).to_numpy() for q in _Q], axis=1).view(np.uint64)
+        own.append(np.stack([batch.column(q).to_numpy() for q in _Q], axis=1).view(np.uint64))
         if rest is not None:
-            sig, key, size, own = (np.concatenate(x) for x in zip(rest, (sig, key, size, own), strict=True))
-        last = int(np.searchsorted(sig, sig[-1], "left"))
-        rest = (sig[last:], key[last:], size[last:], own[last:])
-        found += pairs(sig[:last], key[:last], size[:last], own[:last])
-        if sum(len(x[0]) for x in found) > 20_000:
-            yield from out(found)
-            found = []
+            own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
+        last = int(np.searchsorted(own[0], own[0][-1], "left"))
+        rest = [x[last:] for x in own]
+        if last:
+            yield [x[:last] for x in own]
     if rest is not None:
-        found += pairs(*rest)
-    if found:
-        yield from out(found)
+        yield rest
+
+
+def _alike_at(sig: np.ndarray, size: np.ndarray, own: np.ndarray, num: int, den: int):
+    """(step, places): of rows whose group holds another ``step`` places on, those that sizes and sketches let link with it.
+    By offset within the group: no loop over groups."""
+    for step in itertools.count(1):
+        at = np.flatnonzero(sig[:-step] == sig[step:]) if len(sig) > step else []
+        if not len(at):
+            return
+        at = at[_fits(size[at], size[at + step], num, den)]
+        for part in np.array_split(at, len(at) // 50_000 + 1):
+            bits = np.bitwise_count(own[part] ^ own[part + step]).sum(axis=1, dtype=np.int64)
+            part = part[bits * (den + num) <= (size[part] + size[part + step]) * (den - num)]
+            if len(part):
+                yield step, part
+
+
+def _once(found):
+    """Batches of (a, b), rows that come again soon left out."""
+    held, count = [], 0
+
+    def out():
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield from pa.table({"a": a, "b": b}).group_by(["a", "b"]).aggregate([]).combine_chunks().to_batches()
+
+    for pair in found:
+        held.append(pair)
+        count += len(pair[0])
+        if count > 200_000:
+            yield from out()
+            held, count = [], 0
+    if held:
+        yield from out()
+
+
+def _firsts(batches, num: int = NUM, den: int = DEN):
+    """Of small groups, sorted by (sig, key), each member that may link with another: with the least that it may link with,
+    or with itself if that is greater. A row a member, not a pair."""
+
+    def found():
+        for sig, key, size, own in _whole_groups(batches, ("sig", "key", "size")):
+            least = np.full(len(sig), -1)
+            for step, at in _alike_at(sig, size, own, num, den):
+                lone = at[least[at] < 0]
+                least[lone] = lone
+                least[at + step] = at  # greater steps come later and reach lesser keys
+            at = np.flatnonzero(least >= 0)
+            if len(at):
+                yield key[at], key[least[at]]
+
+    yield from _once(found())
+
+
+def _proposals(batches, num: int = NUM, den: int = DEN):
+    """Of small groups, sorted by (sig, key), the pairs that may link and lie in different components, the greater key first."""
+
+    def found():
+        for sig, key, size, part, own in _whole_groups(batches, ("sig", "key", "size", "part")):
+            for step, at in _alike_at(sig, size, own, num, den):
+                at = at[part[at] != part[at + step]]
+                if len(at):
+                    yield key[at + step], key[at]
+
+    yield from _once(found())
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -329,32 +374,30 @@ def classes(documents: DataFrame, width: int = WIDTH, num: int = NUM, den: int =
     keys = counted.groupBy("key").agg(F.min("id").alias("carrier"), F.min("n_shingles").alias("size"), *[F.min(q).alias(q) for q in _Q], F.first("long").alias("long"))
     side = lambda c: keys.filter("long is not null").select(F.col("key").alias(c), F.col("size").alias(f"{c}_size"), F.col("long").alias(f"{c}_long"))
 
-    # Pairs of small groups pass sketches where they arise, before they or texts move. Pairs of large groups are kept:
-    # their distances serve the last step.
+    # Members of small groups pass sketches where they meet, before they or texts move, and go out with one other, not in
+    # pairs. Pairs of large groups are kept: their distances serve the last step.
     stars = found.filter("kind = 1").select("a", "b").distinct()
-    rows = found.filter("kind = 0").select("sig", F.col("a").alias("key")).join(keys.select("key", "size", *_Q), "key")
-    pairs = rows.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(lambda batches: _proposals(batches, num, den), "a bigint, b bigint").distinct()
-    pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(long_alike("a_", "b_", num, den)).select("a", "b")
-    pairs = cut(pairs, "pairs")
+    groups = cut(found.filter("kind = 0").select("sig", F.col("a").alias("key")).distinct(), "groups")
+    met = lambda rows, step: rows.join(keys.select("key", "size", *_Q), "key").repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(lambda batches: step(batches, num, den), "a bigint, b bigint").distinct()
+    longer = lambda pairs: pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(long_alike("a_", "b_", num, den)).select("a", "b")
+    firsts = cut(met(groups, _firsts), "firsts")
 
     # The texts that take part, one a key, carried by its least id: ids spread evenly where keys may not.
-    members = pairs.union(stars).select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    members = firsts.union(stars).select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = members.join(keys.select("key", "carrier"), "key").select(F.col("key").alias("w_key"), "carrier")
     texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("carrier")) & (F.col("key") == F.col("w_key"))).select("key", "data").dropDuplicates(["key"])
     texts = cut(texts, "texts")
 
     # First each text with the least it is proposed with, then only what those links leave apart.
-    first = pairs.groupBy("a").agg(F.min("b").alias("b")).union(stars).distinct()
+    first = longer(firsts.filter("a <> b")).groupBy("a").agg(F.min("b").alias("b")).union(stars).distinct()
     checked = cut(verify(first, texts, width), "checked")
     links = checked.filter(linked).select("a", "b")
     part = components(links)
 
-    def apart(rows: DataFrame, part: DataFrame) -> DataFrame:
-        p = lambda c: part.select(F.col("id").alias(c), F.col("component").alias(f"part_{c}"))
-        tagged = rows.join(p("a"), "a", "left").join(p("b"), "b", "left")
-        return tagged.filter(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
-
-    left = apart(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti"), part).select("a", "b")
+    tagged = groups.join(part.select(F.col("id").alias("key"), "component"), "key", "left").select("sig", "key", F.coalesce("component", "key").alias("part"))
+    tagged = cut(tagged, "tagged")
+    apart = tagged.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("sig")
+    left = longer(met(tagged.join(apart, "sig"), _proposals)).join(checked.select("a", "b"), ["a", "b"], "left_anti")
     links = cut(links.union(verify(left, texts, width).filter(linked).select("a", "b")), "links")
     part = components(links)
 

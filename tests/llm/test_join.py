@@ -129,3 +129,19 @@ def test_long_sketches_keep_links(spark):
             own[r.randrange(len(own))] = "zz"
         texts.append(" ".join(own))
     check(spark, frame(spark, texts), texts, range(len(texts)))
+
+
+def test_small_groups_send_a_row_a_member():
+    """Twenty near copies in thirty groups of the same members: one group, and a row a member instead of 190 pairs."""
+    import pyarrow as pa
+
+    sigs, keys = np.repeat(np.arange(30), 20), np.tile(np.arange(20), 30)
+    found = pa.Table.from_batches(ngramjoin._shared([pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(keys)], ["sig", "key"])]))
+    once = found.group_by(["sig", "a"]).aggregate([])
+    assert once.num_rows == 20
+    columns = {"sig": once["sig"].combine_chunks(), "key": pa.array(np.arange(20)), "size": pa.array([100] * 20), "part": pa.array([0] * 19 + [7])} | {q: pa.array([5] * 20) for q in ngramjoin._Q}
+    batch = pa.RecordBatch.from_pydict(columns)
+    firsts = pa.Table.from_batches(ngramjoin._firsts([batch])).to_pydict()
+    assert sorted(zip(firsts["a"], firsts["b"], strict=True)) == [(k, 0) for k in range(20)]
+    left = pa.Table.from_batches(ngramjoin._proposals([batch])).to_pydict()
+    assert sorted(zip(left["a"], left["b"], strict=True)) == [(19, k) for k in range(19)]
