@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,20 +39,41 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there and survives a lost executor."""
     spark = df.sparkSession
-    free_shuffles(spark)
     small_batches(spark)
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def each_row(df: DataFrame, name: str) -> Iterator[Row]:
+    """The rows of ``df`` in no fixed order, a part at a time, from a table written down. To Spark a query that is iterated over ends when the
+    iterator stands: where shuffle files go with the query, tasks would look for files that are gone. A table's scan has none."""
+    return cut(df, name).toLocalIterator()
+
+
+_CLEAN_UP = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled")
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark remove a query's shuffle files when the query ends, not when the driver collects garbage."""
-    for key in ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.shuffleDependency.fileCleanup.enabled"):
+    for key in _CLEAN_UP:
         if spark.conf.isModifiable(key):  # get with a default gives that default for any key that is not set
             spark.conf.set(key, "true")
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """``free_shuffles`` for what is written inside; then the session's own settings hold again, as its user may iterate over queries."""
+    before = {key: spark.conf.get(key, None) for key in _CLEAN_UP if spark.conf.isModifiable(key)}
+    free_shuffles(spark)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 # Span hashes: a polynomial prefix hash modulo 2^64 gives the hash of any byte span from two array reads.
 
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, each_row
 
 #: Separators become spaces and A-Z lower case; every byte of a non-ASCII character belongs to a word.
 _WORDS = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
@@ -65,7 +65,7 @@ def document_frequency(documents: DataFrame, vocabulary, text_col: str = "text")
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     counted = documents.select(F.col(text_col).cast("binary").alias("data")).mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r.word): r.n for r in counted.toLocalIterator()}
+    return {bytes(r.word): r.n for r in each_row(counted, "frequency")}
 
 
 def index_block(windows: list[tuple[str, bytes]], frequency: dict[bytes, int]) -> dict:

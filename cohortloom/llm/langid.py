@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import each_row, small_batches
 from .quality import held_out
 
 UNKNOWN = "und"
@@ -79,7 +79,7 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id", folds, fold))
     rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = [(r["n"], r.different, r.lang) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("different")).toLocalIterator()]
+    counts = [(r["n"], r.different, r.lang) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("different")).collect()]
     counts.sort(key=lambda x: (-x[0], x[2]))
     # Of each language's different texts those with the least hashes: a share that holds enough of them comes to the driver,
     # as hashes, and the ranks decide. What a dictionary can hold of a text is what it may give.
@@ -87,13 +87,13 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     below = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(share * (2.0**63 - 1024)))) for lang, share in reach.items()], F.lit(-1)) if counts else F.lit(-1)
     least = F.shiftrightunsigned("h", 1)
     drawn: dict[str, list] = {}
-    for r in rows.filter(least <= below).select("lang", "h").distinct().toLocalIterator():
+    for r in rows.filter(least <= below).select("lang", "h").distinct().collect():
         drawn.setdefault(r.lang, []).append(r.h)
     chosen = [(lang, h) for lang, hs in drawn.items() for h in sorted(hs, key=lambda h: (h & (1 << 64) - 1) >> 1)[:per_language]]
     texts: dict[str, list] = {}
     if chosen:
         held = rows.sparkSession.createDataFrame(chosen, "lang string, h bigint")  # per_language rows a language
-        for r in rows.join(F.broadcast(held), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.left("text", F.lit(dictionary_bytes))).alias("text")).toLocalIterator():
+        for r in each_row(rows.join(F.broadcast(held), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.left("text", F.lit(dictionary_bytes))).alias("text")), "drawn"):
             texts.setdefault(r.lang, []).append((r.h, r.text))
     dictionaries = {lang: build_dictionary([t for _, t in sorted(texts[lang])], dictionary_bytes) for _, _, lang in counts if lang in texts}
     return {k: v for k, v in dictionaries.items() if v}

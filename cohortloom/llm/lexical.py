@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import cut, free_shuffles, small_batches
+from .common import cut, small_batches
 
 BLOCK_PAIRS = 400_000
 _LETTERS = bytes(b for b in range(256) if b >= 0x80 or chr(b).isalnum())
@@ -190,7 +190,6 @@ def rank(documents: DataFrame, items: DataFrame, k: int = 50, id_col: str = "doc
     """(item_id, rank, doc_id, score): the ``k`` best documents of each item, those with a score above 0."""
     spark = documents.sparkSession
     small_batches(spark)
-    free_shuffles(spark)
     own = cut(_item_terms(items, item_col, item_text_col), "item-terms")
     kind = own.schema["item_id"].dataType
     n_blocks = -(-(own.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0]) // block_pairs)

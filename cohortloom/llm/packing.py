@@ -158,13 +158,13 @@ def pack(documents: DataFrame, tokenizer_path: str | None = None, sequence: int
     """Pieces with sequence_id, offset and the padded length of their sequence."""
     pieces = cut(token_pieces(documents, tokenizer_path, sequence, end_id, id_col, text_col), "pieces")
     # One number a length, and a row for every BUCKET_ROWS pieces: all that is collected.
-    histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().toLocalIterator()}
+    histogram = {r.length: r["count"] for r in pieces.groupBy("length").count().collect()}
     n_buckets = [-(-histogram.get(k, 0) // bucket_rows) for k in range(sequence + 1)]
     parts = F.element_at(F.array(*[F.lit(max(1, n)) for n in n_buckets]), (F.col("length") + 1).cast("int"))
     keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), parts).cast("int"))
     first = np.concatenate(([0], np.cumsum(n_buckets)))
     own = np.zeros(first[-1] + 1, np.int64)
-    for r in keyed.groupBy("length", "bucket").count().toLocalIterator():
+    for r in keyed.groupBy("length", "bucket").count().collect():
         own[first[r.length] + r.bucket] = r["count"]
     # Ranks of a length begin at 0 in its first bucket.
     before = np.concatenate(([0], np.cumsum(own)[:-1]))

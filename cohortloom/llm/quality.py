@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hash, prefix_hash, span_hash
+from .common import each_row, gram_hash, prefix_hash, span_hash
 
 BUCKET_BITS = 18
 GRAMS = (3, 4)
@@ -89,8 +89,8 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     own = own.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train)
     texts = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     rows = texts.filter(F.octet_length("text") <= max_bytes).join(F.broadcast(own), "id")  # own: max_train rows at most
-    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y")).orderBy("id").toLocalIterator()
-    data = [(bytes(r.text), int(r.y)) for r in rows]
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    data = [(bytes(r.text), int(r.y)) for r in sorted(each_row(rows, "training-rows"), key=lambda r: r.id)]
     return train([t for t, _ in data], [y for _, y in data])
 
 

@@ -791,13 +791,13 @@ def kaplan_meier(df: DataFrame, duration: str, event: str, group: str | None = N
 
 def km_grid(df: DataFrame, duration: str, event: str, group: str | None = None, points: int = 100) -> dict:
     curves: dict = {}
-    for r in kaplan_meier(df, duration, event, group).filter("d > 0").orderBy("group", "t").toLocalIterator():
+    for r in settled(kaplan_meier(df, duration, event, group).filter("d > 0").select("group", "t", "survival"), "curves").toLocalIterator():  # a table: an iterator may outlive its query's shuffle files
         curves.setdefault(r.group, []).append((r.t, r.survival))
     top = df.agg(F.max(quoted(duration))).first()[0] or 0.0
     grid = np.linspace(0, float(top), points)
     out = {}
-    for g, steps in curves.items():
-        t, s = np.array(steps).T
+    for g, steps in sorted(curves.items()):
+        t, s = np.array(sorted(steps)).T
         out[g] = {"time": grid.tolist(), "survival": np.concatenate(([1.0], s))[np.searchsorted(t, grid, "right")].tolist()}
     return out
 
