@@ -16,7 +16,9 @@ training part; repeated rows stay; empty tables give an empty output.
 from __future__ import annotations
 
 import functools
+import string
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,26 +27,33 @@ from cohortloom.session import broadcast_if_small, settled
 
 from .common import LOG, main
 
-#: Words are runs of characters other than ASCII white space.
-_WORD, _SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 FEATURES = ("n_chars", "n_words", "n_lines", "mean_word", "distinct_share", "digit_share", "upper_share", "punct_share")
+#: Bytes of a kind; in UTF-8 they are never part of another character. Words are runs of characters other than white space.
+_KINDS = {"_white": b"\t\n\x0b\x0c\r ", "_digit": string.digits.encode(), "_upper": string.ascii_uppercase.encode(), "_punct": string.punctuation.encode()}
+_COUNTS = ("n_words", "n_lines", "_distinct", *_KINDS)
+
+
+def _count(batches):
+    """COUNTS of whole texts in place of their bytes, the last column."""
+    for batch in batches:
+        found = []
+        for data in batch.column("_bytes").to_pylist():
+            words = data.split() if data is not None else []  # by ASCII white space
+            found.append([None] * len(_COUNTS) if data is None else [len(words), data.count(b"\n") + 1, len(set(words)), *(len(data) - len(data.translate(None, kind)) for kind in _KINDS.values())])
+        counts = [pa.array([row[k] for row in found], pa.int64()) for k in range(len(_COUNTS))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts], [*batch.schema.names[:-1], *_COUNTS])
 
 
 def measure(documents: DataFrame) -> DataFrame:
-    """``documents`` with a column for each of FEATURES, from whole texts."""
-    t = F.col("text")
-    of_kind = lambda kind: F.length(F.regexp_replace(t, f"[^{kind}]+", ""))
-    words = documents.withColumn("_words", F.regexp_extract_all(t, F.lit(_WORD), F.lit(0)))
-    counts = words.withColumns({"n_chars": F.length(t), "n_words": F.size("_words"), "n_lines": F.when(t.isNotNull(), F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1)})
-    counts = counts.withColumn("n_words", F.when(t.isNotNull(), F.col("n_words")))
+    """``documents`` with a column for each of FEATURES, from whole texts, in place of the texts. Each text is gone through once, in Arrow batches."""
+    rows = documents.withColumns({"n_chars": F.length("text").cast("bigint"), "_bytes": F.col("text").cast("binary")}).drop("text")
+    kinds = ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes[:-1], *((c, "bigint") for c in _COUNTS)])
     shares = {
-        "mean_word": safe_divide(F.length(F.regexp_replace(t, _SPACE, "")), F.col("n_words")),
-        "distinct_share": safe_divide(F.size(F.array_distinct("_words")), F.col("n_words")),
-        "digit_share": safe_divide(of_kind("0-9"), F.col("n_chars")),
-        "upper_share": safe_divide(of_kind("A-Z"), F.col("n_chars")),
-        "punct_share": safe_divide(of_kind(r"!-/:-@\[-`{-~"), F.col("n_chars")),
+        "mean_word": safe_divide(F.col("n_chars") - F.col("_white"), F.col("n_words")),
+        "distinct_share": safe_divide(F.col("_distinct"), F.col("n_words")),
+        **{f"{kind}_share": safe_divide(F.col(f"_{kind}"), F.col("n_chars")) for kind in ("digit", "upper", "punct")},
     }
-    return counts.withColumns(shares).drop("_words").withColumns({f: F.col(f).cast("double") for f in FEATURES})
+    return rows.mapInArrow(_count, kinds).withColumns(shares).drop("_distinct", *_KINDS).withColumns({f: F.col(f).cast("double") for f in FEATURES})
 
 
 def language_scales(measured: DataFrame) -> DataFrame:
@@ -74,7 +83,7 @@ def run(spark: SparkSession, documents: str, labels: str, output: str, fence: fl
     """Write the feature table of ``documents`` to ``output`` and return it as read back."""
     rows = spark.read.parquet(documents).select("doc_id", "text", F.coalesce(F.nullif(F.trim("lang"), F.lit("")), F.lit("und")).alias("lang"), "source")
     # Texts are measured once; what follows reads the numbers.
-    measured = settled(measure(rows).drop("text"), "text-features")
+    measured = settled(measure(rows), "text-features")
     LOG.info("read %d documents from %s, %d without text", *measured.agg(F.count("*"), F.lit(documents), F.count_if(F.col("n_chars").isNull())).first())
     scales = broadcast_if_small(settled(language_scales(measured), "text-scales"))
     joined = with_cohort(measured, spark.read.parquet(labels).select("doc_id", "quality")).join(scales, "lang", "left")

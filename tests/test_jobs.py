@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 import shutil
 import subprocess
 import sys
@@ -57,6 +58,25 @@ def test_text_features_on_odd_rows(spark, tmp_path):
     assert run().count() == 0
 
 
+def test_text_features_go_through_a_text_once(spark):
+    """Counts of all kinds come from one pass, also of characters outside ASCII; no pattern is matched against texts."""
+    texts = ["Ab 12.\nx", "", " \t\r\n", "a\x0bb\x0cc\x1cd\x85e\xa0f\u2003g", "É٣\U0001f600 É٣\U0001f600 !/:@[`{~ x", "\x00 a a A\n\n", None]
+    df = text_features.measure(spark.createDataFrame([(k, t, "kept") for k, t in enumerate(texts)], "doc_id long, text string, _digits string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "regexp" not in plan.lower()
+    assert df.columns == ["doc_id", "_digits", "n_chars", *[f for f in text_features.FEATURES if f != "n_chars"]]
+    ratio = lambda a, b: a / b if b else None
+    for r in df.collect():
+        t = texts[r.doc_id]
+        if t is None:
+            want = [None] * len(text_features.FEATURES)
+        else:
+            words = re.findall(r"[^\x20\x09-\x0D]+", t)
+            kinds = [ratio(len(re.findall(k, t)), len(t)) for k in ("[0-9]", "[A-Z]", r"[!-/:-@\[-`{-~]")]
+            want = [len(t), len(words), t.count("\n") + 1, ratio(sum(map(len, words)), len(words)), ratio(len(set(words)), len(words)), *kinds]
+        assert [r[f] for f in text_features.FEATURES] == want and r._digits == "kept"
+
+
 def write_events(spark, path, events):
     spark.createDataFrame(events, EVENTS).coalesce(1).write.mode("append").parquet(path)
 
