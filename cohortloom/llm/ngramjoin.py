@@ -1,12 +1,21 @@
-"""N-gram Jaccard join by PartEnum signatures.
+"""N-gram Jaccard join by rare shared features, and by PartEnum signatures where those are frequent.
 
-Documents are sets of distinct word shingles; two link when their Jaccard similarity reaches the threshold. Sets are
+Documents are sets of distinct word shingles; two link when their Jaccard similarity reaches the threshold, so a set that
+links shares at least that part of its features with one other. A first look takes features from a fixed share of the hashed
+domain, twice what a link may lack: texts of which too many there are theirs alone can link with nothing and take no
+further part, for most texts at less than half the cost of all features.
+
+Of the other texts, features are counted, and each set's are put in order, those of the fewest sets first. Linked sets
+share one among the first (those a link may lack and one more), so these are signatures, apart by bands of sizes. Unrelated
+texts, however long and however many lines they share, meet only by rare features.
+
+Where a set's first features include one of more than SMALL sets, PartEnum takes the place of these. Sets are
 grouped into bands of about equal size. For a pair whose smaller set lies in a band, similarity bounds the Hamming
 distance by some k. PartEnum divides the feature domain by hash into first-level partitions, enough that at least two
 of them hold at most one difference each, and each into three second-level parts; a signature is the content of two of
 the three. Linked sets therefore share a signature (for k of 3 or less one first-level partition with k + 2 parts does).
 Signatures without features say nothing: two first-level partitions must both be empty there, and these pairs of empty
-parts are signatures as well, so that no link is lost.
+parts are signatures as well, so that no link is lost. Features of one set alone are left out, which adds no difference.
 
 Signatures are sorted; groups of one vanish, and small groups (up to SMALL sets) of the same members are one. Their members
 are joined with their sizes and 512-bit parity sketches, which differ in no more bits than the sets do in features; a member
@@ -32,6 +41,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +49,7 @@ from .common import components, cut, hot_keys, mix, salted_join, signed, word_sh
 
 WIDTH = 4
 NUM, DEN = 85, 100  # similarity threshold
-SMALL = 24
+SMALL = 256
 _RATIO = 1.4
 _LIMIT = 1 << 40
 _SEEN = 200_000
@@ -73,11 +83,11 @@ def _plan(k: int) -> tuple[int, int]:
     return (1, k + 2) if k <= 3 else (k // 2 + 2, 3)
 
 
-def signatures(features: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """Distinct signatures of a set of feature hashes."""
-    size, out = len(features), []
-    whole = np.uint64(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    for band, k in _jobs(size, num, den):
+def signatures(features: np.ndarray, num: int = NUM, den: int = DEN, size: int | None = None) -> np.ndarray:
+    """Distinct signatures of a set of feature hashes. Features that no other set has may be left out; size counts them."""
+    out = []
+    whole = np.uint64(len(features) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for band, k in _jobs(size or len(features), num, den):
         salt = np.uint64((band + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1)
         if k == 0:
             out.append(mix(np.array([np.bitwise_xor.reduce(mix(features)) ^ whole ^ salt])))
@@ -164,17 +174,25 @@ def alike(x: str, y: str, num: int, den: int) -> Column:
     return (F.least(a, b) * den >= F.greatest(a, b) * num) & (sum(bits[1:], bits[0]) * (den + num) <= (a + b) * (den - num))
 
 
-def signature_rows(docs: DataFrame, width: int, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(sig, key); a task skips texts it has lately met."""
+def _needed(size, num: int, den: int):
+    """Features that a set of this size shares at least with one it links with."""
+    return (size * num + den - 1) // den
+
+
+def _looked_at(features: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The features of a fixed share of the domain, twice what a link may lack."""
+    return features[mix(features ^ np.uint64(0x5851F42D4C957F2D)) < np.uint64(min((1 << 64) - 1, (2 * (den - num) << 64) // den))]
+
 
-    def rows(sigs, keys):
-        columns = [signed(np.concatenate(sigs)), np.repeat(np.array(keys, np.int64), [len(x) for x in sigs])]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["sig", "key"])
+def _first_look(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Rows (sig, key, need) of the features looked at. A feature that one text of a batch holds brings its key. One that several
+    hold is known to be shared and goes out once, without a key, so that a frequent one is a row a batch. Each text has a row with
+    the shared features that it still needs, and no feature's. A task skips texts it has lately met."""
 
-    def sign(batches):
+    def look(batches):
         seen: OrderedDict = OrderedDict()
         for batch in batches:
-            sigs, keys, count = [], [], 0
+            sigs, keys, sizes = [], [], []
             for key, data in zip(batch.column("key").to_pylist(), batch.column("data"), strict=True):
                 if key in seen:
                     continue
@@ -183,16 +201,169 @@ def signature_rows(docs: DataFrame, width: int, num: int = NUM, den: int = DEN)
                     seen.popitem(last=False)
                 features = word_shingles(data.as_py() or b"", width)
                 if len(features):
-                    sigs.append(signatures(features, num, den))
+                    sigs.append(_looked_at(features, num, den))
                     keys.append(key)
-                    count += len(sigs[-1])
+                    sizes.append(len(features))
+            if not keys:
+                continue
+            own, size, length = np.array(keys, np.int64), np.array(sizes), np.array([len(x) for x in sigs])
+            sig, at, count = np.unique(np.concatenate(sigs), return_index=True, return_counts=True)
+            text = np.repeat(np.arange(len(own)), length)[at]
+            lone = count == 1
+            alone = np.bincount(text[lone], minlength=len(own))
+            # What is shared in the batch counts at once; what is left to find are features that are alone in it.
+            need = alone - (size - _needed(size, num, den))
+            holder = pa.array(own[text], mask=~lone)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(sig)), holder, pa.nulls(len(sig), pa.int64())], ["sig", "key", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own), pa.array(need)], ["sig", "key", "need"])
+
+    return docs.mapInArrow(look, "sig bigint, key bigint, need bigint")
+
+
+def _shared_counts(batches):
+    """From rows of the first look, sorted by (sig, key), rows (key, need, shared): of texts what they need, and how many of
+    their features other texts hold as well."""
+
+    def counts(sig, key, known):
+        start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        new = known & np.concatenate(([True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1]) | ~known[:-1]))
+        length = np.diff(np.concatenate((start, [len(sig)])))
+        several = (np.add.reduceat(new.astype(np.int64), start) > 1) | (np.add.reduceat((~known).astype(np.int64), start) > 0)
+        found, n = np.unique(key[new & np.repeat(several, length)], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.nulls(len(found), pa.int64()), pa.array(n)], ["key", "need", "shared"])
+
+    rest = None  # the last feature, with a row for each batch of texts at most
+    for batch in batches:
+        lists = batch.column("need").is_valid()
+        texts, batch = batch.filter(lists), batch.filter(pc.invert(lists))
+        if len(texts):
+            yield pa.RecordBatch.from_arrays([texts.column("key"), texts.column("need"), pa.array(np.zeros(len(texts), np.int64))], ["key", "need", "shared"])
+        if not len(batch):
+            continue
+        own = [batch.column("sig").to_numpy(), batch.column("key").fill_null(0).to_numpy(), batch.column("key").is_valid().to_numpy(zero_copy_only=False)]
+        if rest is not None:
+            own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
+        last = int(np.searchsorted(own[0], own[0][-1], "left"))
+        rest = [x[last:] for x in own]
+        if last:
+            yield counts(*[x[:last] for x in own])
+    if rest is not None:
+        yield counts(*rest)
+
+
+def _features(texts: DataFrame, width: int) -> DataFrame:
+    """(sig, key, size) of every feature; texts: key, data, one row a key."""
+
+    def rows(batches):
+        for batch in batches:
+            sigs, keys, count = [], [], 0
+
+            def out(sigs, keys):
+                n = np.array([len(x) for x in sigs])
+                columns = [signed(np.concatenate(sigs)), np.repeat(np.array(keys, np.int64), n), np.repeat(n, n)]
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["sig", "key", "size"])
+
+            for key, data in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if len(features := word_shingles(data, width)):
+                    sigs.append(features)
+                    keys.append(key)
+                    count += len(features)
                 if count > 100_000:  # what a task holds does not grow with the batch
-                    yield rows(sigs, keys)
+                    yield out(sigs, keys)
                     sigs, keys, count = [], [], 0
             if sigs:
-                yield rows(sigs, keys)
+                yield out(sigs, keys)
+
+    return texts.mapInArrow(rows, "sig bigint, key bigint, size bigint")
 
-    return docs.mapInArrow(sign, "sig bigint, key bigint")
+
+_OFTEN = 1_000_000
+
+
+def _frequencies(batches):
+    """From features sorted by sig, those of two sets or more with their number of sets, at most _OFTEN."""
+
+    def emit(sig, key, size, df):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, size, df, sig)], ["key", "size", "df", "sig"])
+
+    rest, often = None, None  # the last feature; one of over _OFTEN sets, of which the first have gone out
+    for batch in batches:
+        own = [batch.column(c).to_numpy() for c in ("sig", "key", "size")]
+        if not len(own[0]):
+            continue
+        if often is not None:
+            n = int(np.searchsorted(own[0], often, "right"))
+            if n:
+                yield emit(*[x[:n] for x in own], np.full(n, _OFTEN))
+            if n == len(own[0]):
+                continue
+            own, often = [x[n:] for x in own], None
+        if rest is not None:
+            own, rest = [np.concatenate(x) for x in zip(rest, own, strict=True)], None
+        sig = own[0]
+        start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        length = np.diff(np.concatenate((start, [len(sig)])))
+        df, last = np.repeat(np.minimum(length, _OFTEN), length), int(start[-1])
+        if length[-1] >= _OFTEN:
+            often, last = sig[-1], len(sig)
+        else:
+            rest = [x[last:] for x in own]
+        at = np.flatnonzero(df[:last] > 1)
+        if len(at):
+            yield emit(*[x[at] for x in own], df[at])
+    if rest is not None and len(rest[0]) > 1:
+        yield emit(*rest, np.full(len(rest[0]), len(rest[0])))
+
+
+def _prefixes(batches, num: int = NUM, den: int = DEN, small: int = SMALL):
+    """Signatures (sig, key) of sets, from their shared features sorted by (key, df, sig): the features of up to ``small`` sets that
+    the prefix holds, and if it holds others as well, those of PartEnum."""
+    low, high, _ = (np.array(x) for x in _bands(num, den))
+
+    def signed_off(key, size, df, sig):
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        length = np.diff(np.concatenate((start, [len(key)])))
+        sig = sig.view(np.uint64)
+        # The features of no other set come first.
+        take = size[start] - _needed(size[start], num, den) + 1 - (size[start] - length)
+        inside = np.arange(len(key)) - np.repeat(start, length) < np.repeat(take, length)
+        at = np.flatnonzero(inside & (df <= small))
+        own = np.searchsorted(low, size[at], "right") - 1
+        below = np.flatnonzero((own > 0) & (size[at] <= high[own - 1] * den // num))
+        band = np.concatenate((own, own[below] - 1)).astype(np.uint64)
+        at = np.concatenate((at, at[below]))
+        sigs, keys = [mix(sig[at] ^ ((band + np.uint64(1)) * np.uint64(0x2545F4914F6CDD1D)))], [key[at]]
+        for k in np.flatnonzero(np.add.reduceat((inside & (df > small)).astype(np.int64), start)):
+            sigs.append(signatures(sig[start[k] : start[k] + length[k]], num, den, int(size[start[k]])))
+            keys.append(np.full(len(sigs[-1]), key[start[k]]))
+        return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sigs))), pa.array(np.concatenate(keys))], ["sig", "key"])
+
+    rest = None
+    for batch in batches:
+        own = [batch.column(c).to_numpy() for c in ("key", "size", "df", "sig")]
+        if not len(own[0]):
+            continue
+        if rest is not None:
+            own = [np.concatenate(x) for x in zip(rest, own, strict=True)]
+        last = int(np.searchsorted(own[0], own[0][-1], "left"))
+        rest = [x[last:] for x in own]
+        if last:
+            yield signed_off(*[x[:last] for x in own])
+    if rest is not None:
+        yield signed_off(*rest)
+
+
+def survivors(docs: DataFrame, width: int, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Keys of the texts that may link: not so many of the features looked at are theirs alone that too few are left."""
+    rows = _first_look(docs, width, num, den).repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_shared_counts, "key bigint, need bigint, shared bigint")
+    return rows.groupBy("key").agg(F.max("need").alias("need"), F.sum("shared").alias("shared")).filter("shared >= need").select("key")
+
+
+def signature_rows(texts: DataFrame, width: int, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(sig, key); texts: key, data, one row a key."""
+    features = _features(texts, width).repartition("sig").sortWithinPartitions("sig").mapInArrow(_frequencies, "key bigint, size bigint, df bigint, sig bigint")
+    small = SMALL  # one value for all workers
+    return features.repartition("key").sortWithinPartitions("key", "df", "sig").mapInArrow(lambda batches: _prefixes(batches, num, den, small), "sig bigint, key bigint")
 
 
 def _fits(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -368,12 +539,17 @@ def classes(documents: DataFrame, width: int = WIDTH, num: int = NUM, den: int =
     linked = f"shared * {den} >= (size_a + size_b - shared) * {num}"
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     docs = documents.select(F.col(id_col).alias("id"), text.alias("data")).withColumn("key", F.xxhash64("data"))
-    found = cut(signature_rows(docs, width, num, den).repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "kind byte, sig bigint, a bigint, b bigint"), "shared")
-
     counted = cut(shingle_counts(docs, width), "counted")
     keys = counted.groupBy("key").agg(F.min("id").alias("carrier"), F.min("n_shingles").alias("size"), *[F.min(q).alias(q) for q in _Q], F.first("long").alias("long"))
     side = lambda c: keys.filter("long is not null").select(F.col("key").alias(c), F.col("size").alias(f"{c}_size"), F.col("long").alias(f"{c}_long"))
 
+    # The texts that take part, one a key, carried by its least id: ids spread evenly where keys may not.
+    live = cut(survivors(docs, width, num, den), "live")
+    wanted = live.join(keys.select("key", "carrier"), "key").select(F.col("key").alias("w_key"), "carrier")
+    texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("carrier")) & (F.col("key") == F.col("w_key"))).select("key", "data").dropDuplicates(["key"])
+    texts = cut(texts, "texts")
+    found = cut(signature_rows(texts, width, num, den).repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "kind byte, sig bigint, a bigint, b bigint"), "shared")
+
     # Members of small groups pass sketches where they meet, before they or texts move, and go out with one other, not in
     # pairs. Pairs of large groups are kept: their distances serve the last step.
     stars = found.filter("kind = 1").select("a", "b").distinct()
@@ -382,12 +558,6 @@ def classes(documents: DataFrame, width: int = WIDTH, num: int = NUM, den: int =
     longer = lambda pairs: pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(long_alike("a_", "b_", num, den)).select("a", "b")
     firsts = cut(met(groups, _firsts), "firsts")
 
-    # The texts that take part, one a key, carried by its least id: ids spread evenly where keys may not.
-    members = firsts.union(stars).select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = members.join(keys.select("key", "carrier"), "key").select(F.col("key").alias("w_key"), "carrier")
-    texts = docs.join(wanted, F.col("id").eqNullSafe(F.col("carrier")) & (F.col("key") == F.col("w_key"))).select("key", "data").dropDuplicates(["key"])
-    texts = cut(texts, "texts")
-
     # First each text with the least it is proposed with, then only what those links leave apart.
     first = longer(firsts.filter("a <> b")).groupBy("a").agg(F.min("b").alias("b")).union(stars).distinct()
     checked = cut(verify(first, texts, width), "checked")

@@ -145,3 +145,46 @@ def test_small_groups_send_a_row_a_member():
     assert sorted(zip(firsts["a"], firsts["b"], strict=True)) == [(k, 0) for k in range(20)]
     left = pa.Table.from_batches(ngramjoin._proposals([batch])).to_pydict()
     assert sorted(zip(left["a"], left["b"], strict=True)) == [(19, k) for k in range(19)]
+
+
+def test_long_texts_with_common_lines_do_not_meet(spark, monkeypatch):
+    """Half of each text are lines that all hold: no two link, and none is grouped or proposed."""
+    r = random.Random(8)
+    pool = [" ".join(words(20, k, 100_000)) for k in range(30)]
+    texts = [" ".join(r.sample(pool + [" ".join(words(20, 1000 * k + i, 100_000)) for i in range(30)], 60)) for k in range(1, 31)]
+    plain, made = ngramjoin.cut, {}
+
+    def cut(df, name):
+        out = plain(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngramjoin, "cut", cut)
+    check(spark, frame(spark, texts), texts, range(len(texts)))
+    assert made["shared"] == made["groups"] == made["firsts"] == 0
+
+
+def test_sets_with_frequent_features(spark, monkeypatch):
+    """Features of more than two sets count as frequent: PartEnum's signatures take their place and lose no link."""
+    texts = families(6)
+    monkeypatch.setattr(ngramjoin, "SMALL", 2)
+    check(spark, frame(spark, texts).repartition(3), texts, range(len(texts)))
+
+
+@pytest.mark.parametrize("often", [4, 1000])
+def test_features_are_counted_across_batches(often, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngramjoin, "_OFTEN", often)
+    r = np.random.default_rng(1)
+    sig = np.sort(r.integers(0, 60, 300))
+    key, sets = np.arange(300), np.bincount(sig)
+    for step in (1, 2, 7, 300):
+        batches = [pa.RecordBatch.from_pydict({"sig": sig[k : k + step], "key": key[k : k + step], "size": key[k : k + step] + 5}) for k in range(0, 300, step)]
+        got = pa.Table.from_batches(ngramjoin._frequencies(batches)).to_pylist()
+        assert [(x["key"], x["size"], x["df"], x["sig"]) for x in got] == [(k, k + 5, min(often, sets[s]), s) for k, s in zip(key.tolist(), sig.tolist(), strict=True) if sets[s] > 1]
+        # The first look: key 7 of a feature comes twice, from equal texts; a row without a key says that several hold it.
+        rows = [(1, 7), (1, 7), (2, 7), (2, 8), (3, None), (3, 9), (4, 9), (5, None)]
+        look = [pa.RecordBatch.from_arrays([pa.array(x) if n < 2 else pa.nulls(len(x), pa.int64()) for n, x in enumerate(([s for s, _ in part], pa.array([k for _, k in part], pa.int64()), part))], ["sig", "key", "need"]) for part in (rows[k : k + step] for k in range(0, len(rows), step))]
+        found = pa.Table.from_batches(ngramjoin._shared_counts(look)).group_by("key").aggregate([("shared", "sum")]).to_pydict()
+        assert dict(zip(found["key"], found["shared_sum"], strict=True)) == {7: 1, 8: 1, 9: 1}
